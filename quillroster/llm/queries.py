@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillroster.llm.bpe import bpe_encode
 from quillroster.llm.common import documents
 from quillroster.llm.exact_dedup import exact_dedup
+from quillroster.llm.near_dups import near_duplicates
 from quillroster.llm.sharding import assign_shards
 from quillroster.llm.substring_dedup import substring_dedup
 from quillroster.llm.token_files import token_files
@@ -30,6 +31,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
