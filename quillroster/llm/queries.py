@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quillroster.llm.bpe import bpe_encode
 from quillroster.llm.common import documents
 from quillroster.llm.exact_dedup import exact_dedup
+from quillroster.llm.language_id import language_id
 from quillroster.llm.near_dups import near_duplicates
+from quillroster.llm.quality import quality
 from quillroster.llm.sharding import assign_shards
 from quillroster.llm.substring_dedup import substring_dedup
 from quillroster.llm.token_files import token_files
@@ -27,10 +29,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -51,7 +61,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_language_id": op6_language_id,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
