@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillroster.llm.bpe import bpe_encode
 from quillroster.llm.common import documents
+from quillroster.llm.decontaminate import contaminated
 from quillroster.llm.exact_dedup import exact_dedup
 from quillroster.llm.language_id import language_id
 from quillroster.llm.near_dups import near_duplicates
@@ -37,6 +38,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op6_language_id": op6_language_id,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_sharding": op8_sharding,
