@@ -13,10 +13,12 @@ would have merged across the border before.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Sp
 #: A space after and before visible characters always begins a word, so that texts may be cut there.
 ODD_SPACE = regex.compile(r"[^\P{White_Space} ] | (?=\p{White_Space})|^ ")
 #: Encoded pieces that a worker remembers, and pairs of tokens; when full, they start anew.
-PIECES, PAIRS = 300_000, 1_000_000
+PIECES, PAIRS = 400_000, 1_000_000
 NEVER = 1 << 60
 
 
@@ -41,13 +43,13 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Pieces(dict):
-    """piece of text -> ids; encodes what is missing."""
+    """piece of text -> its ids as 32-bit integers in bytes; encodes what is missing."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES:
             self.clear()
         self[piece] = ids = self.encode(piece)
@@ -69,7 +71,9 @@ class Bpe:
             self.bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.ids = list(range(len(self.bytes)))
+        self.table = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.base = {b: vocab[c] for c, b in alphabet.items() if c in vocab}
@@ -78,7 +82,8 @@ class Bpe:
         for rank, (a, b) in enumerate(merges):
             if (i := vocab[a + b]) not in self.made:
                 self.made[i] = (rank, vocab[a], vocab[b])
-        self.compatible: dict[int, bool] = {}
+        self.compatible: list[dict[int, bool]] = [{} for _ in self.bytes]
+        self.pairs = 0
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -86,8 +91,8 @@ class Bpe:
             if self._makes_itself(i):
                 self.automaton.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
         self.automaton.make_automaton()
-        self.pieces = Pieces(self._encode_piece)
         self.words = Pieces(self._encode_word)
+        self.spaced = Pieces(lambda piece: self._encode_piece(" " + piece))  # pieces behind a space
 
     def _makes_itself(self, i: int) -> bool:
         """Whether BPE makes token i of its bytes: its halves do, and nothing is merged across their border before."""
@@ -111,65 +116,68 @@ class Bpe:
                 due, on_right, b = made_b, True, self.made[b][1]
 
     def _fits(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        if (known := self.compatible.get(key)) is None:
-            if len(self.compatible) >= PAIRS:
-                self.compatible.clear()
-            known = self.compatible[key] = self._border_holds(a, b)
+        if self.pairs >= PAIRS:
+            self.compatible, self.pairs = [{} for _ in self.bytes], 0
+        self.pairs += 1
+        known = self.compatible[a][b] = self._border_holds(a, b)
         return known
 
-    def _encode_word(self, word: str) -> tuple[int, ...]:
+    def _encode_word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass").decode("latin-1")
-        last: list[tuple[int, int]] = [(-1, 0)] * (len(raw) + 1)  # by prefix length: last token and its length
-        done = 0
-        compatible = self.compatible
+        token_at, size_at = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)  # by prefix length: last token and its length
+        done, compatible = -1, self.compatible
         for end, (token, size) in self.automaton.iter(raw):
-            end += 1
             if end == done:
                 continue  # this prefix has its token
-            start = end - size
+            start = end + 1 - size
             if start:
-                before = last[start][0]
+                before = token_at[start]
                 if before < 0:
                     continue
-                fits = compatible.get(before << 32 | token)
+                fits = compatible[before].get(token)
                 if not (self._fits(before, token) if fits is None else fits):
                     continue
-            last[end] = (token, size)
+            token_at[end + 1], size_at[end + 1] = token, size
             done = end
         out, at = [], len(raw)
         while at:
-            token, size = last[at]
-            if not size:
+            if not size_at[at]:
                 raise ValueError(f"the vocabulary does not cover {word!r}")
-            out.append(self.ids[token])
-            at -= size
-        return tuple(reversed(out))
+            out.append(token_at[at])
+            at -= size_at[at]
+        out.reverse()
+        return array("i", out).tobytes()
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
+    def _encode_piece(self, piece: str) -> bytes:
         words = WORD.findall(piece)
-        if len(words) == 1:
-            return self._encode_word(piece)
-        return tuple(chain.from_iterable(map(self.words.__getitem__, words)))
+        return self.words[piece] if len(words) == 1 else b"".join(map(self.words.__getitem__, words))
 
-    def _encode_plain(self, text: str) -> list[int]:
+    def _encode_plain(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
-            return list(chain.from_iterable(map(self.words.__getitem__, WORD.findall(text))))
+            return b"".join(map(self.words.__getitem__, WORD.findall(text)))
         first, *rest = text.split(" ")
-        return list(chain(self.pieces[first] if first else (), chain.from_iterable(map(self.pieces.__getitem__, [" " + x for x in rest]))))
+        return self._encode_piece(first) + b"".join(map(self.spaced.__getitem__, rest))
 
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as 32-bit integers of this machine's byte order."""
         if not self.special_at or not self.special_at.search(text):
             return self._encode_plain(text)
         out, at = [], 0
         for m in self.special_at.finditer(text):
-            out += self._encode_plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+            out += [self._encode_plain(text[at : m.start()]), array("i", [self.special[m[0]]]).tobytes()]
             at = m.end()
-        return out + self._encode_plain(text[at:])
+        return b"".join([*out, self._encode_plain(text[at:])])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """The bytes of the ids' tokens, gathered from one table."""
+        ids = np.asarray(ids, np.int64)
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[ids] - ends + size, size)
+        return self.table[at].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -183,11 +191,13 @@ def _coded(path: str, decode: bool):
         bpe = loaded(path)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            for lo in range(0, max(1, len(texts)), 500):
-                part = [bpe.encode(t) for t in texts[lo : lo + 500]]
-                columns, names = [batch.column("_id").slice(lo, 500), pa.array(part, pa.list_(pa.int32()))], ["doc_id", "ids"]
+            for lo in range(0, batch.num_rows, 500):
+                part = [bpe.encode_bytes(t) for t in texts[lo : lo + 500]]
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in part])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(part), np.int32)
+                columns, names = [batch.column("_id").slice(lo, 500), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"]
                 if decode:
-                    columns, names = [*columns, pa.array([bpe.decode(ids) for ids in part], pa.string())], [*names, "decoded"]
+                    columns, names = [*columns, pa.array([bpe.decode(flat[a:b]) for a, b in pairwise(ends.tolist())], pa.string())], [*names, "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
