@@ -13,6 +13,7 @@ from quillroster.llm.decontaminate import contaminated
 from quillroster.llm.exact_dedup import exact_dedup
 from quillroster.llm.language_id import language_id
 from quillroster.llm.near_dups import near_duplicates
+from quillroster.llm.pii import find_pii
 from quillroster.llm.quality import quality
 from quillroster.llm.sharding import assign_shards
 from quillroster.llm.substring_dedup import substring_dedup
@@ -42,6 +43,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_sharding": op8_sharding,
