@@ -76,3 +76,15 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     on = reduce(Column.__and__, [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys])
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def keep_one(df: DataFrame, stay: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of df that stay names, one of those that repeat a key, all columns kept.
+
+    keys: stay's key columns and what they stand for in df; stay's _k_m says how many rows have the
+    key. Rows that repeat one are few next to the table: only they are grouped.
+    """
+    on = reduce(Column.__and__, [made.eqNullSafe(F.col(k)) for k, made in keys.items()])
+    once = df.join(stay.where("_k_m = 1"), on, "left_semi")
+    again = df.join(stay.where("_k_m > 1"), on).dropDuplicates(list(keys)).select(*df.columns)
+    return once.unionByName(again)

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillroster.llm.common import join_same, materialise, squeezed, text_of
+from quillroster.llm.common import join_same, keep_one, materialise, squeezed, text_of
 
 BLOCK_BYTES = 2048
 #: What tells rows apart: the id, and for repeated ids the text's own hash and length.
@@ -109,8 +109,4 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     first = named.groupBy("_level", "_name").agg(F.min(F.struct(F.col("_id").isNull().alias("_no_id"), *ROW, "_m")).alias("_first"))
     stay = materialise(first.select(*[F.col(f"_first.{k}").alias(f"_k{k}") for k in ROW], F.col("_first._m").alias("_k_m")), "stay")
     text = squeezed(text_of(text_col))
-    on = F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.xxhash64(text) == F.col("_k_tag")) & (F.octet_length(text) == F.col("_k_len"))
-    once = df.join(stay.where("_k_m = 1"), on, "left_semi")
-    # Repeated rows are few next to the table: only their texts are grouped.
-    again = df.join(stay.where("_k_m > 1"), on).dropDuplicates(["_k_id", "_k_tag", "_k_len"]).select(*df.columns)
-    return once.unionByName(again)
+    return keep_one(df, stay, {"_k_id": F.col(id_col), "_k_tag": F.xxhash64(text), "_k_len": F.octet_length(text)})

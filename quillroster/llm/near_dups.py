@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillroster.llm.common import join_same, materialise, text_of
+from quillroster.llm.common import SPACE, join_same, keep_one, materialise, text_of
 from quillroster.llm.components import components
 from quillroster.llm.words import Words, mixed, normal, slices
 
@@ -169,16 +169,8 @@ def _compared(banding: Banding):
     return run
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", banding: Banding = Banding()) -> DataFrame:
-    """One row for each input row: doc_id, class_id, set_id, copies, n_links.
-
-    set_id: the smallest id among rows with the same n-gram set; copies: how many rows have it;
-    n_links: other sets whose Jaccard similarity to it reaches the threshold; class_id: the smallest
-    id of the set's connected component over those links. Texts without words (null counts as empty)
-    have no n-grams: each row is its own class, without copies or links. Texts of fewer words than n
-    have one n-gram, all their words. Null ids come after all others; repeated rows are copies. An
-    empty table gives an empty result. Other columns of df are neither read nor returned.
-    """
+def _classified(df: DataFrame, id_col: str, text_col: str, banding: Banding) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _tag, _set), _set being null for texts without words; and sets (_set, _set_id, _copies, _links, _root, _class)."""
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_tag"), text_of(text_col).alias("_text"))
     id_type = docs.schema["_id"].dataType.simpleString()
     signed = materialise(docs.mapInArrow(_signatures(banding), f"_id {id_type}, _tag long, _size long, _set binary, _bands array<long>"), "signed")
@@ -207,7 +199,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = sets.select("_set", "_id", "_copies", "_rid").join(joined.withColumnRenamed("u", "_rid"), "_rid", "left").join(counts, "_rid", "left")
     sets = materialise(sets.withColumn("_root", F.coalesce("root", "_rid")).drop("root"), "rooted")
     classes = sets.groupBy("_root").agg(F.min("_id").alias("_class"))
-    sets = materialise(sets.join(classes, "_root").select("_set", F.col("_id").alias("_set_id"), "_copies", "_class", F.coalesce("_links", F.lit(0)).alias("_links")), "classes")
+    sets = materialise(sets.join(classes, "_root").select("_set", F.col("_id").alias("_set_id"), "_copies", "_root", "_class", F.coalesce("_links", F.lit(0)).alias("_links")), "classes")
+    return signed.select(*ROW, "_set"), sets
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", banding: Banding = Banding()) -> DataFrame:
+    """One row for each input row: doc_id, class_id, set_id, copies, n_links.
+
+    set_id: the smallest id among rows with the same n-gram set; copies: how many rows have it;
+    n_links: other sets whose Jaccard similarity to it reaches the threshold; class_id: the smallest
+    id of the set's connected component over those links. Texts without words (null counts as empty)
+    have no n-grams: each row is its own class, without copies or links. Texts of fewer words than n
+    have one n-gram, all their words. Null ids come after all others; repeated rows are copies. An
+    empty table gives an empty result. Other columns of df are neither read nor returned.
+    """
+    signed, sets = _classified(df, id_col, text_col, banding)
     some = signed.where("_set IS NOT NULL").select("_id", "_set").join(sets, "_set").select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), F.col("_set_id").alias("set_id"), F.col("_copies").alias("copies"), F.col("_links").alias("n_links"))
     none = signed.where("_set IS NULL").select(F.col("_id").alias("doc_id"), F.col("_id").alias("class_id"), F.col("_id").alias("set_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", banding: Banding = Banding()) -> DataFrame:
+    """df with one row of each class, all columns kept: the smallest id's, null ids last.
+
+    Of an id's several texts in one class, the one whose hash is smallest stays, and of rows that
+    repeat an id and its text, any one. Texts without words are no duplicates of each other: all stay.
+    """
+    rows, sets = _classified(df, id_col, text_col, banding)
+    members = rows.where("_set IS NOT NULL").groupBy(*ROW, "_set").agg(F.count("*").alias("_m")).join(sets.select("_set", "_root"), "_set")
+    first = members.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("_no_id"), "_id", "_tag", "_m")).alias("_first"))
+    stay = materialise(first.select(F.col("_first._id").alias("_k_id"), F.col("_first._tag").alias("_k_tag"), F.col("_first._m").alias("_k_m")), "stay")
+    text, words = text_of(text_col), text_of(text_col).rlike(rf"[^{SPACE}]")
+    return keep_one(df.where(words), stay, {"_k_id": F.col(id_col), "_k_tag": F.xxhash64(text)}).unionByName(df.where(~words))
