@@ -1,11 +1,12 @@
 """A container format for token ids: adaptive context mixing and range coding in independent blocks.
 
-Ids are cut into blocks of BLOCK_IDS. In each block, which starts from a fresh model, an id is coded
-as nibbles, highest first. Three tables hold a cumulative distribution of the next nibble for the
-order-0 context (the nibbles so far), order-1 (and the id before) and order-2 (and the two ids
-before); the three are mixed by weights that follow how often each context has been seen, and the
-mixed distribution drives a range coder. Blocks are coded side by side, one numpy lane each, so
-that a step costs a few array operations however many blocks there are.
+Ids are cut into blocks of BLOCK_IDS, and each block starts from a fresh model. Three predictions are
+mixed: the id that last followed the two ids before (order 2), the id that last followed the one
+before (order 1), each with a confidence, and a distribution of single ids (order 0). How much of
+the probability either predicted id gets is learned for each pair of confidences; the rest goes to
+the order-0 distribution, which codes the id as nibbles, highest first, by an adaptive cumulative
+count for each context of nibbles so far. The mixture drives a range coder. Blocks are coded side by
+side, one numpy lane each, so that a step costs a few array operations however many blocks there are.
 
 Container: b"QRC1", then little-endian: u8 nibbles for an id, u32 documents, u64 ids, u32 blocks;
 for each document u8 id present, i64 id, u64 length; for each block u32 ids, u32 CRC-32 of its ids
@@ -22,75 +23,72 @@ import numpy as np
 
 MAGIC = b"QRC1"
 BLOCK_IDS = 4096
-#: Blocks that are coded side by side; memory is LANES x 3 tables x 2**SLOT_BITS rows of 32 bytes.
-LANES, SLOT_BITS = 1024, 9
-TOTAL, SEEN_MOST = 4096, 7
+#: Blocks that are coded side by side. Each has 2**ROW_BITS rows of order 0 (32 bytes each), two
+#: tables of 2**GUESS_BITS guesses (4 bytes each), and 128 pairs of shares.
+LANES, ROW_BITS, GUESS_BITS = 1024, 10, 11
+TOTAL, SUREST, ROW_RATE, SHARE_RATE, LEAST = 4096, 7, 4, 4, 64
 _HEAD, _DOC, _BLOCK = struct.Struct("<BIQI"), np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u8")]), np.dtype([("n", "<u4"), ("crc", "<u4"), ("size", "<u4")])
 
 #: Where a distribution moves when nibble s has been seen: all but a floor of 4 for each other nibble.
 _TOWARDS = np.array([[4 * i if i <= s else TOTAL - 4 * (16 - i) for i in range(16)] for s in range(16)], np.int16)
 _FRESH = np.array([i * TOTAL // 16 for i in range(16)], np.int16)
-_FRESH[0] = 0
-#: By order: how far a distribution moves, as a shift; rare contexts learn faster.
-_RATE = (5, 3, 2)
-
-
-def _weights() -> np.ndarray:
-    """By visits of the order-1 and the order-2 context: sixteenths for order 0, 1 and 2."""
-    out = np.zeros((8, 8, 3), np.uint16)
-    for one in range(8):
-        for two in range(8):
-            w2 = 0 if two == 0 else min(12, 4 + 2 * two)
-            w1 = (16 - w2) * one // (one + 2)
-            out[one, two] = 16 - w1 - w2, w1, w2
-    return out.reshape(64, 3)
-
-
-_WEIGHTS = _weights()
+_U4, _U16, _U32 = np.uint64(4), np.uint64(16), np.uint64(32)
+_LOW32, _ALL = np.uint64(2**32 - 1), np.uint64(65536)
+_ID = np.uint32(2**24 - 1)
 
 
 class _Model:
-    """The mixed prediction of the next nibble in each lane."""
+    """What the next id is expected to be, in each lane."""
 
     def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes, dtype=np.uint32) << np.uint32(SLOT_BITS)
+        lane = np.arange(lanes, dtype=np.uint32)
+        self.row_base, self.guess_base, self.share_base = lane << np.uint32(ROW_BITS), lane << np.uint32(GUESS_BITS), lane << np.uint32(7)
         self.row16 = np.arange(lanes) * 16
-        self.tables = [np.tile(_FRESH, (lanes << SLOT_BITS, 1)) for _ in range(3)]
-        self.before = np.zeros(lanes, np.uint32)
-        self.context = [np.zeros(lanes, np.uint32) for _ in range(3)]
-        self.at: list[np.ndarray] = []
-        self.rows: list[np.ndarray] = []
-
-    def mixture(self, node: np.ndarray) -> np.ndarray:
-        """Cumulative counts below each nibble, out of 65536. node: the nibbles so far behind a leading 1."""
-        key = node * np.uint32(0x9E3779B1)
-        self.at = [self.base + (((key + c) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)) for c in self.context]
-        self.rows = [t.take(a, axis=0, mode="clip") for t, a in zip(self.tables, self.at, strict=True)]
-        self.seen = [r[:, 0].copy() for r in self.rows]
-        w = _WEIGHTS.take(self.seen[1] * 8 + self.seen[2], axis=0)
-        first, second, third = (r.view(np.uint16) for r in self.rows)
-        # 16 a + w1 (b - a) + w2 (c - a), modulo 65536, is the weighted sum.
-        out = first << np.uint16(4)
-        out += (second - first) * w[:, 1:2]
-        out += (third - first) * w[:, 2:]
-        out[:, 0] = 0
-        return out
-
-    def learn(self, nibble: np.ndarray) -> None:
-        towards = _TOWARDS.take(nibble, axis=0)
-        for table, at, row, seen, rate in zip(self.tables, self.at, self.rows, self.seen, _RATE, strict=True):
-            row += (towards - row) >> np.int16(rate)
-            row[:, 0] = np.minimum(seen + 1, SEEN_MOST)
-            table[at] = row
-
-    def shift(self, ids: np.ndarray) -> None:
-        one = (ids + np.uint32(1)) * np.uint32(0xC2B2AE35)
-        self.context = [self.context[0], one, one ^ (self.before * np.uint32(0x27D4EB2F))]
-        self.before = ids + np.uint32(1)
-
-
-_U16, _U32 = np.uint64(16), np.uint64(32)
-_LOW32 = np.uint64(2**32 - 1)
+        self.rows = np.tile(_FRESH, (lanes << ROW_BITS, 1))
+        self.guesses = [np.zeros(lanes << GUESS_BITS, np.uint32) for _ in range(2)]  # id, and confidence in the top byte
+        self.shares = [np.full(lanes << 7, 65536 // 4, np.int32) for _ in range(2)]
+        self.before = [np.zeros(lanes, np.uint32) for _ in range(2)]
+
+    def guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of order 2 and order 1 (no id where there is none), and their parts of 65536."""
+        one = (self.before[0] + np.uint32(1)) * np.uint32(0xC2B2AE35)
+        two = (one ^ (self.before[1] * np.uint32(0x27D4EB2F))) * np.uint32(0x85EBCA6B)
+        self.at = [self.guess_base + (two >> np.uint32(32 - GUESS_BITS)), self.guess_base + (one >> np.uint32(32 - GUESS_BITS))]
+        self.held = [g.take(a) for g, a in zip(self.guesses, self.at, strict=True)]
+        sure = [g >> np.uint32(24) for g in self.held]
+        ids = [np.where(c > 0, g & _ID, _ID) for g, c in zip(self.held, sure, strict=True)]
+        alike = ids[0] == ids[1]
+        ids[1] = np.where(alike, _ID, ids[1])
+        self.share_at = self.share_base + (sure[0] << np.uint32(4) | sure[1] << np.uint32(1) | alike)
+        first, second = (s.take(self.share_at) for s in self.shares)
+        second = ((65536 - first) * (second >> 2)) >> 14
+        return ids[0], ids[1], np.maximum(first, LEAST), np.maximum(second, LEAST)
+
+    def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
+        """which: 0 and 1 where the guess of order 2 or 1 was right, 2 elsewhere."""
+        first, second = (s.take(self.share_at) for s in self.shares)
+        self.shares[0][self.share_at] = first + ((np.where(which == 0, 65535 - 512, 512) - first) >> SHARE_RATE)
+        self.shares[1][self.share_at] = np.where(which == 0, second, second + ((np.where(which == 1, 65535 - 512, 512) - second) >> SHARE_RATE))
+        for guesses, at, held in zip(self.guesses, self.at, self.held, strict=True):
+            sure = held >> np.uint32(24)
+            right = (held & _ID) == ids
+            better = np.minimum(sure + np.uint32(1), np.uint32(SUREST)) << np.uint32(24) | ids
+            worse = np.where(sure > 1, held - (np.uint32(1) << np.uint32(24)), np.uint32(1 << 24) | ids)
+            guesses[at] = np.where(right & (sure > 0), better, worse)
+        self.before = [ids + np.uint32(1), self.before[0]]
+
+    def row(self, node: np.ndarray) -> np.ndarray:
+        """Cumulative counts below each nibble, out of TOTAL. node: the nibbles so far behind a leading 1."""
+        self.row_at = self.row_base + ((node * np.uint32(0x9E3779B1)) >> np.uint32(32 - ROW_BITS))
+        self.own = self.rows.take(self.row_at, axis=0, mode="clip")
+        return self.own
+
+    def learn_row(self, nibble: np.ndarray) -> None:
+        towards = _TOWARDS.take(nibble, axis=0, mode="clip")
+        towards -= self.own
+        towards >>= np.int16(ROW_RATE)
+        towards += self.own
+        self.rows[self.row_at] = towards
 
 
 def _encode_lanes(ids: np.ndarray, nibbles: int) -> list[bytes]:
@@ -98,28 +96,39 @@ def _encode_lanes(ids: np.ndarray, nibbles: int) -> list[bytes]:
     lanes, steps = ids.shape
     model = _Model(lanes)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**48 - 1, np.uint64)
-    digits, used = np.zeros((lanes, steps * nibbles + 3), np.int32), np.zeros(lanes, np.int64)
+    digits, used = np.zeros((lanes, steps * (nibbles + 1) + 3), np.int32), np.zeros(lanes, np.int64)
+
+    def narrow(lo: np.ndarray, size: np.ndarray) -> None:
+        """lo and size out of 65536."""
+        nonlocal low, width
+        part = width >> _U16
+        low += part * lo
+        width = part * size
+        small = np.flatnonzero(width < _U32_END)
+        if len(small):
+            out, at = low[small], used[small]
+            digits[small, at] = out >> _U32
+            used[small] = at + 1
+            low[small] = (out & _LOW32) << _U16
+            width[small] <<= _U16
+
     for t in range(steps):
         now, node = np.ascontiguousarray(ids[:, t]), np.ones(lanes, np.uint32)
+        two, one, p, q = model.guess()
+        which = np.where(now == two, 0, np.where(now == one, 1, 2))
+        narrow(np.where(which == 0, 0, np.where(which == 1, p, p + q)).astype(np.uint64), np.where(which == 0, p, np.where(which == 1, q, 65536 - p - q)).astype(np.uint64))
+        told = which < 2
         for k in range(nibbles - 1, -1, -1):
             nibble = (now >> np.uint32(4 * k)) & np.uint32(15)
-            below = model.mixture(node).reshape(-1)
+            below = model.row(node).reshape(-1)
             at = model.row16 + nibble
-            lo = below.take(at).astype(np.uint64)
-            hi = np.where(nibble == 15, np.uint64(65536), below.take(at + 1, mode="clip"))
-            part = width >> _U16
-            low += part * lo
-            width = part * (hi - lo)
-            small = np.flatnonzero(width < np.uint64(2**32))
-            if len(small):
-                out = low[small]
-                digits[small, used[small]] = out >> _U32
-                used[small] += 1
-                low[small] = (out & _LOW32) << _U16
-                width[small] <<= _U16
-            model.learn(nibble)
+            lo = below.take(at)
+            hi = np.where(nibble == 15, TOTAL, below.take(at + 1, mode="clip"))
+            # Where a guess was right, the nibbles are known and take no room.
+            narrow(np.where(told, 0, lo).astype(np.uint64) << _U4, np.where(told, TOTAL, hi - lo).astype(np.uint64) << _U4)
+            model.learn_row(nibble)
             node = (node << np.uint32(4)) | nibble
-        model.shift(now)
+        model.learn(now, which)
     for _ in range(3):
         digits[np.arange(lanes), used] = low >> _U32
         used += 1
@@ -129,6 +138,10 @@ def _encode_lanes(ids: np.ndarray, nibbles: int) -> list[bytes]:
     return [(digits[i, : used[i]] & 0xFFFF).astype(">u2").tobytes() for i in range(lanes)]
 
 
+_U32_END = np.uint64(2**32)
+_ONES = np.uint64(0x0101010101010101)
+
+
 def _decode_lanes(payloads: list[bytes], steps: int, nibbles: int) -> np.ndarray:
     lanes = len(payloads)
     model = _Model(lanes)
@@ -139,28 +152,43 @@ def _decode_lanes(payloads: list[bytes], steps: int, nibbles: int) -> np.ndarray
     code = (digits[:, 0] << _U32) | (digits[:, 1] << _U16) | digits[:, 2]
     width, used = np.full(lanes, 2**48 - 1, np.uint64), np.full(lanes, 3, np.int64)
     ids = np.zeros((lanes, steps), np.uint32)
+
+    def narrow(part: np.ndarray, lo: np.ndarray, size: np.ndarray) -> None:
+        nonlocal code, width
+        code -= part * lo
+        width = part * size
+        small = np.flatnonzero(width < _U32_END)
+        if len(small):
+            at = used[small]
+            code[small] = (code[small] << _U16) | digits[small, np.minimum(at, most - 1)]
+            used[small] = at + 1
+            width[small] <<= _U16
+
     for t in range(steps):
+        two, one, p, q = model.guess()
+        part = width >> _U16
+        target = np.minimum(code // part, _ALL - np.uint64(1)).astype(np.int32)
+        which = (target >= p).astype(np.int8) + (target >= p + q)
+        narrow(part, np.where(which == 0, 0, np.where(which == 1, p, p + q)).astype(np.uint64), np.where(which == 0, p, np.where(which == 1, q, 65536 - p - q)).astype(np.uint64))
+        told = which < 2
+        known = np.where(which == 0, two, one)
         node = np.ones(lanes, np.uint32)
-        for _ in range(nibbles):
-            below = model.mixture(node)
+        for k in range(nibbles - 1, -1, -1):
+            rows = model.row(node)
             part = width >> _U16
-            target = np.minimum(code // part, np.uint64(65535)).astype(np.uint16)
-            nibble = ((below <= target[:, None]).sum(axis=1, dtype=np.uint8) - np.uint8(1)).astype(np.uint32)
-            flat, at = below.reshape(-1), model.row16 + nibble
-            lo = flat.take(at).astype(np.uint64)
-            hi = np.where(nibble == 15, np.uint64(65536), flat.take(at + 1, mode="clip"))
-            code -= part * lo
-            width = part * (hi - lo)
-            small = np.flatnonzero(width < np.uint64(2**32))
-            if len(small):
-                code[small] = (code[small] << _U16) | digits[small, np.minimum(used[small], most - 1)]
-                used[small] += 1
-                width[small] <<= _U16
-            model.learn(nibble)
+            target = np.minimum((code // part) >> _U4, np.uint64(TOTAL - 1)).astype(np.int16)
+            hits = (rows <= target[:, None]).view(np.uint64)
+            coded = (((hits[:, 0] + hits[:, 1]) * _ONES) >> np.uint64(56)).astype(np.uint32) - np.uint32(1)
+            nibble = np.where(told, (known >> np.uint32(4 * k)) & np.uint32(15), coded)
+            below, at = rows.reshape(-1), model.row16 + nibble
+            lo = below.take(at)
+            hi = np.where(nibble == 15, TOTAL, below.take(at + 1, mode="clip"))
+            narrow(part, np.where(told, 0, lo).astype(np.uint64) << _U4, np.where(told, TOTAL, hi - lo).astype(np.uint64) << _U4)
+            model.learn_row(nibble)
             node = (node << np.uint32(4)) | nibble
-        now = node & np.uint32((1 << (4 * nibbles)) - 1) if nibbles < 8 else node
+        now = node & np.uint32((1 << (4 * nibbles)) - 1)
         ids[:, t] = now
-        model.shift(now)
+        model.learn(now, which)
     return ids
 
 
@@ -172,9 +200,9 @@ class Container:
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, nibbles: int = 4) -> bytes:
-    """One container. Every id must be below 16 ** nibbles."""
+    """One container. Every id must be below 16 ** nibbles, and nibbles at most 5."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    if len(ids) and int(ids.max()) >> (4 * nibbles):
+    if nibbles > 5 or len(ids) and int(ids.max()) >> (4 * nibbles):
         raise ValueError(f"an id needs more than {nibbles} nibbles")
     cut = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
     payloads: list[bytes] = []

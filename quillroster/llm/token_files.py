@@ -30,7 +30,7 @@ CONTAINER = "part int, seq int, n_docs long, n_ids long, content binary"
 
 
 class Chunks(dict):
-    """Chunks of visible text and their ids, by the tokenizers library. White space only separates for these vocabularies."""
+    """Chunks of visible text and their ids in bytes, by the tokenizers library. White space only separates for these vocabularies."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -41,21 +41,15 @@ class Chunks(dict):
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
 
-    def encode(self, texts: list[str], end_id: int) -> list[list[int]]:
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self) > CHUNKS:
             self.clear()
         new = list({c for chunks in split for c in chunks if c not in self})
         for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[chunk] = got.ids
-        out = []
-        for chunks in split:
-            ids: list[int] = []
-            for c in chunks:
-                ids += self[c]
-            ids.append(end_id)
-            out.append(ids)
-        return out
+            self[chunk] = np.array(got.ids, np.uint32).tobytes()
+        end = np.array([end_id], np.uint32).tobytes()
+        return [np.frombuffer(b"".join(map(self.__getitem__, chunks)) + end, np.uint32) for chunks in split]
 
 
 @lru_cache(maxsize=2)
@@ -79,7 +73,7 @@ def _containers(path: str, end_id: int, container_ids: int):
                 some = batch.slice(lo, 200)
                 for doc_id, ids in zip(some.column("_id").to_pylist(), chunks(path).encode(some.column("_text").to_pylist(), end_id), strict=True):
                     doc_ids.append(doc_id)
-                    held.append(np.array(ids, np.uint32))
+                    held.append(ids)
                     size += len(ids)
                     if size >= container_ids:
                         yield closed()
