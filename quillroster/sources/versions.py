@@ -1,0 +1,47 @@
+"""Versioned tables: every change writes a new version, and a manifest names the current ones.
+
+One writer at a time. A run that dies before its manifest is written leaves the state as it was.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class TableStore:
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The latest manifest's number; 0 before the first commit."""
+        folder = self._path(f"{self.root}/manifest")
+        if not self._fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return max([int(n[2:]) for n in names if n.startswith("v=") and self._fs.exists(self._path(f"{self.root}/manifest/{n}/_SUCCESS"))], default=0)
+
+    def tables(self, version: int | None = None) -> dict[str, DataFrame]:
+        version = self.version() if version is None else version
+        if not version:
+            return {}
+        rows = self.spark.read.schema("name string, at int").json(f"{self.root}/manifest/v={version}").collect()  # one row for each table
+        return {r["name"]: self.spark.read.parquet(f"{self.root}/{r['name']}/v={r['at']}") for r in rows}
+
+    def commit(self, changed: dict[str, DataFrame]) -> int:
+        """Write the changed tables as a new version, then its manifest; the others stay where they are."""
+        now, at = self.version(), {}
+        if now:
+            at = {r["name"]: r["at"] for r in self.spark.read.schema("name string, at int").json(f"{self.root}/manifest/v={now}").collect()}
+        for name, df in changed.items():
+            # A version that a dead run left behind is overwritten; the current one never is.
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={now + 1}")
+            at[name] = now + 1
+        self.spark.createDataFrame(sorted(at.items()), "name string, at int").coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/v={now + 1}")
+        return now + 1
+
+    def restore(self, version: int) -> None:
+        """Make an earlier version the current one again by dropping later manifests."""
+        for v in range(version + 1, self.version() + 1):
+            self._fs.delete(self._path(f"{self.root}/manifest/v={v}"), True)
