@@ -189,7 +189,8 @@ def _classified(df: DataFrame, id_col: str, text_col: str, banding: Banding) ->
     placed = materialise(placed.select("_band", "_hash", "_rid", "_tile", F.explode(F.expr("sequence(0, _tiles - 1)")).alias("_other")), "placed")
 
     wanted = materialise(sets.join(placed.select("_rid").distinct(), "_rid", "left_semi").select(*ROW, "_rid"), "wanted")
-    texts = materialise(join_same(docs, wanted, ROW).dropDuplicates(["_rid"]).select("_rid", "_text"), "texts")
+    # Texts are exchanged whatever the size of wanted, so that small inputs run as large ones do.
+    texts = materialise(join_same(docs, wanted.hint("merge"), ROW).dropDuplicates(["_rid"]).select("_rid", "_text"), "texts")
     keyed = placed.join(texts, "_rid").select("_band", "_hash", F.least("_tile", "_other").alias("_lo"), F.greatest("_tile", "_other").alias("_hi"), "_rid", "_tile", "_text")
     key = ["_band", "_hash", "_lo", "_hi"]
     links = materialise(keyed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compared(banding), "_rid long, _root long, _links long"), "links")
