@@ -68,7 +68,8 @@ def base_spans(text: str) -> list[Span]:
     out = [(0, a, b) for a, b in _emails(text)]
     if not _DIGIT.search(text):
         return out
-    out += [(1, *m.span()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 9) and all(len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+    # Leading zeros aside, a part of over three digits is too large and isn't turned into a number.
+    out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
