@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillroster.llm.common import join_same, materialise, text_of
 from quillroster.llm.words import Words, mixed, normal, slices
 
-#: Bits of the filter that is sent to every task: eight for each benchmark seed, within these bounds.
-FILTER_BITS = (1 << 20, 1 << 28)
+#: Bits of the filter that is sent to every task: 64 to 128 for each benchmark seed, within these bounds.
+FILTER_BITS = (1 << 22, 1 << 28)
 
 
 @dataclass(frozen=True)
@@ -69,24 +69,28 @@ def seed_hashes(words: Words, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bloom:
-    """Two probes for each hash."""
+    """Four probes for each hash."""
 
     def __init__(self, bits: int) -> None:
         self.bits = np.uint64(bits - 1)
         self.set = np.zeros(bits >> 3, np.uint8)
 
-    def _probes(self, h: np.ndarray) -> list[np.ndarray]:
-        return [h & self.bits, (h >> np.uint64(32)) & self.bits]
+    def _probes(self, h: np.ndarray, k: int) -> np.ndarray:
+        h = h if k < 2 else mixed(h)
+        return (h >> np.uint64(32) if k % 2 else h) & self.bits
 
     def add(self, h: np.ndarray) -> None:
-        for p in self._probes(h):
+        for k in range(4):
+            p = self._probes(h, k)
             np.bitwise_or.at(self.set, p >> np.uint64(3), (np.uint64(1) << (p & np.uint64(7))).astype(np.uint8))
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for p in self._probes(h):
-            out &= (self.set[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return out
+    def found(self, h: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that may have been added; each probe looks only at what the last one left."""
+        at = np.arange(len(h))
+        for k in range(4):
+            p = self._probes(h[at], k)
+            at = at[(self.set[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return at
 
 
 def _benchmark_rows(seeds: Seeds):
@@ -122,7 +126,7 @@ def _hits(seeds: Seeds, bloom: Bloom, reach: int, short: list[int]):
                 for n in short:  # whole items of few words
                     wins, valid = words.windows(n)
                     h, at = np.concatenate([h, wins[valid]]), np.concatenate([at, np.flatnonzero(valid)])
-                some = np.flatnonzero(bloom.has(h))
+                some = bloom.found(h)
                 if not len(some):
                     continue
                 some = some[np.argsort(at[some], kind="stable")]
@@ -201,7 +205,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     count, longest = rows.agg(F.count("*"), F.max(F.size("_words"))).first()
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_tag"), text_of(text_col).alias("_text"))
     id_type = docs.schema["_id"].dataType.simpleString()
-    bits = min(max(FILTER_BITS[0], 1 << (8 * count).bit_length()), FILTER_BITS[1])
+    bits = min(max(FILTER_BITS[0], 1 << (64 * count).bit_length()), FILTER_BITS[1])
     bloom = Bloom(bits)
     # Seeds pass through here one partition at a time and only set bits of the filter.
     for part in batched(rows.select("_hash").distinct().toLocalIterator(), 10_000):
