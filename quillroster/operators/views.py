@@ -69,6 +69,19 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int = PAGE) ->
     return own.withColumn("has_previous", F.lit(number > 0)).withColumn("has_next", F.col("_n") > (number + 1) * size).drop("_n")
 
 
+def rosters(entries: DataFrame, players: DataFrame) -> DataFrame:
+    """tournament_id, player_id, full_name: each event's active people, once each."""
+    own = entries.where(F.col("active") == F.lit(True)).select("tournament_id", "player_id").distinct()
+    return own.join(players.select(F.col("id").alias("player_id"), "full_name"), "player_id").select("tournament_id", "player_id", "full_name")
+
+
+def pages(rows: DataFrame, by: list[str], order: list[Column], size: int = PAGE) -> DataFrame:
+    """All pages of each group of rows: place in the group, page (from 0), has_previous and has_next."""
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    many = placed.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).withColumn("page", F.floor((F.col("place") - 1) / size).cast("int"))
+    return many.withColumn("has_previous", F.col("page") > 0).withColumn("has_next", F.col("_n") > (F.col("page") + 1) * size).drop("_n")
+
+
 def pair_names(entries: DataFrame, players: DataFrame) -> DataFrame:
     """entry_id, paid_for_name, paid_by_name: the people behind the entries that an entry paid for or was paid by."""
     names = entries.select(F.col("id").alias("_e"), F.col("player_id").alias("_p")).join(players.select(F.col("id").alias("_p"), "full_name"), "_p").select("_e", "full_name")

@@ -84,6 +84,15 @@ def c8_roster_page(spark: SparkSession, folder: str) -> DataFrame:
     return views.page(rows, [F.asc("full_name"), F.asc("player_id")], 1).select("player_id", "full_name", "place", "has_previous", "has_next")
 
 
+@query("""
+    WITH r AS (SELECT DISTINCT l_orderkey AS tournament_id, l_suppkey AS player_id, s_name AS full_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R'),
+    p AS (SELECT *, row_number() OVER (PARTITION BY tournament_id ORDER BY full_name, player_id) AS place, count(*) OVER (PARTITION BY tournament_id) AS n FROM r)
+    SELECT tournament_id, player_id, full_name, CAST(place AS INT) AS place, CAST((place - 1) // 10 AS INT) AS page, place > 10 AS has_previous, n > ((place - 1) // 10 + 1) * 10 AS has_next FROM p""")
+def c8_roster_pages(spark: SparkSession, folder: str) -> DataFrame:
+    rows = views.rosters(domain.entries(spark, folder), domain.players(spark, folder))
+    return views.pages(rows, ["tournament_id"], [F.asc_nulls_last("full_name"), F.asc("player_id")]).select("tournament_id", "player_id", "full_name", "place", "page", "has_previous", "has_next")
+
+
 @query("""
     WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_suppkey AS VARCHAR) AS payment_id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 10 + 1 END AS paid_by FROM lineitem),
     p AS (SELECT id FROM e WHERE payment_id IN ('3', '5'))
