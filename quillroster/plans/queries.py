@@ -419,6 +419,20 @@ def st1_session_fold(spark: SparkSession, folder: str) -> DataFrame:
     return fold_sessions(steps.unionByName(opening)).select("telegram_id", F.col("state").alias("last"))
 
 
+@query("""
+    WITH s AS (SELECT l_suppkey AS telegram_id, l_orderkey * 10 + l_linenumber AS seq, l_shipdate AS shipped, CASE WHEN l_linestatus = 'F' THEN 'bind_pick_date' ELSE 'bind_confirm' END AS state FROM lineitem)
+    SELECT telegram_id, max({'seq': seq, 'shipped': shipped, 'state': state}).state AS last FROM s GROUP BY 1""")
+def st1_session_fold_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All entries are steps; those that repeat a key are ordered by time, then by state."""
+    from quillroster.streaming.sessions import fold_sessions
+
+    e = domain.entries(spark, folder)
+    support = F.lit(None).cast("boolean").alias("support")
+    steps = e.select(F.col("player_id").alias("telegram_id"), F.col("id").alias("seq"), F.col("created_at").alias("at"), F.when(F.col("payment_status") == "paid", "pick_date").otherwise("confirm").alias("step"), support)
+    opening = e.groupBy(F.col("player_id").alias("telegram_id")).agg(F.min("created_at").alias("at")).select("telegram_id", F.lit(0).cast("long").alias("seq"), "at", F.lit("ask_name").alias("step"), support)
+    return fold_sessions(steps.unionByName(opening), ("at",)).select("telegram_id", F.col("state").alias("last"))
+
+
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate >= TIMESTAMP '1997-06-01'")
 def f14_dashboard(spark: SparkSession, folder: str) -> DataFrame:
     t = domain.tournaments(spark, folder).withColumn("location", F.lit("")).withColumn("active", F.lit(None).cast("boolean"))

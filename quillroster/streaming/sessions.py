@@ -14,20 +14,21 @@ def _table(value: int) -> Column:
     return F.create_map(*[F.lit(x) for step, made in STEPS.items() for x in (step, made[value])])
 
 
-def fold_sessions(steps: DataFrame) -> DataFrame:
+def fold_sessions(steps: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """steps (telegram_id, seq, step, support) -> open sessions: telegram_id, state, support_mode.
 
     After a person's last ending step a session exists from the first step that makes one (asking for
     the name, or switching support mode); steps before that have no session to change. The last state
-    and the last support flag after that hold. Only aggregates by person are used, so that a person with
-    very many steps is pre-aggregated.
+    and the last support flag after that hold. Steps of one seq are ordered by the columns `ties`; of
+    those that agree there too, an ending step is the last, else the greatest state. Only aggregates by
+    person are used, so that a person with very many steps is pre-aggregated.
     """
-    ended = F.max(F.when(F.col("step").isin(*ENDS), F.col("seq")))
-    last_end = steps.groupBy("telegram_id").agg(F.coalesce(ended, F.lit(-1).cast("long")).alias("_end"))
-    after = steps.join(last_end, "telegram_id").where(F.col("seq") > F.col("_end"))
+    steps = steps.withColumn("_order", F.struct("seq", *ties))
+    last_end = steps.groupBy("telegram_id").agg(F.max(F.when(F.col("step").isin(*ENDS), F.col("_order"))).alias("_end"))
+    after = steps.join(last_end, "telegram_id").where((F.col("seq") > -1) & (F.col("_end").isNull() | (F.col("_order") > F.col("_end"))))
     makes = F.coalesce(_table(1)[F.col("step")], F.lit(False)) | (F.col("step") == "support")
-    opened = after.where(makes).groupBy("telegram_id").agg(F.min("seq").alias("_open"))
-    live = after.join(opened, "telegram_id").where(F.col("seq") >= F.col("_open"))
-    state = F.max(F.when(_table(0)[F.col("step")].isNotNull(), F.struct("seq", _table(0)[F.col("step")].alias("state"))))
-    support = F.max(F.when(F.col("step") == "support", F.struct("seq", "support")))
+    opened = after.where(makes).groupBy("telegram_id").agg(F.min("_order").alias("_open"))
+    live = after.join(opened, "telegram_id").where(F.col("_order") >= F.col("_open"))
+    state = F.max(F.when(_table(0)[F.col("step")].isNotNull(), F.struct("_order", _table(0)[F.col("step")].alias("state"))))
+    support = F.max(F.when(F.col("step") == "support", F.struct("_order", "support")))
     return live.groupBy("telegram_id").agg(state.alias("_s"), support.alias("_m")).select("telegram_id", F.col("_s.state").alias("state"), F.coalesce("_m.support", F.lit(False)).alias("support_mode"))
