@@ -8,7 +8,9 @@ that the index has about two entries for every 29 words.
 The index is a folder of immutable runs, each sorted by fingerprint and written once. A batch is
 merge-joined with every run (a sort-merge join on the fingerprint), then becomes a run itself; runs
 of one level are merged into one of the next. A fingerprint seen twice only nominates windows: they
-are verified by a 128-bit BLAKE2 digest of their words, counted over all documents.
+are verified by a 128-bit BLAKE2 digest of their words, counted over all documents. An index that
+serves several calls also keeps its documents' word sequences with their fingerprints, so that
+windows of earlier calls are digested and counted where a later one nominates them.
 
 Documents whose word sequences are equal are told apart only at the end: one of each group goes
 through the index. All counts are pre-aggregated before they are shuffled, so that a passage in a
@@ -119,6 +121,8 @@ class FingerprintIndex:
     """Immutable sorted runs (fingerprint, n) in one shared folder; n is 2 where it has been seen more than once.
 
     A run counts once its _SUCCESS marker is there, so a writer that dies leaves the index as it was.
+    Beside the runs lie the documents of each call that has ended, in parts of the same kind: a run
+    without them can nominate windows, but only documents are counted.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
@@ -131,7 +135,22 @@ class FingerprintIndex:
         if not self._fs.exists(self._path(self.root)):
             return []
         found = [f.getPath() for f in self._fs.listStatus(self._path(self.root))]
-        return sorted((int(p.getName().split("-")[1]), str(p)) for p in found if self._fs.exists(self._path(p, "_SUCCESS")))
+        return sorted((int(p.getName().split("-")[1]), str(p)) for p in found if p.getName().startswith("run-") and self._fs.exists(self._path(p, "_SUCCESS")))
+
+    def history(self, width: int) -> DataFrame | None:
+        """(_id, _text, _prints): the documents of earlier calls, which all had this width; None if there are none."""
+        if not self._fs.exists(self._path(self.root)):
+            return None
+        found = [f.getPath() for f in self._fs.listStatus(self._path(self.root))]
+        parts = sorted(str(p) for p in found if p.getName().startswith("docs-") and self._fs.exists(self._path(p, "_SUCCESS")))
+        if any(int(p.rsplit("/", 1)[1].split("-")[1]) != width for p in parts):
+            raise ValueError(f"the index holds windows of another width than {width}")
+        return self.spark.read.schema("_id string, _text string, _prints array<long>").parquet(*parts) if parts else None
+
+    def remember(self, docs: DataFrame, width: int) -> None:
+        """Add a call's documents (_id, _text, _prints) at its end."""
+        label = new_table_path(self.spark, "x").rsplit("-", 1)[1]
+        docs.write.option("compression", "zstd").parquet(f"{self.root}/docs-{width}-{label}")
 
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.schema("fingerprint long, n int").parquet(path)
@@ -182,9 +201,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Windows are judged on the input as a whole: every copy of a repeated passage goes, the first one
     too, and rows that repeat an id and its text are copies of each other. Null text has no words;
     texts of fewer than `width` words lose none. An empty table gives an empty result. Other columns
-    of df are neither read nor returned. Documents enter the index in `batches` batches; an index
-    that already has runs makes windows of earlier batches' documents candidates, and a fingerprint
-    from there is judged against the documents at hand.
+    of df are neither read nor returned. Documents enter the index in `batches` batches. With an index
+    of earlier calls (of the same width) windows are judged on their documents and the input as a whole;
+    rows of earlier results stay as they are. Only an index that is passed keeps documents.
     """
     spark = df.sparkSession
     rows, summary = _summary(df, id_col, text_col, width)
@@ -195,7 +214,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Rows that repeat an id and its text are one representative.
     prints = materialise(longs.groupBy(*ROW).agg(F.first("_sha").alias("_sha"), F.first("_prints").alias("_prints")).select(*ROW, F.pmod(F.xxhash64("_sha"), F.lit(batches)).alias("_batch"), F.explode("_prints").alias("fingerprint")), "prints")
 
+    keep = index is not None
     index = index or FingerprintIndex(spark)
+    earlier = index.history(width) if keep else None
     repeated = None
     for b in range(batches):
         twice = index.ingest(prints.where(F.col("_batch") == b).select("fingerprint", F.lit(1).alias("n")))
@@ -208,12 +229,21 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # that their windows do repeat however often they are counted.
     suspects = materialise(join_same(rows, marks, ROW).select(*ROW, "_text", "_marks"), "suspects")
     windows = materialise(suspects.mapInArrow(_nominated(width), f"_id {id_type}, _tag long, _at int, _d1 long, _d2 long"), "windows")
-    shared = materialise(windows.groupBy("_d1", "_d2").agg(F.count("*").alias("_seen")).where("_seen > 1").select("_d1", "_d2"), "shared")
+    counted = windows.select("_d1", "_d2")
+    if earlier is not None:
+        old = earlier.select("_id", F.explode("_prints").alias("fingerprint")).join(repeated, "fingerprint").groupBy("_id").agg(F.collect_set("fingerprint").alias("_marks"))
+        known = earlier.select("_id", F.lit(0).cast("long").alias("_tag"), "_text").dropDuplicates(["_id"]).join(old, "_id")
+        before = known.select("_id", "_tag", "_text", "_marks").mapInArrow(_nominated(width), "_id string, _tag long, _at int, _d1 long, _d2 long")
+        counted = counted.unionByName(materialise(before.select("_d1", "_d2"), "earlier"))
+    shared = materialise(counted.groupBy("_d1", "_d2").agg(F.count("*").alias("_seen")).where("_seen > 1").select("_d1", "_d2"), "shared")
     ats = windows.join(shared, ["_d1", "_d2"]).groupBy(*ROW).agg(F.collect_list("_at").alias("_ats"))
     cut = join_same(suspects.select(*ROW, "_text"), ats, ROW).mapInArrow(_kept(width), f"_id {id_type}, _tag long, _removed long, _kept_text string, _kept_sha string")
     if not with_text:
         cut = cut.drop("_kept_text")
     cut = materialise(cut.dropDuplicates(ROW), "cut")
+    if keep:
+        # Words that lie beside each other are all that later windows need of a text; equal sequences have one id.
+        index.remember(join_same(rows, longs.dropDuplicates(["_sha"]).select(*ROW, "_sha", "_prints"), ROW).dropDuplicates(["_sha"]).select(F.col("_sha").alias("_id"), "_text", "_prints"), width)
 
     whole = (F.col("_copies") > 1) & (F.col("_n") >= width)
     out = join_same(summary.drop("_prints").join(groups.select("_sha", "_copies"), "_sha"), cut, ROW, "left")
