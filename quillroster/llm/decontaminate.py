@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import batched
+from itertools import batched, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,15 @@ class Seeds:
     def span(self) -> int:
         return max(map(len, self.masks))
 
+    def holed(self, n: int) -> list[str]:
+        """Masks over a whole item of n words, one for each set of words that may be replaced and that every other mask meets."""
+        holes = min(int(n * self.substitution_share + 1e-9), n - 2)
+        if n > self.least_words or holes < 1:
+            return []
+        fits = [{k + i for i, c in enumerate(m) if c == "1"} for m in self.masks for k in range(n - len(m) + 1)]
+        missed = [gone for gone in combinations(range(1, n - 1), holes) if all(ones & set(gone) for ones in fits)]
+        return ["".join("0" if i in gone else "1" for i in range(n)) for gone in missed]
+
 
 def _folded(text: str | None) -> bytes:
     """Words are compared in lower case and without marks at their ends."""
@@ -52,12 +61,12 @@ def _folded(text: str | None) -> bytes:
     return normal(" ".join(out))
 
 
-def seed_hashes(words: Words, seeds: Seeds) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start word) of every seed in every text."""
+def seed_hashes(words: Words, seeds: Seeds, holed: list[str] | tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start word) of every seed in every text; holed: masks of short items beside those of seeds."""
     n = len(words.hashes)
     room = np.repeat(words.first[1:], np.diff(words.first))
     hashes, starts = [], []
-    for k, mask in enumerate(seeds.masks):
+    for k, mask in [*enumerate(seeds.masks), *(((1 << 32) | int(m, 2), m) for m in holed)]:
         ones = [i for i, c in enumerate(mask) if c == "1"]
         at = np.flatnonzero(np.arange(n) + len(mask) <= room)
         h = np.full(len(at), k + 1, np.uint64)
@@ -95,6 +104,7 @@ class Bloom:
 
 def _benchmark_rows(seeds: Seeds):
     """(_item, _text) -> (_item, _hash, _at, _words): a row for each seed, with all the item's word hashes."""
+    low = min(map(len, seeds.masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,16 +112,16 @@ def _benchmark_rows(seeds: Seeds):
                 words = Words([_folded(text)])
                 if not len(words.hashes):
                     continue
-                h, at = seed_hashes(words, seeds)
-                if not len(h):  # shorter than every mask: the whole item is its only seed
-                    h, at = np.array([words.all_of(0)]), np.array([0])
+                h, at = seed_hashes(words, seeds, seeds.holed(len(words.hashes)))
+                if len(words.hashes) < low:  # shorter than every mask: the whole item is a seed
+                    h, at = np.append(h, words.all_of(0)), np.append(at, 0)
                 own = pa.array(words.hashes.view(np.int64).tolist(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(h), batch.schema.field("_item").type), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32)), pa.ListArray.from_arrays(np.arange(0, len(h) * len(own) + 1, len(own), dtype=np.int32), pa.concat_arrays([own] * len(h)))], ["_item", "_hash", "_at", "_words"])
 
     return run
 
 
-def _hits(seeds: Seeds, bloom: Bloom, reach: int, short: list[int]):
+def _hits(seeds: Seeds, bloom: Bloom, reach: int, short: list[int], holed: list[str]):
     """(_id, _tag, _text) -> a row for each cluster of seeds that may be the benchmark's.
 
     _from: where the words around it begin; _around: their hashes, reach words on both sides; _seeds, _ats: the seeds and their start words.
@@ -122,7 +132,7 @@ def _hits(seeds: Seeds, bloom: Bloom, reach: int, short: list[int]):
             texts = [_folded(t) for t in batch.column("_text").to_pylist()]
             for lo, hi in slices(texts):
                 words = Words(texts[lo:hi])
-                h, at = seed_hashes(words, seeds)
+                h, at = seed_hashes(words, seeds, holed)
                 for n in short:  # whole items of few words
                     wins, valid = words.windows(n)
                     h, at = np.concatenate([h, wins[valid]]), np.concatenate([at, np.flatnonzero(valid)])
@@ -194,14 +204,15 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     n_words is the length of the longest agreeing stretch, n_equal its equal words, start_word where
     it begins among the document's words (in lower case, marks at their ends stripped, words of marks
     only left out). Null texts are empty; empty texts and items overlap with nothing. Null ids are
-    reported as they are; rows that repeat an id and its text are reported once; several items
-    under one id count as its first text. Items of fewer words than a mask have to occur whole. Without benchmark or
-    documents the result is empty. Other columns are not read.
+    reported as they are; rows that repeat an id and its text are reported once; of several texts
+    under one item id, or under none, each counts, and the longest stretch is reported. Items of fewer
+    words than a mask have to occur whole. Without benchmark or documents the result is empty. Other
+    columns are not read.
     """
     spark = df.sparkSession
-    bench = benchmark.groupBy(F.col(item_col).alias("_item")).agg(F.min(text_of(item_text_col)).alias("_text"))
-    item_type = bench.schema["_item"].dataType.simpleString()
-    rows = materialise(bench.mapInArrow(_benchmark_rows(seeds), f"_item {item_type}, _hash long, _at int, _words array<long>"), "seeds")
+    # Until the end an item is one text under one id; written, its number stays.
+    bench = materialise(benchmark.select(F.col(item_col).alias("_item_id"), text_of(item_text_col).alias("_text")).distinct().withColumn("_item", F.monotonically_increasing_id()), "items")
+    rows = materialise(bench.select("_item", "_text").mapInArrow(_benchmark_rows(seeds), f"_item long, _hash long, _at int, _words array<long>"), "seeds")
     count, longest = rows.agg(F.count("*"), F.max(F.size("_words"))).first()
     docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_tag"), text_of(text_col).alias("_text"))
     id_type = docs.schema["_id"].dataType.simpleString()
@@ -211,22 +222,24 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for part in batched(rows.select("_hash").distinct().toLocalIterator(), 10_000):
         bloom.add(np.array([r["_hash"] for r in part], np.int64).view(np.uint64))
     low = min(map(len, seeds.masks))
-    short = sorted(r[0] for r in rows.where(F.size("_words") < low).select(F.size("_words")).distinct().collect())  # at most low - 1 lengths
+    few = sorted(r[0] for r in rows.where(F.size("_words") <= max(low, seeds.least_words)).select(F.size("_words")).distinct().collect())  # one row for each length
+    short, holed = [n for n in few if n < low], [m for n in few for m in seeds.holed(n)]
     sent = spark.sparkContext.broadcast(bloom)
     # Far enough for the whole of any item on a hit's diagonal.
     reach = int(longest or 0) + seeds.span
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _hits(seeds, sent.value, reach, short)(batches)
+        return _hits(seeds, sent.value, reach, short, holed)(batches)
 
     clusters = materialise(docs.mapInArrow(hits, f"_id {id_type}, _tag long, _from int, _around array<long>, _seeds array<long>, _ats array<int>"), "clusters")
     seen = clusters.select("_id", "_tag", "_from", F.explode(F.arrays_zip("_seeds", "_ats")).alias("_s")).select("_id", "_tag", "_from", F.col("_s._seeds").alias("_hash"), F.col("_s._ats").alias("_doc_at"))
     where = seen.join(rows.select("_item", "_hash", "_at"), "_hash").select("_id", "_tag", "_from", "_item", (F.col("_doc_at") - F.col("_at")).alias("_diagonal")).distinct()
     items = rows.groupBy("_item").agg(F.first("_words").alias("_words"))
     pairs = join_same(join_same(where, clusters.select("_id", "_tag", "_from", "_around").dropDuplicates(["_id", "_tag", "_from"]), ["_id", "_tag", "_from"]), items, ["_item"])
-    checked = pairs.select("_id", "_tag", "_item", "_from", "_diagonal", "_around", "_words").mapInArrow(_verified(seeds), f"_id {id_type}, _tag long, _item {item_type}, _words int, _equal int, _start int")
-    best = checked.groupBy("_id", "_tag", "_item").agg(F.max(F.struct("_words", "_equal", (-F.col("_start")).alias("_back"))).alias("_best"))
-    out = best.select(F.col("_id").alias("doc_id"), F.col("_item").alias("item_id"), F.col("_best._words").alias("n_words"), F.col("_best._equal").alias("n_equal"), (-F.col("_best._back")).alias("start_word"), "_tag")
+    checked = pairs.select("_id", "_tag", "_item", "_from", "_diagonal", "_around", "_words").mapInArrow(_verified(seeds), f"_id {id_type}, _tag long, _item long, _words int, _equal int, _start int")
+    named = checked.join(bench.select("_item", "_item_id"), "_item")
+    best = named.groupBy("_id", "_tag", "_item_id").agg(F.max(F.struct("_words", "_equal", (-F.col("_start")).alias("_back"))).alias("_best"))
+    out = best.select(F.col("_id").alias("doc_id"), F.col("_item_id").alias("item_id"), F.col("_best._words").alias("n_words"), F.col("_best._equal").alias("n_equal"), (-F.col("_best._back")).alias("start_word"), "_tag")
     return out if with_tag else out.drop("_tag")
 
 
