@@ -1,195 +1,296 @@
 """A container format for token ids: adaptive context mixing and range coding in independent blocks.
 
-Ids are cut into blocks of BLOCK_IDS, and each block starts from a fresh model. Three predictions are
-mixed: the id that last followed the two ids before (order 2), the id that last followed the one
-before (order 1), each with a confidence, and a distribution of single ids (order 0). How much of
-the probability either predicted id gets is learned for each pair of confidences; the rest goes to
-the order-0 distribution, which codes the id as nibbles, highest first, by an adaptive cumulative
-count for each context of nibbles so far. The mixture drives a range coder. Blocks are coded side by
-side, one numpy lane each, so that a step costs a few array operations however many blocks there are.
-
-Container: b"QRC1", then little-endian: u8 nibbles for an id, u32 documents, u64 ids, u32 blocks;
+Ids are cut into blocks of BLOCK_IDS, and each block starts from a fresh model. Three distributions
+of the next id are mixed: what followed the two ids before (order 2), what followed the one before
+(order 1), and all ids (order 0), each by the counts of the block so far; an id not seen yet has its
+share of a fourth, even one. The mixture's weights are learned too, for each pair of classes that
+says how often the contexts of order 2 and 1 have been seen. An id is coded as the part of the
+mixture that makes it likeliest, by that part's weight, and its interval in that part's counts; both
+drive one range coder. Counts and weights are brought up to date when a block has doubled since they
+last were, so that a block's first FIRST ids are coded evenly.
+
+A distribution is a sorted list of the ids that followed its context, repeats included: an id's
+interval is where it stands there, and a decoded place names the id without a search. Blocks are
+coded side by side, one numpy lane each; contexts are hashed to as many lists as ids were seen, and
+contexts that share a list share its counts.
+
+Container: b"QRC2", then little-endian: u8 nibbles for an id, u32 documents, u64 ids, u32 blocks;
 for each document u8 id present, i64 id, u64 length; for each block u32 ids, u32 CRC-32 of its ids
-as u32, u32 bytes of payload; then the payloads, 16-bit big-endian digits of the coded number.
+as u32, u32 bytes of payload; then the payloads, 32-bit big-endian digits of the coded number.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"QRC1"
-BLOCK_IDS = 4096
-#: Blocks that are coded side by side. Each has 2**ROW_BITS rows of order 0 (32 bytes each), two
-#: tables of 2**GUESS_BITS guesses (4 bytes each), and 128 pairs of shares.
-LANES, ROW_BITS, GUESS_BITS = 1024, 10, 11
-TOTAL, SUREST, ROW_RATE, SHARE_RATE, LEAST = 4096, 7, 4, 4, 64
+MAGIC = b"QRC2"
+#: Ids in a block, ids before its first model, and blocks that are coded side by side: some 150 bytes for each of their ids.
+BLOCK_IDS, FIRST, LANES = 4096, 128, 1024
+#: Ids whose counts are looked up together.
+AT_ONCE = 1 << 15
+#: Weights are out of 1 << SHARE; an interval's width is kept at LEAST or more; contexts are classed by how often they were seen.
+SHARE, LEAST, CLASSES = 12, 1 << 30, (1, 2, 4)
 _HEAD, _DOC, _BLOCK = struct.Struct("<BIQI"), np.dtype([("has", "u1"), ("id", "<i8"), ("n", "<u8")]), np.dtype([("n", "<u4"), ("crc", "<u4"), ("size", "<u4")])
+#: Parts of the mixture, in this order: orders 2, 1 and 0, and the even one.
+_PARTS, _PAIRS, _LOW = 4, (len(CLASSES) + 1) ** 2, (1 << 20) - 1
+
+
+def generations(steps: int) -> Iterator[tuple[int, int]]:
+    """Ranges of steps that are coded by one state of the model."""
+    lo, hi = 0, FIRST
+    while lo < steps:
+        yield lo, min(hi, steps)
+        lo, hi = hi, hi * 2
+
+
+def _context(order: int, before: np.ndarray, earlier: np.ndarray, lists: int) -> np.ndarray:
+    """The list of a context: of the id before, or of both ids before. lists is a power of two."""
+    if order == 1:
+        return before & (lists - 1)
+    return ((before * 0x9E3779B1 + earlier * 0x85EBCA6B) & 0xFFFFFFFF) >> (33 - lists.bit_length())
+
+
+def _keys(order: int, lists: int, bits: int, ids: np.ndarray, before: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+    """Lane, list and id as one number: ids (lanes, some) and the two before each."""
+    lane = np.arange(len(ids))[:, None]
+    return ((lane * lists + _context(order, before, earlier, lists) if order else lane) << bits) | ids
+
+
+def _class(sizes: np.ndarray) -> np.ndarray:
+    return sum((sizes >= c).astype(np.int64) for c in CLASSES)
+
+
+def _shares(hits: np.ndarray, known: bool) -> np.ndarray:
+    """Below which of 1 << SHARE each part begins: (lanes, pairs of classes, parts + 1). A part without counts has none."""
+    room = np.array([[known and two > 0, known and one > 0, known, True] for two in range(len(CLASSES) + 1) for one in range(len(CLASSES) + 1)], np.int64)
+    # A pair's own hits count most; a sixteenth of all the lane's hits, and one, are added.
+    weights = (hits * 16 + hits.sum(axis=1, keepdims=True) + 16) * room
+    sizes = (weights * ((1 << SHARE) - _PARTS) // weights.sum(axis=2, keepdims=True) + 1) * room
+    out = np.zeros((*sizes.shape[:2], _PARTS + 1), np.int64)
+    np.cumsum(sizes, axis=2, out=out[:, :, 1:])
+    out[:, :, _PARTS] = 1 << SHARE
+    return out
+
+
+def _stands(order: int, ids: np.ndarray, lo: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ids[:, lo:], what ids[:, :lo] has in the list of its context: the list's length, and the id's interval (from << 20 | size).
+
+    One sort brings the ids before and those asked for together, list by list and id by id; counts
+    of the former up to each place give all three.
+    """
+    lanes, n = ids.shape
+    place = np.arange(lanes * n).reshape(lanes, n)
+    place[:, :lo] |= 1 << 20
+    packed = ((_keys(order, lo, bits, ids, _before(ids, 1), _before(ids, 2)) << 21) | place).reshape(-1)
+    packed.sort()
+    old = packed & (1 << 20)
+    count = np.zeros(len(packed) + 1, np.int64)  # in units of 1 << 20
+    np.cumsum(old, out=count[1:])
+    asked = np.flatnonzero(old == 0)
+    place = packed.take(asked) & ((1 << 20) - 1)
+    packed >>= 21
+    new = np.empty(len(packed), bool)
+    new[0] = True
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    edge = np.flatnonzero(new)
+    lists = packed.take(edge) >> bits
+    head = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+    held = np.diff(np.append(head, len(lists)))
+    at = count.take(edge)
+    first = at.take(head)
+    sizes, first = np.repeat(np.stack([np.diff(np.append(first, count[-1])), first]), held, axis=1)
+    own = (sizes << 20) | (at - first) | (np.diff(np.append(at, count[-1])) >> 20)
+    out = np.empty(lanes * n, np.int64)
+    out[place] = own.take(np.cumsum(new).take(asked) - 1)
+    out = out.reshape(lanes, n)[:, lo:]
+    return out >> 40, out & ((1 << 40) - 1)
+
+
+def _before(ids: np.ndarray, by: int) -> np.ndarray:
+    """The id that many places before each one, 0 before the first."""
+    out = np.zeros_like(ids)
+    out[:, by:] = ids[:, :-by]
+    return out
+
 
-#: Where a distribution moves when nibble s has been seen: all but a floor of 4 for each other nibble.
-_TOWARDS = np.array([[4 * i if i <= s else TOTAL - 4 * (16 - i) for i in range(16)] for s in range(16)], np.int16)
-_FRESH = np.array([i * TOTAL // 16 for i in range(16)], np.int16)
-_U4, _U16, _U32 = np.uint64(4), np.uint64(16), np.uint64(32)
-_LOW32, _ALL = np.uint64(2**32 - 1), np.uint64(65536)
-_ID = np.uint32(2**24 - 1)
-
-
-class _Model:
-    """What the next id is expected to be, in each lane."""
-
-    def __init__(self, lanes: int) -> None:
-        lane = np.arange(lanes, dtype=np.uint32)
-        self.row_base, self.guess_base, self.share_base = lane << np.uint32(ROW_BITS), lane << np.uint32(GUESS_BITS), lane << np.uint32(7)
-        self.row16 = np.arange(lanes) * 16
-        self.rows = np.tile(_FRESH, (lanes << ROW_BITS, 1))
-        self.guesses = [np.zeros(lanes << GUESS_BITS, np.uint32) for _ in range(2)]  # id, and confidence in the top byte
-        self.shares = [np.full(lanes << 7, 65536 // 4, np.int32) for _ in range(2)]
-        self.before = [np.zeros(lanes, np.uint32) for _ in range(2)]
-
-    def guess(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of order 2 and order 1 (no id where there is none), and their parts of 65536."""
-        one = (self.before[0] + np.uint32(1)) * np.uint32(0xC2B2AE35)
-        two = (one ^ (self.before[1] * np.uint32(0x27D4EB2F))) * np.uint32(0x85EBCA6B)
-        self.at = [self.guess_base + (two >> np.uint32(32 - GUESS_BITS)), self.guess_base + (one >> np.uint32(32 - GUESS_BITS))]
-        self.held = [g.take(a) for g, a in zip(self.guesses, self.at, strict=True)]
-        sure = [g >> np.uint32(24) for g in self.held]
-        ids = [np.where(c > 0, g & _ID, _ID) for g, c in zip(self.held, sure, strict=True)]
-        alike = ids[0] == ids[1]
-        ids[1] = np.where(alike, _ID, ids[1])
-        self.share_at = self.share_base + (sure[0] << np.uint32(4) | sure[1] << np.uint32(1) | alike)
-        first, second = (s.take(self.share_at) for s in self.shares)
-        second = ((65536 - first) * (second >> 2)) >> 14
-        return ids[0], ids[1], np.maximum(first, LEAST), np.maximum(second, LEAST)
-
-    def learn(self, ids: np.ndarray, which: np.ndarray) -> None:
-        """which: 0 and 1 where the guess of order 2 or 1 was right, 2 elsewhere."""
-        first, second = (s.take(self.share_at) for s in self.shares)
-        self.shares[0][self.share_at] = first + ((np.where(which == 0, 65535 - 512, 512) - first) >> SHARE_RATE)
-        self.shares[1][self.share_at] = np.where(which == 0, second, second + ((np.where(which == 1, 65535 - 512, 512) - second) >> SHARE_RATE))
-        for guesses, at, held in zip(self.guesses, self.at, self.held, strict=True):
-            sure = held >> np.uint32(24)
-            right = (held & _ID) == ids
-            better = np.minimum(sure + np.uint32(1), np.uint32(SUREST)) << np.uint32(24) | ids
-            worse = np.where(sure > 1, held - (np.uint32(1) << np.uint32(24)), np.uint32(1 << 24) | ids)
-            guesses[at] = np.where(right & (sure > 0), better, worse)
-        self.before = [ids + np.uint32(1), self.before[0]]
-
-    def row(self, node: np.ndarray) -> np.ndarray:
-        """Cumulative counts below each nibble, out of TOTAL. node: the nibbles so far behind a leading 1."""
-        self.row_at = self.row_base + ((node * np.uint32(0x9E3779B1)) >> np.uint32(32 - ROW_BITS))
-        self.own = self.rows.take(self.row_at, axis=0, mode="clip")
-        return self.own
-
-    def learn_row(self, nibble: np.ndarray) -> None:
-        towards = _TOWARDS.take(nibble, axis=0, mode="clip")
-        towards -= self.own
-        towards >>= np.int16(ROW_RATE)
-        towards += self.own
-        self.rows[self.row_at] = towards
-
-
-def _encode_lanes(ids: np.ndarray, nibbles: int) -> list[bytes]:
-    """ids: (lanes, steps). The low end and width of each lane's interval keep 48 bits; carries are settled at the end."""
+def _choose(ids: np.ndarray, lo: int, hits: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ids[:, lo:]: the pair of classes * parts + the likeliest part, its share (from << 16 | size), and its interval (from << 40 | size << 20 | length of the list)."""
+    stands = [_stands(order, ids, lo, bits) for order in (2, 1, 0)] if lo else []
+    asked, shares = ids[:, lo:], _shares(hits, lo > 0)
+    pair = _class(stands[0][0]) * (len(CLASSES) + 1) + _class(stands[1][0]) if lo else np.zeros_like(asked)
+    row = (np.arange(len(ids))[:, None] * _PAIRS + pair) * (_PARTS + 1)
+    shares = shares.reshape(-1)
+    edges = [shares.take(row + k) for k in range(_PARTS + 1)]
+    part = np.full(asked.shape, _PARTS - 1)
+    size = edges[_PARTS] - edges[_PARTS - 1]
+    share, span, best = (edges[_PARTS - 1] << 16) | size, (asked << 40) | (1 << 20), size * 2.0**-bits
+    for k, (length, interval) in enumerate(stands):
+        size = edges[k + 1] - edges[k]
+        likely = size * (interval & _LOW) / np.maximum(length, 1)
+        better = likely > best
+        np.copyto(best, likely, where=better)
+        np.copyto(part, k, where=better)
+        np.copyto(share, (edges[k] << 16) | size, where=better)
+        np.copyto(span, (interval << 20) | length, where=better)
+    return pair * _PARTS + part, share, span
+
+
+def _blocks(lanes: int, n: int) -> Iterator[slice]:
+    """Lanes that are looked at together: few enough for their numbers to stay in a processor's cache."""
+    some = max(1, AT_ONCE // n)
+    for i in range(0, lanes, some):
+        yield slice(i, min(i + some, lanes))
+
+
+class _Lists:
+    """All lists after some ids of each lane, seen (lanes, n), for decoding."""
+
+    def __init__(self, seen: np.ndarray, bits: int) -> None:
+        lanes, n = seen.shape
+        self.lists = max(n, 1)
+        #: For each part and list: where it begins in self.entries << 32, its length << 8, its class.
+        self.heads = [np.zeros(lanes * (self.lists if order else 1), np.int64) for order in (2, 1, 0)]
+        #: For each place of a list: the id << 40, its interval's first place in the list << 20, its length.
+        self.entries = np.empty(3 * seen.size + (1 << bits), np.int64)
+        begin = 0
+        for some in _blocks(lanes, n) if n else ():
+            own = seen[some]
+            before, earlier = _before(own, 1), _before(own, 2)
+            for k, order in enumerate((2, 1, 0)):
+                width = self.lists if order else 1
+                keys = _keys(order, n, bits, own, before, earlier).reshape(-1)
+                keys.sort()
+                sizes = np.bincount(keys >> bits, minlength=len(own) * width)
+                starts = np.cumsum(sizes) - sizes
+                edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                runs, first = np.diff(np.append(edge, len(keys))), keys[edge]
+                self.entries[begin : begin + len(keys)] = np.repeat(((first & ((1 << bits) - 1)) << 40) | ((edge - starts[first >> bits]) << 20) | runs, runs)
+                self.heads[k][some.start * width : some.stop * width] = ((starts + begin) << 32) | (sizes << 8) | _class(sizes)
+                begin += len(keys)
+        every = np.arange(1 << bits)
+        self.even = (begin << 32) | (len(every) << 8)
+        self.entries[begin:] = (every << 40) | (every << 20) | 1
+
+
+def _hit_counts(hits: np.ndarray, coded: np.ndarray) -> np.ndarray:
+    """hits with those of coded (lanes, some) added."""
+    lanes = len(hits)
+    at = (np.arange(lanes)[:, None] * (_PAIRS * _PARTS) + coded).reshape(-1)
+    return hits + np.bincount(at, minlength=hits.size).reshape(hits.shape)
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of numbers that aren't negative; a may wrap around where a payload is damaged or at its end."""
+    return (a.view(np.uint64) // b.view(np.uint64)).view(np.int64)
+
+
+class _Digits:
+    """The low ends and widths of the lanes' intervals; low ends keep 64 bits, and carries are settled at the end."""
+
+    def __init__(self, lanes: int, steps: int) -> None:
+        self.low, self.width = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 62)
+        self.out, self.used = np.zeros((lanes, steps * 5 // 4 + 8), np.int64), np.zeros(lanes, np.int64)
+
+    def narrow(self, share: np.ndarray, span: np.ndarray, even: int) -> None:
+        part = self.width >> SHARE
+        add = part * (share >> 16)
+        width = part * (share & 0xFFFF)
+        size = span & _LOW
+        part = _quotient(width, np.where(size == 0, even, size))
+        add += part * (span >> 40)
+        self.width = width = part * ((span >> 20) & _LOW)
+        low = self.low + add.view(np.uint64)
+        if (over := np.flatnonzero(low < self.low)).size:
+            self.out[over, self.used[over] - 1] += 1
+        self.low = low
+        if (small := np.flatnonzero(width < LEAST)).size:
+            own, at = low[small], self.used[small]
+            self.out[small, at] = (own >> np.uint64(32)).view(np.int64)
+            self.used[small] = at + 1
+            low[small] = own << np.uint64(32)
+            width[small] <<= 32
+
+    def payload(self, lane: int) -> bytes:
+        used, low = int(self.used[lane]), int(self.low[lane])
+        digits = self.out[lane, : used + 2].copy()
+        digits[used:] = low >> 32, low & 0xFFFFFFFF
+        # A digit may have passed 32 bits by carries, which go to the digits before it.
+        while (over := np.flatnonzero(digits >> 32)).size:
+            digits[over - 1] += digits[over] >> 32
+            digits[over] &= 0xFFFFFFFF
+        return digits.astype(">u4").tobytes()
+
+
+def _encode_lanes(ids: np.ndarray, bits: int, last: int) -> list[bytes]:
+    """ids: (lanes, steps); the last lane has only so many of them."""
+    ids = ids.astype(np.int64)
     lanes, steps = ids.shape
-    model = _Model(lanes)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**48 - 1, np.uint64)
-    digits, used = np.zeros((lanes, steps * (nibbles + 1) + 3), np.int32), np.zeros(lanes, np.int64)
-
-    def narrow(lo: np.ndarray, size: np.ndarray) -> None:
-        """lo and size out of 65536."""
-        nonlocal low, width
-        part = width >> _U16
-        low += part * lo
-        width = part * size
-        small = np.flatnonzero(width < _U32_END)
-        if len(small):
-            out, at = low[small], used[small]
-            digits[small, at] = out >> _U32
-            used[small] = at + 1
-            low[small] = (out & _LOW32) << _U16
-            width[small] <<= _U16
-
-    for t in range(steps):
-        now, node = np.ascontiguousarray(ids[:, t]), np.ones(lanes, np.uint32)
-        two, one, p, q = model.guess()
-        which = np.where(now == two, 0, np.where(now == one, 1, 2))
-        narrow(np.where(which == 0, 0, np.where(which == 1, p, p + q)).astype(np.uint64), np.where(which == 0, p, np.where(which == 1, q, 65536 - p - q)).astype(np.uint64))
-        told = which < 2
-        for k in range(nibbles - 1, -1, -1):
-            nibble = (now >> np.uint32(4 * k)) & np.uint32(15)
-            below = model.row(node).reshape(-1)
-            at = model.row16 + nibble
-            lo = below.take(at)
-            hi = np.where(nibble == 15, TOTAL, below.take(at + 1, mode="clip"))
-            # Where a guess was right, the nibbles are known and take no room.
-            narrow(np.where(told, 0, lo).astype(np.uint64) << _U4, np.where(told, TOTAL, hi - lo).astype(np.uint64) << _U4)
-            model.learn_row(nibble)
-            node = (node << np.uint32(4)) | nibble
-        model.learn(now, which)
-    for _ in range(3):
-        digits[np.arange(lanes), used] = low >> _U32
-        used += 1
-        low = (low & _LOW32) << _U16
-    for c in range(int(used.max()) - 1, 0, -1):
-        digits[:, c - 1] += digits[:, c] >> 16
-    return [(digits[i, : used[i]] & 0xFFFF).astype(">u2").tobytes() for i in range(lanes)]
-
-
-_U32_END = np.uint64(2**32)
-_ONES = np.uint64(0x0101010101010101)
-
-
-def _decode_lanes(payloads: list[bytes], steps: int, nibbles: int) -> np.ndarray:
+    hits, digits, tail = np.zeros((lanes, _PAIRS, _PARTS), np.int64), _Digits(lanes, steps), b""
+    for lo, hi in generations(steps):
+        share, span = np.empty((hi - lo, lanes), np.int64), np.empty((hi - lo, lanes), np.int64)
+        for some in _blocks(lanes, hi):
+            coded, shares, spans = _choose(ids[some, :hi], lo, hits[some], bits)
+            share[:, some], span[:, some] = shares.T, spans.T
+            hits[some] = _hit_counts(hits[some], coded)
+        for t in range(hi - lo):
+            if lo + t == last:
+                tail = digits.payload(lanes - 1)
+            digits.narrow(share[t], span[t], 1 << bits)
+    return [*(digits.payload(i) for i in range(lanes - 1)), tail or digits.payload(lanes - 1)]
+
+
+def _decode_lanes(payloads: list[bytes], steps: int, bits: int) -> np.ndarray:
     lanes = len(payloads)
-    model = _Model(lanes)
-    most = max(len(p) for p in payloads) // 2 + 4
-    digits = np.zeros((lanes, most), np.uint64)
+    most = max(len(p) for p in payloads) // 4 + 2
+    digits = np.zeros((lanes, most), np.int64)
     for i, p in enumerate(payloads):
-        digits[i, : len(p) // 2] = np.frombuffer(p, ">u2")
-    code = (digits[:, 0] << _U32) | (digits[:, 1] << _U16) | digits[:, 2]
-    width, used = np.full(lanes, 2**48 - 1, np.uint64), np.full(lanes, 3, np.int64)
-    ids = np.zeros((lanes, steps), np.uint32)
-
-    def narrow(part: np.ndarray, lo: np.ndarray, size: np.ndarray) -> None:
-        nonlocal code, width
-        code -= part * lo
-        width = part * size
-        small = np.flatnonzero(width < _U32_END)
-        if len(small):
-            at = used[small]
-            code[small] = (code[small] << _U16) | digits[small, np.minimum(at, most - 1)]
-            used[small] = at + 1
-            width[small] <<= _U16
-
-    for t in range(steps):
-        two, one, p, q = model.guess()
-        part = width >> _U16
-        target = np.minimum(code // part, _ALL - np.uint64(1)).astype(np.int32)
-        which = (target >= p).astype(np.int8) + (target >= p + q)
-        narrow(part, np.where(which == 0, 0, np.where(which == 1, p, p + q)).astype(np.uint64), np.where(which == 0, p, np.where(which == 1, q, 65536 - p - q)).astype(np.uint64))
-        told = which < 2
-        known = np.where(which == 0, two, one)
-        node = np.ones(lanes, np.uint32)
-        for k in range(nibbles - 1, -1, -1):
-            rows = model.row(node)
-            part = width >> _U16
-            target = np.minimum((code // part) >> _U4, np.uint64(TOTAL - 1)).astype(np.int16)
-            hits = (rows <= target[:, None]).view(np.uint64)
-            coded = (((hits[:, 0] + hits[:, 1]) * _ONES) >> np.uint64(56)).astype(np.uint32) - np.uint32(1)
-            nibble = np.where(told, (known >> np.uint32(4 * k)) & np.uint32(15), coded)
-            below, at = rows.reshape(-1), model.row16 + nibble
-            lo = below.take(at)
-            hi = np.where(nibble == 15, TOTAL, below.take(at + 1, mode="clip"))
-            narrow(part, np.where(told, 0, lo).astype(np.uint64) << _U4, np.where(told, TOTAL, hi - lo).astype(np.uint64) << _U4)
-            model.learn_row(nibble)
-            node = (node << np.uint32(4)) | nibble
-        now = node & np.uint32((1 << (4 * nibbles)) - 1)
-        ids[:, t] = now
-        model.learn(now, which)
-    return ids
+        digits[i, : len(p) // 4] = np.frombuffer(p, ">u4")
+    # The coded number is below 2**62 of its first two digits' 2**64: the first interval is that wide.
+    code, width, used = (digits[:, 0] << 32) | digits[:, 1], np.full(lanes, 1 << 62), np.full(lanes, 2)
+    ids, coded = np.zeros((steps, lanes), np.int64), np.zeros((steps, lanes), np.int64)
+    hits, lane = np.zeros((lanes, _PAIRS, _PARTS), np.int64), np.arange(lanes)
+    earlier = before = np.zeros(lanes, np.int64)
+    for lo, hi in generations(steps):
+        model = _Lists(np.ascontiguousarray(ids[:lo].T), bits)
+        base, shares, rows = lane * model.lists, _shares(hits, lo > 0).reshape(-1), lane * _PAIRS
+        heads = np.stack([lane, lane, model.heads[2], np.full(lanes, model.even)])
+        flat = heads.reshape(-1)
+        for t in range(lo, hi):
+            heads[0] = model.heads[0].take(base + _context(2, before, earlier, model.lists))
+            heads[1] = model.heads[1].take(base + _context(1, before, earlier, model.lists))
+            pair = (heads[0] & 255) * (len(CLASSES) + 1) + (heads[1] & 255)
+            row = (rows + pair) * (_PARTS + 1)
+            step = width >> SHARE
+            at = np.minimum(_quotient(code, step).view(np.uint64), np.uint64((1 << SHARE) - 1)).view(np.int64)
+            part = (at >= shares.take(row + 1)).astype(np.int64)
+            part += at >= shares.take(row + 2)
+            part += at >= shares.take(row + 3)
+            row += part
+            start = shares.take(row)
+            code = code - step * start
+            width = step * (shares.take(row + 1) - start)
+            head = flat.take(part * lanes + lane)
+            size = (head >> 8) & 0xFFFFFF
+            step = _quotient(width, size)
+            at = np.minimum(_quotient(code, step).view(np.uint64), (size - 1).view(np.uint64)).view(np.int64)
+            entry = model.entries.take((head >> 32) + at)
+            code -= step * ((entry >> 20) & _LOW)
+            width = step * (entry & _LOW)
+            if (small := np.flatnonzero(width < LEAST)).size:
+                at = used[small]
+                code[small] = (code[small] << 32) | digits[small, np.minimum(at, most - 1)]
+                used[small] = at + 1
+                width[small] <<= 32
+            earlier, before = before, entry >> 40
+            ids[t] = before
+            coded[t] = pair * _PARTS + part
+        hits = _hit_counts(hits, coded[lo:hi].T)
+    return ids.T
 
 
 @dataclass
@@ -200,19 +301,19 @@ class Container:
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, nibbles: int = 4) -> bytes:
-    """One container. Every id must be below 16 ** nibbles, and nibbles at most 5."""
+    """One container. Every id must be below 16 ** nibbles, and nibbles at most 4."""
     ids = np.ascontiguousarray(ids, np.uint32)
-    if nibbles > 5 or len(ids) and int(ids.max()) >> (4 * nibbles):
-        raise ValueError(f"an id needs more than {nibbles} nibbles")
+    if nibbles > 4 or len(ids) and int(ids.max()) >> (4 * nibbles):
+        raise ValueError(f"an id needs more than {min(nibbles, 4)} nibbles")
     cut = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
     payloads: list[bytes] = []
     for lo in range(0, len(cut), LANES):
         group = cut[lo : lo + LANES]
-        # Only the last block may be shorter: it is padded, and cut to its length when read.
-        table = np.zeros((len(group), max(len(b) for b in group)), np.uint32)
+        # Only the last block may be shorter; its lane goes on with zeros that aren't kept.
+        table = np.zeros((len(group), len(group[0])), np.uint32)
         for i, b in enumerate(group):
             table[i, : len(b)] = b
-        payloads += _encode_lanes(table, nibbles)
+        payloads += _encode_lanes(table, 4 * nibbles, len(group[-1]))
     docs, blocks = np.zeros(len(doc_ids), _DOC), np.zeros(len(cut), _BLOCK)
     docs["has"], docs["id"], docs["n"] = [x is not None for x in doc_ids], [x or 0 for x in doc_ids], lengths
     blocks["n"], blocks["crc"], blocks["size"] = [len(b) for b in cut], [zlib.crc32(b.astype("<u4").tobytes()) for b in cut], [len(p) for p in payloads]
@@ -233,7 +334,7 @@ def unpack(content: bytes) -> Container:
     parts: list[np.ndarray] = []
     for lo in range(0, n_blocks, LANES):
         own = range(lo, min(lo + LANES, n_blocks))
-        table = _decode_lanes([content[bounds[i] : bounds[i + 1]] for i in own], int(blocks["n"][lo : own.stop].max()), nibbles)
+        table = _decode_lanes([content[bounds[i] : bounds[i + 1]] for i in own], int(blocks["n"][lo : own.stop].max()), 4 * nibbles).astype(np.uint32)
         for i in own:
             block = table[i - lo, : blocks["n"][i]]
             if zlib.crc32(block.astype("<u4").tobytes()) != blocks["crc"][i]:

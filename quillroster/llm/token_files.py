@@ -12,9 +12,11 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,31 +27,73 @@ from quillroster.llm.common import new_table_path, text_of
 END_ID = 2
 #: A container is closed when it has so many ids; the last document's are all in it.
 CONTAINER_IDS = 1 << 22
-CHUNKS = 300_000
+#: Chunks that half a worker's memory of them holds, the longest of them in characters, and how many go to the library as one text.
+CHUNKS, LONGEST, TOGETHER = 250_000, 64, 128
+#: Bytes of text that are looked at together.
+SLICE_BYTES = 1 << 23
 CONTAINER = "part int, seq int, n_docs long, n_ids long, content binary"
 
 
-class Chunks(dict):
-    """Chunks of visible text and their ids in bytes, by the tokenizers library. White space only separates for these vocabularies."""
+class Chunks:
+    """Ids of texts by the tokenizers library, which is asked once for each chunk of visible text: white space only separates for these vocabularies.
+
+    Chunks that were met lately are remembered in two halves; when the younger is full, the older is forgotten.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > CHUNKS:
-            self.clear()
-        new = list({c for chunks in split for c in chunks if c not in self})
-        for chunk, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(got.ids, np.uint32).tobytes()
-        end = np.array([end_id], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(self.__getitem__, chunks)) + end, np.uint32) for chunks in split]
+        special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())]
+        self.border, self.border_id = special[-1] if special else ("", -1)
+        self.marks = {content[0] for content, _ in special}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _asked(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk in bytes. Many chunks go through the library as one text, with a special token between two."""
+        plain = [c for c in chunks if self.marks.isdisjoint(c)] if self.border else []
+        known: dict[str, bytes] = {}
+        for lo in range(0, len(plain), TOGETHER):
+            some = plain[lo : lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.border.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.border_id)
+            raw = ids.tobytes()
+            known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)), strict=True))
+        rest = [c for c in chunks if c not in known]
+        known.update((c, np.array(got.ids, np.uint32).tobytes()) for c, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        return [known[c] for c in chunks]
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """chunks are distinct."""
+        out = list(map(self.young.get, chunks))
+        missing = [i for i, x in enumerate(out) if x is None]
+        found = list(map(self.old.get, map(chunks.__getitem__, missing)))
+        new = [i for i, x in zip(missing, found, strict=True) if x is None]
+        asked = iter(self._asked([chunks[i] for i in new]))
+        for i, x in zip(missing, found, strict=True):
+            out[i] = x = next(asked) if x is None else x
+            if len(chunks[i]) <= LONGEST:
+                self.young[chunks[i]] = x
+        if len(self.young) > CHUNKS:
+            self.old, self.young = self.young, {}
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each one's with end_id behind, and how many each has."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        own = [*self.ids_of(coded.dictionary.to_pylist()), np.array([end_id], np.uint32).tobytes()]
+        table, size = np.frombuffer(b"".join(own), np.uint32), np.fromiter(map(len, own), np.int64, len(own)) >> 2
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        which = np.insert(coded.indices.to_numpy(), bounds[1:], len(own) - 1)
+        sizes = size[which]
+        ends = np.cumsum(sizes)
+        at = np.repeat((np.cumsum(size) - size)[which] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return table[at], np.diff(np.concatenate([[0], ends])[bounds + np.arange(len(bounds))])
 
 
 @lru_cache(maxsize=2)
@@ -57,27 +101,46 @@ def chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of SLICE_BYTES at most; a longer text has a range of its own."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def _containers(path: str, end_id: int, container_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
+        lengths: list[np.ndarray] = []
         held: list[np.ndarray] = []
         size = 0
 
         def closed() -> pa.RecordBatch:
-            content = pack(doc_ids, np.array([len(x) for x in held]), np.concatenate(held))
+            content = pack(doc_ids, np.concatenate(lengths), np.concatenate(held))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([size], pa.int64()), pa.array([content], pa.binary())], ["part", "seq", "n_docs", "n_ids", "content"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
-                for doc_id, ids in zip(some.column("_id").to_pylist(), chunks(path).encode(some.column("_text").to_pylist(), end_id), strict=True):
-                    doc_ids.append(doc_id)
-                    held.append(ids)
-                    size += len(ids)
+            keys, texts = batch.column("_id").to_pylist(), batch.column("_text")
+            for lo, hi in _slices(texts):
+                ids, n = chunks(path).encode(texts.slice(lo, hi - lo), end_id)
+                ends = np.cumsum(n)
+                done = 0
+                while done < len(n):
+                    begin = int(ends[done - 1]) if done else 0
+                    # Up to the document that fills the container, or all that are left.
+                    last = min(int(np.searchsorted(ends, begin + container_ids - size)), len(n) - 1)
+                    doc_ids += keys[lo + done : lo + last + 1]
+                    lengths.append(n[done : last + 1])
+                    held.append(ids[begin : int(ends[last])])
+                    size += int(ends[last]) - begin
+                    done = last + 1
                     if size >= container_ids:
                         yield closed()
-                        doc_ids, held, size, seq = [], [], 0, seq + 1
+                        doc_ids, lengths, held, size, seq = [], [], [], 0, seq + 1
         if doc_ids:
             yield closed()
 
@@ -89,11 +152,13 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, id_col: str
 
     tokenizer_path names a vocabulary of the tokenizers library that drops white space and whose ids
     are below 65,536. Null text counts as empty and has end_id only. Null ids come first; rows that
-    repeat an id each have ids of their own, in no stated order among them. An empty table makes no
-    container. Other columns are not read.
+    repeat an id each have ids of their own, in the order of their texts' 64-bit hashes. An empty
+    table makes no container. Other columns are not read. Rows of one id may be split over tasks.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
-    rows.repartitionByRange("_id").sortWithinPartitions("_id").mapInArrow(_containers(tokenizer_path, end_id, container_ids), CONTAINER).write.parquet(path)
+    rows = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    # Equal rows are told apart by where they were read, so that no group of them has to fit into one task.
+    dealt = rows.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange("_id", "_h", "_n").sortWithinPartitions("_id", "_h", "_text").select("_id", "_text")
+    dealt.mapInArrow(_containers(tokenizer_path, end_id, container_ids), CONTAINER).write.parquet(path)
 
 
 def _documents(with_ids: bool):
@@ -102,13 +167,13 @@ def _documents(with_ids: bool):
             for part, seq, content in zip(*(batch.column(c) for c in ("part", "seq", "content")), strict=True):
                 got = unpack(content.as_py())
                 ends = np.cumsum(got.lengths)
-                bounds = list(zip((ends - got.lengths).tolist(), ends.tolist(), strict=True))
-                raw = got.ids.astype("<u4")
-                n = len(bounds)
-                columns = [pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), pa.array(got.doc_ids, pa.int64()), pa.array(ends - got.lengths), pa.array(got.lengths), pa.array([zlib.crc32(raw[a:b].tobytes()) for a, b in bounds], pa.int64())]
+                raw = memoryview(got.ids.astype("<u4")).cast("B")
+                bounds = [0, *(4 * ends).tolist()]
+                n = len(ends)
+                columns = [pa.array([part.as_py()] * n, pa.int32()), pa.array([seq.as_py()] * n, pa.int32()), pa.array(got.doc_ids, pa.int64()), pa.array(ends - got.lengths), pa.array(got.lengths), pa.array([zlib.crc32(raw[a:b]) for a, b in pairwise(bounds)], pa.int64())]
                 names = ["part", "seq", "doc_id", "_from", "n_tokens", "ids_crc32"]
                 if with_ids:
-                    columns, names = [*columns, pa.array([raw[a:b].astype(np.int32) for a, b in bounds], pa.list_(pa.int32()))], [*names, "ids"]
+                    columns, names = [*columns, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(got.ids.astype(np.int32)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
