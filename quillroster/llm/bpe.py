@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillroster.llm.common import text_of
+from quillroster.llm.words import parts
 
 #: Fixed value: how the byte-level pre-tokenizer splits text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A space after and before visible characters always begins a word, so that texts may be cut there.
 ODD_SPACE = regex.compile(r"[^\P{White_Space} ] | (?=\p{White_Space})|^ ")
-#: Encoded pieces that a worker remembers, and pairs of tokens; when full, they start anew.
-PIECES, PAIRS = 400_000, 1_000_000
+#: Encoded pieces that a worker remembers, the longest of them in characters, and pairs of tokens; when full, they start anew.
+PIECES, LONGEST, PAIRS = 200_000, 64, 400_000
 NEVER = 1 << 60
 
 
@@ -50,6 +51,8 @@ class Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST:
+            return self.encode(piece)
         if len(self) >= PIECES:
             self.clear()
         self[piece] = ids = self.encode(piece)
@@ -189,12 +192,12 @@ def loaded(path: str) -> Bpe:
 def _coded(path: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column("_text").to_pylist()
             for lo in range(0, batch.num_rows, 500):
-                part = [bpe.encode_bytes(t) for t in texts[lo : lo + 500]]
-                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in part])]).astype(np.int32)
-                flat = np.frombuffer(b"".join(part), np.int32)
+                coded = [bpe.encode_bytes(t) for t in texts[lo : lo + 500]]
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in coded])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(coded), np.int32)
                 columns, names = [batch.column("_id").slice(lo, 500), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"]
                 if decode:
                     columns, names = [*columns, pa.array([bpe.decode(flat[a:b]) for a, b in pairwise(ends.tolist())], pa.string())], [*names, "decoded"]

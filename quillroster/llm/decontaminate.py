@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillroster.llm.common import join_same, materialise, text_of
-from quillroster.llm.words import Words, mixed, normal, slices
+from quillroster.llm.words import Words, mixed, normal, parts, slices
 
 #: Bits of the filter that is sent to every task: 64 to 128 for each benchmark seed, within these bounds.
 FILTER_BITS = (1 << 22, 1 << 28)
@@ -107,7 +107,7 @@ def _benchmark_rows(seeds: Seeds):
     low = min(map(len, seeds.masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for item, text in zip(batch.column("_item"), batch.column("_text").to_pylist(), strict=True):
                 words = Words([_folded(text)])
                 if not len(words.hashes):
@@ -128,7 +128,7 @@ def _hits(seeds: Seeds, bloom: Bloom, reach: int, short: list[int], holed: list[
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [_folded(t) for t in batch.column("_text").to_pylist()]
             for lo, hi in slices(texts):
                 words = Words(texts[lo:hi])

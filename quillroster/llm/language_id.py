@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillroster.llm.common import text_of
+from quillroster.llm.words import parts
 
 UNKNOWN = "und"
 HIDDEN, SEGMENT, LANES = 8, 128, 4096
@@ -172,7 +173,7 @@ def pooled(net: BiGru, texts: list[bytes]) -> np.ndarray:
 
 def _predicted(net: BiGru | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             best, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             if net:
                 texts = [t.encode("utf-8", "surrogatepass") if ok else b"" for t, ok in zip(batch.column("_text").to_pylist(), batch.column("_letters").to_pylist(), strict=True)]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillroster.llm.common import SPACE, join_same, keep_one, materialise, text_of
 from quillroster.llm.components import components
-from quillroster.llm.words import Words, mixed, normal, slices
+from quillroster.llm.words import Words, mixed, normal, parts, slices
 
 ROW = ["_id", "_tag"]
 #: A tile's most rows and bytes of text (one longer text is a tile of its own); two tiles meet in a task.
@@ -77,7 +77,7 @@ def gram_sets(texts: list[bytes], ngram: int) -> list[np.ndarray]:
 
 def _signatures(banding: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [normal(t) for t in batch.column("_text").to_pylist()]
             sets = gram_sets(texts, banding.ngram)
             bands = [band_hashes(s, banding).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]

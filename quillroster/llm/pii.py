@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillroster.llm.common import text_of
+from quillroster.llm.words import parts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -323,7 +324,7 @@ def _examples(seed: int):
     """(_h, _text) -> rows of _h, _x and _tags: windows with their tags, from at most four places of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             hs, xs, ts = [], [], []
             for h, text in zip(batch.column("_h").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 rng = np.random.default_rng([seed, h & 0xFFFFFFFF])
@@ -377,7 +378,7 @@ def spans_text(spans: list[Span]) -> str:
 
 def _found(tagger: Tagger | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column("_text").to_pylist()
             bases = [base_spans(t) for t in texts]
             more = added_spans(tagger, texts, bases) if tagger else [[] for _ in texts]

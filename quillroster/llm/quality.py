@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillroster.llm.common import text_of
-from quillroster.llm.words import Words, normal, slices
+from quillroster.llm.words import Words, normal, parts, slices
 
 BINS = 1024
 FORM = 14
@@ -145,7 +145,7 @@ def held_out(id_col: str) -> Column:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("_text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("_kind"), batch.column("_h"), pa.array([f.tobytes() for f in features(texts)], pa.binary())], ["_kind", "_h", "_features"])
 
@@ -173,7 +173,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
 
 def _scored(scorer: Scorer | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("_text").to_pylist()]
             scores = scorer.scores(texts) if scorer else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(scores)], ["_id", "score"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillroster.llm.common import join_same, materialise, new_table_path, text_of
-from quillroster.llm.words import Words, normal, slices, sliding_min
+from quillroster.llm.words import Words, normal, parts, slices, sliding_min
 
 WIDTH, GRAM, BATCHES, FANOUT = 35, 8, 2, 4
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -48,7 +48,7 @@ def _summaries(width: int):
     """Arrow batches (_id, _tag, _text) -> a row for each document with its fingerprints, one seen at several places twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [normal(t) for t in batch.column("_text").to_pylist()]
             prints: list[np.ndarray] = []
             counts: list[int] = []
@@ -73,7 +73,7 @@ def _nominated(width: int):
     """Arrow batches (_id, _tag, _text, _marks) -> (_id, _tag, _at, _d1, _d2) for each window whose fingerprint is marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = [normal(t) for t in batch.column("_text").to_pylist()]
             marks = batch.column("_marks")
             for lo, hi in slices(texts):
@@ -101,7 +101,7 @@ def _kept(width: int):
     """Arrow batches (_id, _tag, _text, _ats) -> (_id, _tag, _removed, _kept_text, _kept_sha)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             removed, kept = [], []
             for text, ats in zip(batch.column("_text").to_pylist(), batch.column("_ats"), strict=True):
                 words = normal(text).split()

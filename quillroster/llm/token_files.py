@@ -8,6 +8,7 @@ where a document's ids begin follows from prefix sums over containers and partit
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,15 @@ from pyspark.sql import functions as F
 
 from quillroster.llm.coder import pack, unpack
 from quillroster.llm.common import new_table_path, text_of
+from quillroster.llm.words import text_ranges
 
 END_ID = 2
 #: A container is closed when it has so many ids; the last document's are all in it.
 CONTAINER_IDS = 1 << 22
 #: Chunks that half a worker's memory of them holds, the longest of them in characters, and how many go to the library as one text.
-CHUNKS, LONGEST, TOGETHER = 250_000, 64, 128
-#: Bytes of text that are looked at together.
-SLICE_BYTES = 1 << 23
+CHUNKS, LONGEST, TOGETHER = 300_000, 64, 100
+#: Fixed value: marks that end a chunk often and are words of their own there.
+SENTENCE_MARKS = ".,;:!?"
 CONTAINER = "part int, seq int, n_docs long, n_ids long, content binary"
 
 
@@ -48,36 +50,61 @@ class Chunks:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items())]
-        self.border, self.border_id = special[-1] if special else ("", -1)
         self.marks = {content[0] for content, _ in special}
+        vocab = self.tokenizer.get_vocab()
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        #: Which ids end a word, where the vocabulary tells.
+        self.last = np.zeros(max([*vocab.values(), -1]) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _asked(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk in bytes. Many chunks go through the library as one text, with a special token between two."""
-        plain = [c for c in chunks if self.marks.isdisjoint(c)] if self.border else []
+        """The ids of each chunk in bytes. Many words of letters go through the library as one text: each ends with an id that ends a word."""
+        words = [c for c in chunks if c.isalpha()] if self.last.any() else []
         known: dict[str, bytes] = {}
-        for lo in range(0, len(plain), TOGETHER):
-            some = plain[lo : lo + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.border.join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.border_id)
-            raw = ids.tobytes()
-            known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)), strict=True))
+        for lo in range(0, len(words), TOGETHER):
+            some = words[lo : lo + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+                known.update(zip(some, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
         rest = [c for c in chunks if c not in known]
         known.update((c, np.array(got.ids, np.uint32).tobytes()) for c, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True))
-        return [known[c] for c in chunks]
+        return list(map(known.__getitem__, chunks))
+
+    def _found(self, chunk: str) -> bytes | None:
+        if (ids := self.young.get(chunk)) is None and (ids := self.old.get(chunk)) is not None:
+            self.young[chunk] = ids
+        return ids
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        """A chunk as it is asked for: in lower case without the sentence marks at its end, and those marks.
+
+        The vocabulary's normalizer lowers letters one by one and its words end before marks. So much
+        holds for letters below U+0100, which nothing is composed with; other chunks are asked for whole.
+        """
+        if (chunk.isascii() or max(chunk) < "\u0100") and self.marks.isdisjoint(chunk):
+            word = chunk.rstrip(SENTENCE_MARKS)
+            if word and word[-1].isalnum():
+                return (word.lower(), chunk[len(word) :]) if len(word) < len(chunk) else (word.lower(),)
+        return (chunk,)
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """chunks are distinct."""
         out = list(map(self.young.get, chunks))
         missing = [i for i, x in enumerate(out) if x is None]
-        found = list(map(self.old.get, map(chunks.__getitem__, missing)))
-        new = [i for i, x in zip(missing, found, strict=True) if x is None]
-        asked = iter(self._asked([chunks[i] for i in new]))
-        for i, x in zip(missing, found, strict=True):
-            out[i] = x = next(asked) if x is None else x
+        split = [self._parts(chunks[i]) for i in missing]
+        new = [p for p in {p: None for parts in split for p in parts} if self._found(p) is None]
+        asked = self._asked(new)
+        known = dict(zip(new, asked, strict=True))
+        self.young.update((p, x) for p, x in known.items() if len(p) <= LONGEST)
+        for i, parts in zip(missing, split, strict=True):
+            found = [known[p] if p in known else self.young[p] for p in parts]
+            out[i] = ids = found[0] if len(found) == 1 else found[0] + found[1]
             if len(chunks[i]) <= LONGEST:
-                self.young[chunks[i]] = x
+                self.young[chunks[i]] = ids
         if len(self.young) > CHUNKS:
             self.old, self.young = self.young, {}
         return out
@@ -101,16 +128,6 @@ def chunks(path: str) -> Chunks:
     return Chunks(path)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of SLICE_BYTES at most; a longer text has a range of its own."""
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
-        yield lo, hi
-        lo = hi
-
-
 def _containers(path: str, end_id: int, container_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -125,7 +142,7 @@ def _containers(path: str, end_id: int, container_ids: int):
 
         for batch in batches:
             keys, texts = batch.column("_id").to_pylist(), batch.column("_text")
-            for lo, hi in _slices(texts):
+            for lo, hi in text_ranges(texts):
                 ids, n = chunks(path).encode(texts.slice(lo, hi - lo), end_id)
                 ends = np.cumsum(n)
                 done = 0

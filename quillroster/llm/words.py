@@ -7,20 +7,30 @@ same whatever its length.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MASK = 2**64 - 1
 WORD_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Bytes of text that are hashed in one go; hashing takes about forty times as much memory.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that are hashed in one go, and of texts that a task holds as Python objects at once; a longer text is taken alone.
+SLICE_BYTES, BATCH_BYTES = 1 << 21, 1 << 23
+#: Values that one stretch of a prefix sum holds; tables of powers are so long.
+STRETCH = 1 << 16
+_SPACES = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
+_SEVERAL = re.compile(rb"  +")
 
 
 def normal(text: str | None) -> bytes:
     """The words of a text, joined by one space, in UTF-8."""
-    return b" ".join(text.encode("utf-8", "surrogatepass").split()) if text else b""
+    if not text:
+        return b""
+    raw = text.encode("utf-8", "surrogatepass").translate(_SPACES).strip(b" ")
+    return _SEVERAL.sub(b" ", raw) if b"  " in raw else raw
 
 
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -35,24 +45,60 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield lo, len(texts)
 
 
-@cache
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def powers(b: int) -> np.ndarray:
-        out = np.full(1 << bits, b, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+def text_ranges(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of an Arrow column, of limited total size; a longer text has a range of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def parts(batches: Iterator[pa.RecordBatch], column: str = "_text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into such ranges, so that what is made of a batch's texts has a bound in bytes."""
+    for batch in batches:
+        for lo, hi in text_ranges(batch.column(column)):
+            yield batch.slice(lo, hi - lo)
 
-    return powers(base), powers(pow(base, -1, 2**64))
 
+def _steps(base: int) -> np.ndarray:
+    """The powers of base below STRETCH."""
+    out = np.full(STRETCH, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-def _spans(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
-    """The polynomial hash of x[lo:hi] for each pair of bounds."""
-    if not len(x):
-        return np.zeros(len(lo), np.uint64)
-    up, down = _powers(base, max(16, int(len(x)).bit_length()))
-    sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * up[: len(x)], out=sums[1:])
-    return (sums[hi] - sums[lo]) * down[lo]
+
+@cache
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _steps(base), _steps(pow(base, -1, 2**64))
+
+
+def _prefixes(x: np.ndarray, plus: int, at: np.ndarray, base: int) -> np.ndarray:
+    """The sums of (x[j] + plus) * base**j for j below each of at, which ascend; x is read stretch by stretch."""
+    up, out, before, power = _powers(base)[0], np.zeros(len(at), np.uint64), np.uint64(0), 1
+    cuts = np.searchsorted(at, np.arange(0, len(x) + STRETCH, STRETCH), side="right").tolist()
+    for k, o in enumerate(range(0, len(x), STRETCH)):
+        sums = np.cumsum((x[o : o + STRETCH].astype(np.uint64) + np.uint64(plus)) * up[: min(STRETCH, len(x) - o)])
+        sums *= np.uint64(power)
+        sums += before
+        lo, hi = cuts[k], cuts[k + 1]
+        out[lo:hi] = sums[at[lo:hi] - o - 1]
+        before, power = sums[-1], power * pow(base, STRETCH, 2**64) & MASK
+    return out
+
+
+def _spans(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int, plus: int = 0) -> np.ndarray:
+    """The polynomial hash of x[lo:hi] + plus for each pair of bounds; both ascend."""
+    if not len(lo):
+        return np.zeros(0, np.uint64)
+    out = _prefixes(x, plus, hi, base)
+    out -= _prefixes(x, plus, lo, base)
+    down, far = _powers(base)[1], pow(pow(base, STRETCH, 2**64), -1, 2**64)
+    out *= down[lo % STRETCH]
+    for k in range(1, len(x) // STRETCH + 1):
+        out[np.searchsorted(lo, k * STRETCH) :] *= np.uint64(far)
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -73,7 +119,7 @@ class Words:
         gaps = np.flatnonzero(raw == 32)
         some = [0] if len(raw) else []
         self.starts, self.ends = np.concatenate([some, gaps + 1]).astype(np.int64), np.concatenate([gaps, [len(raw)] if len(raw) else []]).astype(np.int64)
-        h = _spans(raw.astype(np.uint64) + np.uint64(1), self.starts, self.ends, WORD_BASE)
+        h = _spans(raw, self.starts, self.ends, WORD_BASE, 1)
         self.hashes = mixed(h + (self.ends - self.starts).astype(np.uint64))
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
