@@ -9,22 +9,29 @@ from pyspark.sql import functions as F
 SOURCE_OFFSET, SHOWN_ZONE = "+03:00", "Europe/Moscow"
 #: An import's cutoff, the queue's grace, and how long payment links live.
 IMPORT_GRACE_HOURS, QUEUE_GRACE_HOURS, LINK_AFTER_START_HOURS, LINK_UNDATED_HOURS = 6, 3, 3, 24
-_CLOCK = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?"
-_NAIVE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm")
+_DAY, _TIME, _OFFSET = r"([0-9]{4}-[0-9]{2}-[0-9]{2})", r"([0-9]{2}:[0-9]{2})(:[0-9]{2})?([.][0-9]{1,6})?", r"(Z|[+-][0-9]{2}:?[0-9]{2}(:[0-9]{2})?)"
+_NAIVE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm")
 
 
 def parse_source_time(text: Column) -> Column:
-    """An instant: times with an offset are converted, those without have SOURCE_OFFSET, anything else is null."""
+    """An instant: times with an offset are converted, those without have SOURCE_OFFSET, anything else is null.
+
+    Seconds may be missing, and so may the time, which is midnight then.
+    """
     text = F.trim(text)
-    plain = F.when(text.rlike(f"^{_CLOCK}$"), F.to_utc_timestamp(F.try_to_timestamp(text), SOURCE_OFFSET))
-    zoned = F.when(text.rlike(f"^{_CLOCK}(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$"), F.try_to_timestamp(F.regexp_replace(text, "([+-][0-9]{2})([0-9]{2})$", "$1:$2")))
-    return F.coalesce(zoned, plain)
+    part = lambda i, else_: F.coalesce(F.nullif(F.regexp_extract(text, f"^{_DAY}(?:[T ]{_TIME}{_OFFSET}?)?$", i), F.lit("")), F.lit(else_))
+    offset = F.regexp_replace(part(5, SOURCE_OFFSET), "^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    whole = F.concat(part(1, ""), F.lit("T"), part(2, "00:00"), part(3, ":00"), part(4, ""), offset)
+    return F.when(text.rlike(f"^{_DAY}([T ]{_TIME}{_OFFSET}?)?$"), F.try_to_timestamp(whole))
 
 
 def parse_naive_time(text: Column) -> Column:
-    """A time without zone in one of the editors' formats; a trailing offset is dropped."""
-    text = F.regexp_replace(F.trim(text), r"(Z|[+-][0-9]{2}:?[0-9]{2})$|[.][0-9]+(Z|[+-][0-9]{2}:?[0-9]{2})?$", "")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in _NAIVE_FORMATS])
+    """A time without zone in one of the editors' formats, fractions of a second kept; an offset at its end is dropped, other forms are null."""
+    text = F.regexp_replace(F.trim(text), r"(Z|[+-][0-9]{2}:?[0-9]{2})$", "")
+    fraction = F.coalesce(F.rpad(F.nullif(F.regexp_extract(text, r"[.]([0-9]{1,6})$", 1), F.lit("")), 6, "0").try_cast("int"), F.lit(0))
+    whole = F.regexp_replace(text, r"(:[0-9]{2})[.][0-9]{1,6}$", "$1")
+    parsed = F.coalesce(*[F.try_to_timestamp(whole, F.lit(f)) for f in _NAIVE_FORMATS])
+    return F.timestamp_micros(F.unix_micros(parsed) + fraction)
 
 
 def to_second(ts: Column) -> Column:

@@ -12,11 +12,14 @@ from quillroster.operators.mutate import update_keyed
 def payment_changes(entries: DataFrame, events: DataFrame) -> DataFrame:
     """Entries that events (event, payment_id, amount_text) mark as paid: id, role (payer or partner), paid_by_entry_id, amount.
 
-    Only succeeded payments count, once for each payment id however often they come; the amount is
-    the largest that could be read. The payer is the entry of smallest id with that payment id; its
+    Only succeeded payments count, once for each payment id however often they come. Where events have
+    arrived_at, the first to arrive counts, with its amount or none (of several at one time, the
+    largest); else the amount is the largest that could be read. The payer is the entry of smallest id with that payment id; its
     partner is paid with it, by the same amount, if the scope is pair. Paid entries don't change.
     """
-    paid = events.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).groupBy("payment_id").agg(F.max(M.lenient_amount(F.col("amount_text"))).alias("_amount"))
+    amount = M.lenient_amount(F.col("amount_text"))
+    counted = F.min_by(amount, F.struct("arrived_at", F.negative(amount))) if "arrived_at" in events.columns else F.max(amount)
+    paid = events.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).groupBy("payment_id").agg(counted.alias("_amount"))
     own = entries.select("payment_id", F.struct("id", "payment_scope", "paid_for_entry_id", "payment_status").alias("_e"))
     payer = paid.join(own, "payment_id").groupBy("payment_id").agg(F.min("_e").alias("_e"), F.first("_amount").alias("_amount"))
     first = payer.where(F.col("_e.payment_status") != "paid").select(F.col("_e.id").alias("id"), F.lit("payer").alias("role"), F.lit(None).cast("long").alias("paid_by_entry_id"), F.col("_amount").alias("amount"))

@@ -62,8 +62,9 @@ def roster(entries: DataFrame, players: DataFrame, tournament_id: Column) -> Dat
 
 
 def page(rows: DataFrame, order: list[Column], number: int, size: int = PAGE) -> DataFrame:
-    """Page `number` (from 0) of rows, with place, has_previous and has_next. rows are one event's: a bounded list."""
-    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    """Page `number` (from 0) of rows, with place, has_previous and has_next. Only the first pages, and one row more, are placed."""
+    first = rows.orderBy(*order).limit((number + 1) * size + 1)
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
     many = placed.withColumn("_n", F.count("*").over(Window.partitionBy()))
     own = many.where((F.col("place") > number * size) & (F.col("place") <= (number + 1) * size))
     return own.withColumn("has_previous", F.lit(number > 0)).withColumn("has_next", F.col("_n") > (number + 1) * size).drop("_n")
@@ -92,8 +93,8 @@ def pair_names(entries: DataFrame, players: DataFrame) -> DataFrame:
     return some.select("entry_id", "paid_for_name", "paid_by_name")
 
 
-def confirm_pick(players: DataFrame, tournaments: DataFrame, player_id: int, tournament_id: int) -> DataFrame:
-    """One row of one person and one event."""
+def confirm_pick(players: DataFrame, tournaments: DataFrame, player_id: int | Column, tournament_id: int | Column) -> DataFrame:
+    """One row of one person and one event, named by ids or by expressions over one row that is joined to each."""
     p = players.where(F.col("id") == player_id).select("full_name").limit(1)
     t = tournaments.where(F.col("id") == tournament_id).select("title", "location", "starts_at").limit(1)
     return p.crossJoin(t)  # one row on either side

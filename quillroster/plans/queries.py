@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +10,12 @@ from quillroster.functions import text as X
 from quillroster.functions import timeops as D
 from quillroster.operators import mutate, payments, pending, queue, reconcile, resolve, views
 from quillroster.plans import domain
+from quillroster.plans.registry import query
 from quillroster.sources import readers
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 AS_OF = "TIMESTAMP_NTZ '1997-06-01 00:00:00'"
 
 
-def query(sql: str) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
-        return f
-
-    return register
-
-
 def _now():
     return F.expr(AS_OF)
 
@@ -127,8 +115,8 @@ def j5_pair_names(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT s_name AS full_name, o_orderpriority AS title, o_totalprice AS price_rub FROM (SELECT * FROM supplier WHERE s_suppkey = 5), (SELECT * FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders))")
 def j4_pick_confirm(spark: SparkSession, folder: str) -> DataFrame:
     t = domain.tournaments(spark, folder)
-    first = t.agg(F.min("id")).first()[0]
-    return views.confirm_pick(domain.players(spark, folder), t.withColumn("location", F.col("price_rub")), 5, first).select("full_name", "title", F.col("location").alias("price_rub"))
+    first = F.broadcast(t.agg(F.min("id").alias("first_id")))  # one row
+    return views.confirm_pick(domain.players(spark, folder), t.withColumn("location", F.col("price_rub")).crossJoin(first), 5, F.col("first_id")).select("full_name", "title", F.col("location").alias("price_rub"))
 
 
 _FUZZY = """

@@ -41,6 +41,21 @@ class TableStore:
         self.spark.createDataFrame(sorted(at.items()), "name string, at int").coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/v={now + 1}")
         return now + 1
 
+    def vacuum(self, keep: int = 10) -> None:
+        """Drop the manifests before the last `keep` versions, and the table folders that no manifest left names."""
+        now = self.version()
+        left = [v for v in range(max(1, now - keep + 1), now + 1) if self._fs.exists(self._path(f"{self.root}/manifest/v={v}"))]
+        if not left:
+            return
+        named = {(r["name"], r["at"]) for v in left for r in self.spark.read.schema("name string, at int").json(f"{self.root}/manifest/v={v}").collect()}
+        for v in range(1, left[0]):
+            self._fs.delete(self._path(f"{self.root}/manifest/v={v}"), True)
+        for name in {n for n, _ in named}:
+            for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+                at = status.getPath().getName()
+                if at.startswith("v=") and int(at[2:]) <= now and (name, int(at[2:])) not in named:
+                    self._fs.delete(status.getPath(), True)
+
     def restore(self, version: int) -> None:
         """Make an earlier version the current one again by dropping later manifests."""
         for v in range(version + 1, self.version() + 1):

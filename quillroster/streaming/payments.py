@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillroster.operators.outbox import OUTBOX, enqueue, notices
 from quillroster.operators.payments import apply_payments
+from quillroster.sources.staging import staged
 from quillroster.sources.versions import TableStore
 
+PROGRESS = "stream string, batch bigint"
 
-def apply_stream(events: DataFrame, store: TableStore, checkpoint: str, **trigger: bool | str) -> StreamingQuery:
-    """Apply each micro-batch of events to the entries of store, as a new version.
 
-    A batch that is run again after a failure changes nothing more: entries that are paid stay as
-    they are, so that every payment counts once.
+def apply_batch(store: TableStore, batch: DataFrame, number: int, as_of: Column, stream: str = "payments") -> int:
+    """Apply a micro-batch of events to the store's entries and outbox, as one version that also holds its number.
+
+    A batch whose number is not above the stored one has been applied and changes nothing, and neither
+    does an event that comes again in a later batch: every payment counts, and is told of, once.
     """
+    spark, tables = store.spark, store.tables()
+    progress = tables.get("stream_progress", spark.createDataFrame([], PROGRESS))
+    last = progress.where(F.col("stream") == stream).agg(F.max("batch")).first()[0]  # one row
+    if last is not None and number <= last:
+        return store.version()
+    batch = staged(batch, "payments")
+    entries, changes = apply_payments(tables["entries"], batch, as_of)
+    changed = {"stream_progress": progress.where(F.col("stream") != stream).unionByName(spark.createDataFrame([(stream, number)], PROGRESS))}
+    if not changes.isEmpty():
+        entries = staged(entries, "entries")
+        changed["entries"] = entries
+    if "players" in tables:
+        paid = batch.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).select("payment_id").distinct()
+        found = notices(entries, tables["players"], paid, as_of)
+        changed["outbox"] = enqueue(tables.get("outbox", spark.createDataFrame([], OUTBOX)), found)
+    return store.commit(changed)
+
+
+def apply_stream(events: DataFrame, store: TableStore, checkpoint: str, as_of: Column | None = None, keep: int = 10, **trigger: bool | str) -> StreamingQuery:
+    """Apply each micro-batch of events to the tables of store, which keeps its last `keep` versions. Without as_of, batches have the time at which they run."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        entries, _ = apply_payments(store.tables()["entries"], batch, F.current_timestamp())
-        store.commit({"entries": entries})
+        apply_batch(store, batch, number, F.current_timestamp() if as_of is None else as_of)
+        store.vacuum(keep)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,9 +1,13 @@
-"""Chat sessions: a state for each person, folded from their steps."""
+"""Chat sessions: a state for each person, folded from their steps, in a batch or as a stream."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: A step, the state it leads to, and whether it makes a session where there is none.
 STEPS = {"ask_name": ("awaiting_lunda_name", True), "name_unknown": ("needs_manual_link", False), "pick_date": ("bind_pick_date", False), "pick_tournament": ("bind_pick_tournament", False), "pick_player": ("bind_pick_player", False), "confirm": ("bind_confirm", False)}
@@ -32,3 +36,40 @@ def fold_sessions(steps: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     state = F.max(F.when(_table(0)[F.col("step")].isNotNull(), F.struct("_order", _table(0)[F.col("step")].alias("state"))))
     support = F.max(F.when(F.col("step") == "support", F.struct("_order", "support")))
     return live.groupBy("telegram_id").agg(state.alias("_s"), support.alias("_m")).select("telegram_id", F.col("_s.state").alias("state"), F.coalesce("_m.support", F.lit(False)).alias("support_mode"))
+
+
+SESSION = "telegram_id string, state string, support_mode boolean, open boolean"
+
+
+def _step(held: tuple[str | None, bool] | None, step: str, support: bool | None) -> tuple[str | None, bool] | None:
+    """A session (state, support mode) after one more step; None where there is none."""
+    if step in ENDS:
+        return None
+    state, makes = STEPS.get(step, (None, step == "support"))
+    if held is None and not makes:
+        return None
+    before, mode = held or (None, False)
+    return (state or before, bool(support) if step == "support" and support is not None else mode)
+
+
+def session_stream(steps: DataFrame) -> DataFrame:
+    """A stream of steps (telegram_id, seq, step, support) -> a row for each person whose session a micro-batch changes.
+
+    Each person's session is kept as state between micro-batches. Steps of one micro-batch count in
+    order of seq; those of a later one come after them. open is false where a session has ended.
+    """
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        was = tuple(kept.get) if kept.exists else None
+        held = (was[0], was[1]) if was else None
+        rows = sorted((int(q), s, None if pd.isna(m) else bool(m)) for part in parts for q, s, m in zip(part["seq"], part["step"], part["support"], strict=True))
+        for _, step, support in rows:
+            held = _step(held, step, support)
+        if held:
+            kept.update(held)
+        elif was:
+            kept.remove()
+        if held or was:
+            yield pd.DataFrame({"telegram_id": [key[0]], "state": [held[0] if held else None], "support_mode": [held[1] if held else False], "open": [held is not None]})
+
+    return steps.groupBy("telegram_id").applyInPandasWithState(fold, SESSION, "state string, support_mode boolean", "update", GroupStateTimeout.NoTimeout)

@@ -47,13 +47,17 @@ def test_source_times(spark):
     texts = ["2026-01-10T19:00:00+03:00", "2026-01-10T16:00:00Z", "2026-01-10 19:00", "2026-01-10T19:00:00.5", "2026", "junk", None]
     got = [x[0] for x in values(spark, [(t,) for t in texts], "x string", D.parse_source_time(F.col("x")).cast("string"))]
     assert got == ["2026-01-10 16:00:00"] * 3 + ["2026-01-10 16:00:00.5", None, None, None]
+    short = ["2026-01-10T19:00+03:00", "2026-01-10 19:00+0300", "2026-01-10T16:00Z", "2026-01-10T19:00:00.000+03:00", "2026-01-10", "2026-01-10T25:00"]
+    got = [x[0] for x in values(spark, [(t,) for t in short], "x string", D.parse_source_time(F.col("x")).cast("string"))]
+    assert got == ["2026-01-10 16:00:00"] * 4 + ["2026-01-09 21:00:00", None]
 
 
 def test_shown_times(spark):
     got = values(spark, [(datetime(2013, 7, 1, 20, 30),), (None,)], "t timestamp", D.shown_text(F.col("t"), "-"), D.shown_date(F.col("t")).cast("string"))
     assert got == [("02.07.2013 00:30", "2013-07-02"), ("-", None)]
     assert values(spark, [("2026-01-02",), ("x",)], "x string", D.date_labels(F.col("x"))["shown"], D.date_labels(F.col("x"))["iso"]) == [("02.01.2026", "2026-01-02"), ("x", "x")]
-    assert values(spark, [("10.01.2026 19:00",), ("2026-01-10T19:00:00+03:00",)], "x string", D.parse_naive_time(F.col("x")).cast("string")) == [("2026-01-10 19:00:00",)] * 2
+    naive = ["2026-01-10 19:00", "2026-01-10T19:00:00+03:00", "2026-01-10T19:00:00.25Z", "10.01.2026 19:00", "x"]
+    assert [x[0] for x in values(spark, [(t,) for t in naive], "x string", D.parse_naive_time(F.col("x")).cast("string"))] == ["2026-01-10 19:00:00", "2026-01-10 19:00:00", "2026-01-10 19:00:00.25", None, None]
 
 
 def test_money(spark):

@@ -86,23 +86,62 @@ def state(spark):
     }
 
 
-def test_reconcile_and_again(spark):
-    events = readers.snapshot_rows(snapshot_docs(spark, SNAPSHOT))
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_three_imports_in_a_row(spark):
+    docs = snapshot_docs(spark, SNAPSHOT)
     tables = state(spark)
-    tables["player_aliases"] = tables["player_aliases"].where("false")
-    tables["pending_entries"] = tables["pending_entries"].where("false")
-    done = reconcile.reconcile(tables, events, 1, now())
-    assert done.counters.first().asDict() == {"entries_new": 2, "entries_existing": 0, "entries_inactivated": 1, "entries_deleted": 1, "players_upsert": 2, "tournaments_upsert": 1}
+    done = reconcile.import_snapshot(tables, docs, 1, now())
+    assert done.counters.first().asDict() == {"entries_new": 2, "entries_existing": 0, "entries_inactivated": 1, "entries_deleted": 1, "players_upsert": 2, "tournaments_upsert": 1, "tournaments_skipped_past": 1, "tournaments_archived": 2, "tournaments_deleted": 0}
     entries = {(r.tournament_id, r.player_id): r for r in done.tables["entries"].collect()}
     assert entries[5, 2].active is False and (5, 3) not in entries and entries[5, 1].payment_status == "pending"
     events_now = {r.id: r for r in done.tables["tournaments"].collect()}
     assert events_now[5].archived_at is None and events_now[5].first_seen_in_source == datetime(2026, 1, 1) and events_now[6].archived_at and events_now[7].archived_at
     waiting = done.tables["pending_entries"].collect()
     assert [(w.raw_player_name, w.status, w.candidates[0].player_id) for w in waiting] == [("Ivan Petrow", "pending", 1)]
-    again = reconcile.reconcile(done.tables, events, 2, now())
-    assert {r.action for r in again.changes.collect()} <= {"existing", "inactivated"}
-    row = reconcile.run_row(1, done.counters, now(), now(), "x.json").first()
-    assert (row.entries_new, row.source) == (2, "import")
+    again = reconcile.import_snapshot(done.tables, docs, 2, now())
+    assert {(r.player_id, r.action) for r in again.changes.collect()} == {(1, "existing"), (4, "existing"), (2, "inactivated")}
+    third = reconcile.import_snapshot(again.tables, docs, 3, now())
+    for name in ("tournaments", "players", "entries"):
+        assert again.tables[name].exceptAll(third.tables[name]).count() == third.tables[name].exceptAll(again.tables[name]).count() == 0
+    assert [(w.raw_player_name, w.sync_run_id, w.status) for w in third.tables["pending_entries"].collect()] == [("Ivan Petrow", 3, "pending")]
+    assert max(joins(t) for t in third.tables.values()) == 0
+    row = reconcile.run_row(1, done.counters, now(), now(), "x.json", now(), "late").first()
+    assert (row.entries_new, row.source, row.json_mtime, row.error) == (2, "import", datetime(2026, 1, 10, 12), "late")
+
+
+def test_bad_snapshots_change_nothing(spark):
+    for value, problem in (('{"tournaments": {}}', "empty"), ("{}", "missing"), ('{"tournaments": 5}', "not events"), ("{broken", "missing")):
+        with pytest.raises(ValueError, match=problem):
+            reconcile.import_snapshot(state(spark), snapshot_docs(spark, value), 1, now())
+    with pytest.raises(ValueError, match="no snapshot"):
+        reconcile.import_snapshot(state(spark), snapshot_docs(spark, "{}").limit(0), 1, now())
+    with pytest.raises(ValueError, match="no events"):
+        reconcile.reconcile(state(spark), readers.snapshot_rows(snapshot_docs(spark, "{}")), 1, now())
+
+
+def test_leavers_by_name_and_failed_events(spark):
+    tables = state(spark)
+    tables["player_aliases"] = frame(spark, "player_aliases", {"id": 1, "normalized_alias": "ivan petrow", "player_id": 3})
+    docs = snapshot_docs(spark, SNAPSHOT)
+    ways = {by_name: {(r.player_id, r.action) for r in reconcile.import_snapshot(tables, docs, 1, now(), by_name).changes.collect()} for by_name in (False, True)}
+    assert (3, "existing") in ways[False] and (3, "deleted") in ways[True] and (2, "inactivated") in ways[True]
+    events = readers.snapshot_rows(docs)
+    failed = reconcile.reconcile(tables, events, 1, now(), failed=events.where("title = 'Cup'"))
+    assert failed.changes.count() == 0 and failed.tables["entries"].count() == 2
+    twice = readers.snapshot_rows(snapshot_docs(spark, SNAPSHOT, SNAPSHOT))
+    assert {(r.location, r.records) for r in reconcile.duplicate_events(twice).collect()} == {("Hall", 2)}
+
+
+def test_import_status(spark):
+    runs = frame(spark, "sync_runs", {"id": 1, "started_at": datetime(2026, 1, 10, 9), "finished_at": datetime(2026, 1, 10, 9, 5)}, {"id": 2, "started_at": datetime(2026, 1, 10, 11), "error": "x"})
+    lines = spark.createDataFrame([("RUN TYPE: MANUAL",), ("RUN TYPE: AUTOMATIC (launchd)",), ("RUN TYPE: MANUAL",), ("other",)], "value string")
+    row = reconcile.import_status(runs, lines, now()).first()
+    assert (row.id, row.error, row.age_hours, row.recent, row.automatic_runs, row.manual_runs) == (2, "x", 1, True, 1, 2)
+    none = reconcile.import_status(runs.limit(0), lines.limit(0), now()).first()
+    assert (none.id, none.recent, none.manual_runs) == (None, False, 0)
 
 
 def test_payments_count_once(spark):

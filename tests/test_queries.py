@@ -7,7 +7,8 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from quillroster.plans.queries import QUERIES, SQL
+from quillroster.plans import flows, queries  # noqa: F401 - both register their queries
+from quillroster.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
