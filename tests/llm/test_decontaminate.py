@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from quillroster.llm.decontaminate import Seeds, best_stretch, contaminated, drop_contaminated
+from quillroster.llm.decontaminate import Seeds, _folded, best_stretch, contaminated, drop_contaminated
 
 BENCH = "item_id long, text string, _item int"
 
@@ -42,6 +42,43 @@ def test_drop_leaves_clean_documents_with_all_their_columns(planted):
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in pairs}
 
 
+def test_long_items_and_documents(spark, make, prose):
+    long = prose(20_000)
+    words = long.split()
+    bench = spark.createDataFrame([(1, long, 0), (1, prose(30), 0), (2, prose(12), 0)], BENCH)
+    docs = make([(1, f"{prose(50)} {long} {prose(50)}"), (2, " ".join(words[5000:9000])), (3, prose(30_000)), (4, " ".join(w if k % 6 else "other" for k, w in enumerate(words)))])
+    got = {r.doc_id: r for r in contaminated(docs, bench).collect()}
+    assert {k: (r.item_id, r.n_words) for k, r in got.items()} == {1: (1, 20_000), 2: (1, 4000), 4: (1, 19_999)}
+    assert got[1].start_word == 50 and got[4].start_word == 1 and got[4].n_equal == 20_000 - 3334
+
+
+def test_as_every_pair_on_every_diagonal(spark, make, prose):
+    rng = np.random.default_rng(5)
+    items = [prose(int(n)) for n in (5, 6, 9, 13, 14, 20, 40, 41)]
+    rows = []
+    for k in range(60):
+        words = items[k % len(items)].split()
+        a = int(rng.integers(0, max(1, len(words) - 12)))
+        part = words[a : a + int(rng.integers(5, 30))]
+        part = [w if rng.random() > 0.12 else "other" for w in part]
+        rows.append((k, f"{prose(int(rng.integers(0, 9)))} {' '.join(part)} {prose(int(rng.integers(0, 9)))}"))
+    seeds, want = Seeds(), {}
+    for d, text in rows:
+        doc = _folded(text).split()
+        for i, item in enumerate(items):
+            own = _folded(item).split()
+            best = (0, 0)
+            for shift in range(-len(own) + 1, len(doc)):
+                lo, hi = max(0, -shift), min(len(own), len(doc) - shift)
+                best = max(best, best_stretch(np.array([own[j] == doc[j + shift] for j in range(lo, hi)]), min(seeds.least_words, len(own)), seeds.substitution_share)[:2])
+            if best[0]:
+                want[d, i] = best
+    bench = spark.createDataFrame([(i, t, 0) for i, t in enumerate(items)], BENCH)
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_equal) for r in contaminated(make(rows), bench).collect()}
+    print(f"pairs {len(want)}, found {len(got)}")
+    assert got.items() <= want.items() and len(got) >= 0.95 * len(want) and len(want) > 20
+
+
 def test_best_stretch_is_the_longest_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
