@@ -1,11 +1,13 @@
 """Personal data: patterns with checks, and a character-level bidirectional LSTM with CRF transitions.
 
 The patterns' spans are exact rules. The network learns, in numpy, from those spans in a bounded
-sample of rows, some of them rewritten in other usual forms, and adds spans that the patterns miss.
-It reads overlapping windows of the whole text; a window without an at sign and with fewer than
-seven digits can hold none of the four kinds and is skipped. Windows are decoded one by one
-(Viterbi), and their spans are reconciled over the whole text: those cut by a window's edge give way
-to a window that holds them, the likelier of two that overlap stays, base spans always stay.
+sample of rows, many of them rewritten as people write such data to keep it from patterns or by
+habit (marks spelled out, other separators, no plus sign), among numbers that are none. It adds the
+spans that the patterns miss. It reads every character of every text, in windows that overlap. A
+window in which every place is so surely outside that no path could be better is settled by that
+bound; the others are decoded (Viterbi, and each place's probability). The windows' tags are laid
+side by side, each window answering for its middle, so that a span is judged whole wherever windows
+end and however long it is. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 
-WINDOW, STRIDE, FEWEST_DIGITS = 96, 48, 7
-HIDDEN, SYMBOLS, TAGS = 16, 131, 9
-SURE = 0.9
+#: Characters of a window, from one to the next, and windows that are read side by side.
+WINDOW, STRIDE, LANES = 256, 232, 1024
+HIDDEN, SYMBOLS, TAGS, PAD = 8, 131, 9, 130
+#: The least mean probability of an added span's characters.
+SURE = 0.85
 
 
 def luhn(digits: str) -> bool:
@@ -81,9 +85,17 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _symbol_table() -> np.ndarray:
+    """Code point -> ASCII for itself, 128 for other letters, 129 for the rest; beyond the table all are the rest."""
+    return np.array([c if c < 128 else 128 if chr(c).isalpha() else 129 for c in range(0x3000)], np.uint8)
+
+
+_SYMBOL = _symbol_table()
+
+
 def symbols(text: str) -> np.ndarray:
-    """ASCII for itself, 128 for other letters, 129 for the rest; 130 pads."""
-    return np.array([ord(c) if c < "\x80" else 128 if c.isalpha() else 129 for c in text], np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < len(_SYMBOL), _SYMBOL.take(points, mode="clip"), np.uint8(129))
 
 
 def tags_of(spans: list[Span], start: int, size: int) -> np.ndarray:
@@ -97,21 +109,9 @@ def tags_of(spans: list[Span], start: int, size: int) -> np.ndarray:
     return out
 
 
-def windows(text: str) -> list[int]:
-    """Starts of the windows that may hold a span."""
-    marks = np.array([m.start() for m in _ANY.finditer(text)], np.int64)
-    if not len(marks):
-        return []
-    is_at = np.array([text[i] == "@" for i in marks.tolist()])
-    out = []
-    first = max(0, (int(marks[0]) - WINDOW) // STRIDE * STRIDE)
-    begin = np.unique(np.concatenate([marks // STRIDE * STRIDE, marks // STRIDE * STRIDE - STRIDE]))
-    for s in begin[begin >= first].tolist():
-        lo, hi = np.searchsorted(marks, (s, s + WINDOW))
-        at = int(is_at[lo:hi].sum())
-        if at or hi - lo - at >= FEWEST_DIGITS:
-            out.append(s)
-    return out
+def windows(size: int) -> list[int]:
+    """Starts of the windows that cover a text of that size."""
+    return list(range(0, max(1, size - (WINDOW - STRIDE)), STRIDE)) if size else []
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -155,14 +155,19 @@ class Tagger:
 
     def emissions(self, x: np.ndarray, traces: tuple | None = None) -> np.ndarray:
         """x: (steps, lanes) symbols -> (steps, TAGS, lanes)."""
-        out = np.zeros((x.shape[0], TAGS, x.shape[1])) + self.weights[6][:, None]
+        out = np.zeros((x.shape[0], TAGS, x.shape[1]), self.weights[6].dtype) + self.weights[6][:, None]
+        if traces is None:
+            for d in range(2):
+                self._read_one_way(x, d, out)
+            return out
         for d, order in enumerate((range(len(x)), range(len(x) - 1, -1, -1))):
             table, back, read = self.weights[3 * d : 3 * d + 3]
             n = back.shape[1]
-            h = c = np.zeros((n, x.shape[1]))
+            h = c = np.zeros((n, x.shape[1]), back.dtype)
             for t in order:
                 pre = table.take(x[t], axis=1) + back @ h
-                gates, aim = 0.5 + 0.5 * _soft(pre[: 3 * n]), _soft(pre[3 * n :])
+                all_ = _soft(pre)
+                gates, aim = 0.5 + 0.5 * all_[: 3 * n], all_[3 * n :]
                 i, f, o = gates[:n], gates[n : 2 * n], gates[2 * n :]
                 new = f * c + i * aim
                 if traces is not None:
@@ -172,6 +177,33 @@ class Tagger:
                 out[t] += read @ h
         return out
 
+    def _read_one_way(self, x: np.ndarray, d: int, out: np.ndarray) -> None:
+        """Add one direction's emissions to out, in arrays that are made once."""
+        table, back, read = self.weights[3 * d : 3 * d + 3]
+        n, lanes = back.shape[1], x.shape[1]
+        pre, tmp = np.empty((4 * n, lanes), back.dtype), np.empty((4 * n, lanes), back.dtype)
+        h, c, kept = np.zeros((n, lanes), back.dtype), np.zeros((n, lanes), back.dtype), np.empty((n, lanes), back.dtype)
+        told = np.empty((TAGS, lanes), back.dtype)
+        gates, aim = pre[: 3 * n], pre[3 * n :]
+        for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+            np.matmul(back, h, out=pre)
+            np.take(table, x[t], axis=1, out=tmp, mode="clip")
+            pre += tmp
+            np.abs(pre, out=tmp)
+            tmp += 1
+            pre /= tmp
+            gates *= 0.5
+            gates += 0.5
+            c *= gates[n : 2 * n]
+            np.multiply(gates[:n], aim, out=kept)
+            c += kept
+            np.abs(c, out=kept)
+            kept += 1
+            np.divide(c, kept, out=h)
+            h *= gates[2 * n :]
+            np.matmul(read, h, out=told)
+            out[t] += told
+
     def sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward log sums: (steps, TAGS, lanes) each."""
         move = self.transitions()[:, :, None]
@@ -223,127 +255,248 @@ class Tagger:
             grads += [g_table, g_back, g_read]
         return float((total - score).mean()), [*grads, g_e.sum(axis=(0, 2)), np.where(_ALLOWED, g_move / x.shape[1], 0)]
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The likeliest tags (steps, lanes), and each one's probability."""
-        e = self.emissions(x)
-        a, b = self.sums(e)
-        p = np.exp(a + b - _logsum(a[-1], 0))
-        move = self.transitions()[:, :, None]
-        best, came = e[0] + np.where(_ALLOWED[0], 0, -1e4)[:, None], []
+    def lean(self) -> Tagger:
+        """The same network in single precision, for reading."""
+        return Tagger([w.astype(np.float32) for w in self.weights])
+
+    def doubtful(self, e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Lanes of emissions in which some other path could be likelier than being outside at all places from lo up to hi.
+
+        What a stretch inside gains over being outside is bounded by its places' gains, each with the
+        best transition there is for it: into the stretch, on inside it, and out of it. Stretches that
+        lie before lo or behind hi change nothing between.
+        """
+        move = self.transitions()
+        into, on, out = (float(x.max() - move[0, 0]) for x in (move[0, 1:], move[1:, 1:], move[1:, 0]))
+        gain = e[:, 1:].max(axis=1) - e[:, 0]
+        best = gain[0].astype(np.float64)
+        own, some = np.where(lo == 0, best, -np.inf), np.zeros(len(best), bool)
+        for t in range(len(e)):
+            if t:
+                best = np.maximum(best + on, into) + gain[t]
+                own = np.where((t >= lo) & (t < hi), best, own + on + gain[t])
+            some |= own + (out if t < len(e) - 1 else 0) >= 0
+        return np.flatnonzero(some)
+
+    def path(self, e: np.ndarray) -> np.ndarray:
+        """The likeliest tags (steps, lanes) for emissions."""
+        move = np.where(_ALLOWED, self.weights[7], -1e4).astype(e.dtype)
+        best = [e[0] + np.where(_ALLOWED[0], 0, -1e4).astype(e.dtype)[:, None]]
         for t in range(1, len(e)):
-            step = best[:, None] + move
-            came.append(step.argmax(axis=0))
-            best = step.max(axis=0) + e[t]
-        tags = np.zeros(x.shape, np.int64)
-        tags[-1] = best.argmax(axis=0)
-        lanes = np.arange(x.shape[1])
+            best.append((best[-1][:, None] + move[:, :, None]).max(axis=0) + e[t])
+        tags = np.zeros((len(e), e.shape[2]), np.int64)
+        tags[-1] = best[-1].argmax(axis=0)
         for t in range(len(e) - 2, -1, -1):
-            tags[t] = came[t][tags[t + 1], lanes]
-        return tags, p[np.arange(len(e))[:, None], tags, lanes]
+            tags[t] = (best[t] + move[:, tags[t + 1]]).argmax(axis=0)
+        return tags
+
+    def probabilities(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Each tag's probability (steps, lanes)."""
+        e = e.astype(np.float64)
+        a, b = self.sums(e)
+        p = np.exp(a + b - _logsum(a[-1], 0))
+        return p[np.arange(len(e))[:, None], tags, np.arange(e.shape[2])]
+
+
+_NUMBER = re.compile(r"[0-9]+")
+_AT, _DOT = re.compile(r"@|\bat\b", re.IGNORECASE), re.compile(r"\.|\bdot\b", re.IGNORECASE)
 
 
 def _acceptable(kind: int, text: str) -> bool:
-    """What an added span has to be like, whatever the network says."""
-    digits = "".join(c for c in text if c in "0123456789")
+    """What a span of the kind has to have, however it is written; the network decides the rest."""
+    numbers = _NUMBER.findall(text)
+    digits = sum(map(len, numbers))
     if kind == 0:
-        return text.count("@") == 1 and "." in text.split("@")[1] and not any(c.isspace() for c in text.strip())
+        at = list(_AT.finditer(text))
+        return len(at) == 1 and at[0].start() > 0 and bool(_DOT.search(text, at[0].end())) and "\n" not in text
     if kind == 1:
-        return False  # the pattern has them all
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
     if kind == 2:
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and sum(c.isalpha() for c in text) == 0 and len(text) > len(digits)
+        return 13 <= digits <= 19 and luhn("".join(numbers))
+    return 9 <= digits <= 15 and len(numbers) > 1 and not any(c.isalpha() for c in text)
+
+
+def _read(tagger: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tags and their probabilities for every place of the texts laid end to end, and where each text begins."""
+    each = [symbols(t) for t in texts]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+    joined = np.concatenate([*each, np.full(WINDOW, PAD, np.uint8)])
+    tags, sure = np.zeros(begin[-1], np.uint8), np.zeros(begin[-1], np.float32)
+    starts = [np.array(windows(len(x)), np.int64) for x in each]
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+    at = np.concatenate([np.zeros(0, np.int64), *starts])
+    first, size = begin[owner], (begin[1:] - begin[:-1])[owner]
+    # Each window answers up to the middle of what it shares with the next one.
+    half = (WINDOW - STRIDE) // 2
+    lo, hi = np.where(at == 0, 0, half), np.where(at + WINDOW >= size, size - at, WINDOW - half)
+    lean = tagger.lean()
+    for k in range(0, len(at), LANES):
+        own = slice(k, min(k + LANES, len(at)))
+        places = first[own] + at[own] + np.arange(WINDOW)[:, None]
+        x = np.where(places < (first[own] + size[own]), joined.take(places, mode="clip"), np.uint8(PAD))
+        e = lean.emissions(x)
+        some = lean.doubtful(e, lo[own], hi[own])
+        for j in range(0, len(some), 256):
+            part = some[j : j + 256]
+            found = tagger.path(e[:, :, part])
+            some_inside = np.flatnonzero(found.any(axis=0))
+            part, found = part[some_inside], found[:, some_inside]
+            if not len(part):
+                continue
+            p = tagger.probabilities(e[:, :, part], found)
+            for i, w in enumerate((part + k).tolist()):
+                a, b = int(lo[w]), int(hi[w])
+                where = int(first[w] + at[w])
+                tags[where + a : where + b], sure[where + a : where + b] = found[a:b, i], p[a:b, i]
+    return tags, sure, begin
 
 
 def added_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
     """Spans that the network finds beside the base ones."""
-    at = [(k, s) for k, t in enumerate(texts) for s in windows(t)]
     out: list[list[Span]] = [[] for _ in texts]
-    found: dict[int, list[tuple[float, Span]]] = {}
-    for lo in range(0, len(at), 256):
-        part = at[lo : lo + 256]
-        x = np.full((WINDOW, len(part)), SYMBOLS - 1, np.int64)
-        for j, (k, s) in enumerate(part):
-            own = symbols(texts[k][s : s + WINDOW])
-            x[: len(own), j] = own
-        tags, sure = tagger.decode(x)
-        for j, (k, s) in enumerate(part):
-            size, t = min(WINDOW, len(texts[k]) - s), 0
-            while t < size:
-                if tags[t, j] % 2 == 1:
-                    kind, e = (int(tags[t, j]) - 1) // 2, t + 1
-                    while e < size and tags[e, j] == 2 + 2 * kind:
-                        e += 1
-                    whole = (t > 0 or s == 0) and (e < WINDOW or s + e == len(texts[k]))
-                    if whole and (p := float(sure[t:e, j].mean())) >= SURE and _acceptable(kind, texts[k][s + t : s + e]):
-                        found.setdefault(k, []).append((p, (kind, s + t, s + e)))
-                    t = e
-                else:
-                    t += 1
-    for k, spans in found.items():
-        taken = [(a, b) for _, a, b in bases[k]]
-        for _, span in sorted(spans, key=lambda x: (-x[0], x[1])):
-            if not any(a < span[2] and span[1] < b for a, b in taken):
-                taken.append(span[1:])
-                out[k].append(span)
+    tags, sure, begin = _read(tagger, texts)
+    inside = np.flatnonzero(tags)
+    if not len(inside):
+        return out
+    kind = (tags[inside].astype(np.int64) - 1) // 2
+    opens = np.concatenate([[True], (np.diff(inside) > 1) | (np.diff(kind) != 0)]) | (tags[inside] % 2 == 1) | np.isin(inside, begin)
+    heads = np.flatnonzero(opens)
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(inside)], strict=True):
+        start, end = int(inside[a]), int(inside[b - 1]) + 1
+        k = int(np.searchsorted(begin, start, side="right")) - 1
+        span = (int(kind[a]), start - int(begin[k]), end - int(begin[k]))
+        if float(sure[start:end].mean()) >= SURE and _acceptable(span[0], texts[k][span[1] : span[2]]) and not any(x < span[2] and span[1] < y for _, x, y in bases[k]):
+            out[k].append(span)
     return out
 
 
 @dataclass(frozen=True)
 class Training:
-    """rows: rows with a digit or an at sign that are taken at most (about; a hash of the row decides)."""
-
-    rows: int = 1500
-    steps: int = 500
-    batch: int = 32
+    """marked, others: distinct texts with and without a digit or an at sign that are taken at most (about; a hash of the text decides), each rewritten in so many variants, up to four windows of each."""
+
+    marked: int = 1000
+    others: int = 300
+    variants: int = 4
+    steps: int = 900
+    batch: int = 128
+    window: int = 80
     rate: float = 0.05
     seed: int = 5
 
 
+def _spelled(kind: int, own: str, rng: np.random.Generator) -> str:
+    """The same data as a pattern would miss it."""
+    pick = lambda *ways: ways[int(rng.integers(len(ways)))]
+    digits = re.sub(r"[^0-9]", "", own)
+    if kind == 0:
+        at, dot = pick((" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), (" @ ", " . "), (" AT ", " DOT "), ("@", " dot "), (" (at) ", "."))
+        local, domain = own.rsplit("@", 1)
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return own.replace(".", pick("[.]", " . ", " dot ", "(.)", ". "))
+    if kind == 2:
+        mark = pick(".", "  ", "/", "_", " - ")
+        return mark.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if len(digits) < 10:
+        return own
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{digits[:-10] or 1} {a} {b} {c}", f"{a}/{b}-{c}")
+
+
+def _other_number(rng: np.random.Generator) -> str:
+    """A number that is no personal data."""
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    n = int(rng.integers(0, 11))
+    return (
+        f"{rng.integers(1900, 2100)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}", f"{rng.integers(0, 24):02}:{rng.integers(0, 60):02}:{rng.integers(0, 60):02}",
+        f"{rng.integers(1, 20)}.{rng.integers(0, 20)}", f"v{rng.integers(0, 9)}.{rng.integers(0, 30)}.{rng.integers(0, 30)}", f"{d(2)},{d(3)}.{d(2)}", d(int(rng.integers(1, 9))),
+        d(int(rng.integers(20, 30))), rng.bytes(int(rng.choice([8, 16, 20]))).hex(), f"#{d(6)}", f"{rng.integers(1, 100)}%", f"{d(3)}/{d(3)}",
+    )[n]
+
+
+def _invented(kind: int, words: list[str], rng: np.random.Generator) -> str:
+    """Data of a kind in the pattern's form, of random digits and of a text's words."""
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    word = lambda: words[int(rng.integers(len(words)))].lower() if words else d(3)
+    if kind == 0:
+        local = word() + (("", ".", "_", "-")[int(rng.integers(4))] + word()) * int(rng.integers(2)) + d(int(rng.integers(0, 4)))
+        return f"{local}@{word()}{('-' + word()) * int(rng.random() < 0.2)}.{('com', 'org', 'net', 'de', 'io', 'edu', 'co.uk', 'example')[int(rng.integers(8))]}"
+    if kind == 1:
+        return ".".join(map(str, rng.integers(0, 256, 4)))
+    if kind == 2:
+        first = d(15)
+        return first + next(c for c in "0123456789" if luhn(first + c))
+    return f"+{rng.integers(1, 99)} {d(3)} {d(3)} {d(4)}"
+
+
 def _rewritten(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
-    """Some phone numbers without their plus sign or with other marks, some card numbers in groups."""
-    out, at, moved = [], 0, []
-    for kind, a, b in sorted(spans, key=lambda s: s[1]):
+    """A text with its spans and two more, about half of them spelled so that patterns miss them, and with numbers that are none of these."""
+    gaps = [m.start() for m in re.finditer(" ", text)]
+    words = [w for w in text[:2000].split() if w.isascii() and w.isalpha()]
+    new = [(int(rng.integers(4)), g, g) for g in (rng.choice(gaps, 2) if gaps else ()) if not any(a <= g <= b for _, a, b in spans)]
+    out, at, moved, size = [], 0, [], 0
+
+    def put(part: str) -> None:
+        nonlocal size
+        out.append(part)
+        size += len(part)
+
+    for kind, a, b in sorted([*spans, *new], key=lambda s: s[1]):
         if a < at:
             continue
-        own = text[a:b]
-        draw = rng.random()
-        if kind == 3 and draw < 0.5:
-            digits = re.sub(r"[^0-9]", "", own)[-10:]
-            own = (f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}")[int(draw * 6)] if len(digits) == 10 else own
-        elif kind == 2 and draw < 0.5 and own.isdigit():
-            own = (" ", "-")[int(draw * 4)].join(own[i : i + 4] for i in range(0, len(own), 4))
-        out.append(text[at:a])
-        start = sum(map(len, out))
-        out.append(own)
-        moved.append((kind, start, start + len(own)))
+        put(text[at:a])
+        if rng.random() < 0.3:
+            put(f" {_other_number(rng)} ")
+        if a == b:
+            put(" ")
+        own = _invented(kind, words, rng) if a == b or rng.random() < 0.3 else text[a:b]
+        own = _spelled(kind, own, rng) if rng.random() < 0.6 else own
+        moved.append((kind, size, size + len(own)))
+        put(own)
         at = b
-    return "".join(out) + text[at:], moved
+        if rng.random() < 0.2:
+            put(" " + _other_number(rng))
+    return "".join([*out, text[at:]]), moved
+
+
+def _unsure(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Numbers of a card's length that aren't cards: neither examples nor counterexamples, as the check alone tells them apart."""
+    return [m.span() for m in _CARD.finditer(text) if sum(c.isdigit() for c in m[0]) in range(13, 20) and (2, *m.span()) not in spans]
 
 
-def _examples(seed: int):
+def _examples(seed: int, window: int, variants: int = 1):
     """(_h, _text) -> rows of _h, _x and _tags: windows with their tags, from at most four places of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             hs, xs, ts = [], [], []
             for h, text in zip(batch.column("_h").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                rng = np.random.default_rng([seed, h & 0xFFFFFFFF])
-                text, spans = _rewritten(text, base_spans(text), rng)
-                starts = windows(text) or [max(0, _ANY.search(text).start() - WINDOW // 2)]
-                for s in rng.choice(starts, min(4, len(starts)), replace=False).tolist():
-                    part = text[s : s + WINDOW]
-                    x = np.full(WINDOW, SYMBOLS - 1)
-                    x[: len(part)] = symbols(part)
-                    hs.append(h)
-                    xs.append(x.astype(np.uint8).tobytes())
-                    ts.append(tags_of(spans, s, WINDOW).astype(np.uint8).tobytes())
+                rng, base = np.random.default_rng([seed, h & 0xFFFFFFFF]), base_spans(text)
+                for _ in range(variants):
+                    new, spans = _rewritten(text, base, rng)
+                    odd = _unsure(new, spans)
+                    coded = symbols(new)
+                    # Three windows about spans or other numbers, and one anywhere.
+                    marks = [a for _, a, _ in spans] or [m.start() for m in _ANY.finditer(new)]
+                    near = rng.choice(marks, 3) - rng.integers(0, window, 3) if marks else []
+                    for s in sorted({max(0, min(int(v), len(new) - window)) for v in [*near, int(rng.integers(0, len(new)))]}):
+                        if any(a < s + window and s < b for a, b in odd):
+                            continue
+                        x = np.full(window, PAD, np.uint8)
+                        own = coded[s : s + window]
+                        x[: len(own)] = own
+                        # A span that the window's edge cuts is known by the part inside.
+                        cut = [(k, max(a, s), min(b, s + window)) for k, a, b in spans if a < s + window and s < b]
+                        hs.append(h)
+                        xs.append(x.tobytes())
+                        ts.append(tags_of(cut, s, window).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(xs, pa.binary()), pa.array(ts, pa.binary())], ["_h", "_x", "_tags"])
 
     return run
 
 
 def train(x: np.ndarray, tags: np.ndarray, how: Training = Training()) -> Tagger:
-    """x, tags: (windows, WINDOW)"""
+    """x, tags: (windows, characters)"""
     tagger, rng = Tagger.fresh(), np.random.default_rng(how.seed)
     mean, square = [np.zeros_like(w) for w in tagger.weights], [np.zeros_like(w) for w in tagger.weights]
     for step in range(1, how.steps + 1):
@@ -359,13 +512,15 @@ def train(x: np.ndarray, tags: np.ndarray, how: Training = Training()) -> Tagger
 
 
 def fit(df: DataFrame, text_col: str = "text", how: Training = Training()) -> Tagger | None:
-    """A tagger from a bounded sample of rows that have a digit or an at sign; None where there are none."""
-    rows = df.select(text_of(text_col).alias("_text")).where(F.col("_text").rlike("[0-9@]")).withColumn("_h", F.xxhash64(F.lit(how.seed), "_text"))
-    n = rows.count()
-    if not n:
+    """A tagger from a bounded sample of distinct texts, those with a digit or an at sign first of all; None where there are none of these."""
+    rows = df.select(text_of(text_col).alias("_text")).where("_text <> ''").select("_text", F.xxhash64(F.lit(how.seed), "_text").alias("_h"), F.col("_text").rlike("[0-9@]").alias("_marked"))
+    # Texts are told apart by their hashes, so that copies are counted once and only hashes are shuffled.
+    n = {r["_marked"]: r["n"] for r in rows.select("_marked", "_h").distinct().groupBy("_marked").agg(F.count("*").alias("n")).collect()}
+    if not n.get(True):
         return None
-    taken = rows.where(F.pmod("_h", F.lit(1_000_000)) < min(1.0, how.rows / n) * 1_000_000)
-    sample = sorted({(r["_h"], r["_x"], r["_tags"]) for r in taken.mapInArrow(_examples(how.seed), "_h long, _x binary, _tags binary").collect()})
+    share = F.when(F.col("_marked"), min(1.0, how.marked / n[True])).otherwise(min(1.0, how.others / n.get(False, 1)))
+    taken = rows.where(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["_h"]).select("_h", "_text")
+    sample = sorted({(r["_h"], r["_x"], r["_tags"]) for r in taken.mapInArrow(_examples(how.seed, how.window, how.variants), "_h long, _x binary, _tags binary").collect()})
     if not sample:
         return None
     stack = lambda k: np.array([np.frombuffer(r[k], np.uint8) for r in sample], np.int64)
