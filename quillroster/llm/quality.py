@@ -3,7 +3,9 @@
 A linear model over the frequencies of hashed byte trigrams and a few measures of form minimises
 the non-negative unbiased risk: with class prior p, p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)]),
 the expectations being over trusted positives and over unlabelled text and l the logistic loss. The
-prior is the share of positives among the labelled rows that may be learned from.
+prior is estimated from the same two: where a first scorer, learned on half of each, is highest, the
+unlabelled texts are positives nearly all, so that the share of the unlabelled there, over that of the
+positives, tells the prior; the cut is the one whose upper bound is least. Negative labels are not used.
 
 The fit takes a bounded sample; every whole text is scored.
 """
@@ -139,6 +141,20 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, how: Train
     return Scorer(centre, spread, w, float(b), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, how: Training = Training(), slack: float = 0.1) -> float:
+    """The share of positives among the unlabelled, by the best top bin of scores of rows that the scorer has not learned from."""
+    scorer = train(positive[::2], unlabelled[::2], 0.5, how)
+    of = lambda x: standard(x, scorer.centre, scorer.spread) @ scorer.weights
+    p, u = np.sort(of(positive[1::2])), np.sort(of(unlabelled[1::2]))
+    if not len(p) or not len(u):
+        return 0.5
+    above_p = 1 - np.searchsorted(p, p) / len(p)
+    above_u = 1 - np.searchsorted(u, p) / len(u)
+    wide = np.sqrt(np.log(4 / slack) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    best = int(((above_u + wide) / above_p).argmin())
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
 def held_out(id_col: str) -> Column:
     """Fixed rule: labels of rows whose CRC-32 of the id as text is a multiple of 5 are never learned."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -151,24 +167,22 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id_col: str, how: Training = Training()) -> Scorer | None:
-    """Learn from rows labelled 1 that aren't held out, and from unlabelled rows; None without either.
+    """Learn from rows labelled 1 and from rows whatever their label, neither of them held out; None without either.
 
     Counts are taken over all rows, and a hash of the id picks the sample; only its features, of
     fixed length, come to the driver.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(label_id_col).isNotNull() & ~held_out(label_id_col)).groupBy(F.col(label_id_col).alias("_label_id")).agg(F.max(label_col).alias("_label"))
-    ones, marked = known.agg(F.coalesce(F.sum("_label"), F.lit(0)), F.count("*")).first()
-    total = df.count()
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(label_id_col).isNotNull() & ~held_out(label_id_col)).groupBy(F.col(label_id_col).alias("_label_id")).agg(F.max(label_col).alias("_label")).where("_label = 1")
+    docs = df.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    ones, total = known.count(), docs.count()
     if not ones or not total:
         return None
-    prior = (ones + 1) / (marked + 2)
-    drawn = lambda c, share: F.pmod(F.xxhash64(F.lit(5), c), F.lit(1_000_000)) < min(1.0, share) * 1_000_000
-    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    positive = docs.join(known.where("_label = 1").where(drawn(F.col("_label_id"), how.positives / ones)), F.col("_id") == F.col("_label_id"), "left_semi").select(F.lit(1).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
-    unlabelled = docs.join(labels.select(F.col(label_id_col).alias("_label_id")), F.col("_id") == F.col("_label_id"), "left_anti").where(drawn(F.coalesce("_id", F.lit(0)), how.unlabelled / total)).select(F.lit(0).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
+    drawn = lambda c, seed, share: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1_000_000)) < min(1.0, share) * 1_000_000
+    positive = docs.join(known.where(drawn(F.col("_label_id"), 5, how.positives / ones)), F.col("_id") == F.col("_label_id"), "left_semi").select(F.lit(1).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
+    unlabelled = docs.where(drawn(F.coalesce("_id", F.lit(0)), 6, how.unlabelled / total)).select(F.lit(0).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
     sample = sorted(positive.unionByName(unlabelled).mapInArrow(_featured, "_kind int, _h long, _features binary").collect())
     sets = [np.array([np.frombuffer(r["_features"], np.float32) for r in sample if r["_kind"] == k]) for k in (1, 0)]
-    return train(*sets, prior, how) if len(sets[0]) and len(sets[1]) else None
+    return train(*sets, estimated_prior(*sets, how), how) if len(sets[0]) and len(sets[1]) else None
 
 
 def _scored(scorer: Scorer | None):
