@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillroster.llm.common import materialise, text_of
@@ -88,8 +88,10 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The id and the tree decide (law `key`); grown defaults to the tree with one more shard of mean
     weight. A null id is a key like any other; rows that repeat an id share its shard and take slots
     of their own. Null text has no bytes. Slots count from 0 without gaps in each shard, in order of
-    the id within hashed sub-groups, so that no shard's rows have to meet in one task. An empty
-    table gives an empty result; other columns of df are neither read nor returned.
+    the id within hashed sub-groups, so that no shard's rows have to meet in one task, and neither
+    have equal rows: a row's sub-group depends on the part of the table that it is read from too, and
+    so does its slot. An empty table gives an empty result; other columns of df are neither read nor
+    returned.
     """
     tree = tree or HashTree.of(SHARDS)
     if grown is None:
@@ -98,9 +100,7 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_of(text_col)
     rows = df.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = placed(placed(rows, F.col("doc_id"), tree, "shard"), F.col("doc_id"), grown, "grown_shard")
-    rows = materialise(rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(SLOT_BUCKETS)).cast("int")), "placed")
-    from pyspark.sql import Window
-
+    rows = materialise(rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.spark_partition_id()), F.lit(SLOT_BUCKETS)).cast("int")), "placed")
     counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillroster.llm.sharding import HashTree, assign_shards, placed
@@ -44,5 +46,44 @@ def test_weights(make):
         HashTree([[[0.0]]])
 
 
+def plainly(key: int | None, tree: HashTree) -> int:
+    """The same descent in plain Python."""
+    seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+
+    def draw(name: str, weight: float) -> float:
+        return -math.log(((xxhash.xxh64_intdigest(name.encode(), seed) >> 11) + 0.5) / 2**53) / weight
+
+    def least(children: list[tuple]) -> tuple:
+        return min((draw(name, w), child) for child, name, w in children if w > 0)[1]
+
+    first, shard, regions, racks = 0, {}, [], {}
+    for r, region in enumerate(tree.regions):
+        for k, rack in enumerate(region):
+            racks[r, k] = sum(rack)
+            for s in range(len(rack)):
+                shard[r, k, s] = first
+                first += 1
+        regions.append(((r,), f"r{r}", sum(racks[r, k] for k in range(len(region)))))
+    top = least(regions + [((-1, first + i), f"added{i}", w) for i, w in enumerate(tree.added)])
+    if top[0] < 0:
+        return top[1]
+    r = top[0]
+    k = least([(k, f"k{r}.{k}", racks[r, k]) for k in range(len(tree.regions[r]))])
+    return shard[r, k, least([(s, f"s{r}.{k}.{s}", w) for s, w in enumerate(tree.regions[r][k])])]
+
+
+@pytest.mark.parametrize("tree", [HashTree.of(40), HashTree.of(40, 1), HashTree([[[0.5, 2.0], [0.0, 1.0]], [[3.0]]], [1.5, 0.0])])
+def test_as_a_descent_in_plain_python(make, tree):
+    got = placed(make(ROWS).select("doc_id"), F.col("doc_id"), tree, "s").collect()
+    assert all(r.s == plainly(r.doc_id, tree) for r in got)
+
+
+def test_very_long_texts_and_many_equal_rows(make):
+    rows = [(7, "x" * 3_000_000), *[(5, "same")] * 3000]
+    got = assign_shards(make(rows)).collect()
+    slots = sorted(r.slot for r in got if r.shard == plainly(5, HashTree.of(40)) and r.doc_id == 5)
+    assert len(got) == 3001 and max(r.size for r in got) == 3_000_016 and len(set(slots)) == 3000 and max(slots) <= 3000
+
+
 def test_empty_table(make):
     assert assign_shards(make(ROWS).where("doc_id < 0")).count() == 0
