@@ -18,18 +18,25 @@ from quillroster.llm.language_id import UNKNOWN, fit, identify
 from quillroster.llm.near_dups import drop_near_duplicates
 from quillroster.llm.queries import vocabulary
 
-#: A text whose best language has a lower pooled probability is rejected.
-LEAST_SURE = 0.3
+#: How far the best language's pooled probability has to lie from chance (0) to certainty (1), whatever the number of languages.
+LEAST_SURE = 0.2
+#: A column that holds the rest of a row while its text is judged, so that none of its columns can clash.
+MARK = "_whole_row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in a learned language; those without letters, and those that resemble none, go.
 
-    The document's own lang value stays as it is.
+    The document's own lang value stays as it is. Where no language could be learned, texts with letters stay.
     """
-    found = identify(docs, fit(docs, "doc_id", "text", "lang"))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SURE))
-    return kept.select(*docs.columns)
+    net = fit(docs, "doc_id", "text", "lang")
+    if net is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rest = [c for c in docs.columns if c != "text"]
+    found = identify(docs.select("text", F.struct(*rest).alias(MARK)), net)
+    chance = 1 / len(net.languages) if len(net.languages) > 1 else 0.0
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") - chance) / (1 - chance) >= LEAST_SURE))
+    return kept.select(*["text" if c == "text" else F.col(MARK)[c].alias(c) for c in docs.columns])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

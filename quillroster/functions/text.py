@@ -96,6 +96,11 @@ def lenient_json(text: Column, schema: T.DataType) -> Column:
     return F.coalesce(F.from_json(text, schema), F.array().cast(schema))
 
 
+def json_field(text: Column, field: str, kind: str) -> Column:
+    """A field of a JSON object text, as a type; null where the text is broken or has none."""
+    return F.from_json(text, f"`{field}` {kind}")[field]
+
+
 def json_with(payload: Column, field: str, value: Column) -> Column:
     return payload.withField(field, value)
 

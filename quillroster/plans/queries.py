@@ -63,13 +63,15 @@ def c8_upcoming_for_person(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    WITH e AS (SELECT l_suppkey AS player_id, s_name AS full_name, l_linenumber AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R' AND l_orderkey % 1000 = 1),
-    r AS (SELECT DISTINCT player_id, full_name FROM e), p AS (SELECT *, row_number() OVER (ORDER BY full_name, player_id) AS place, count(*) OVER () AS n FROM r)
-    SELECT player_id, full_name, CAST(place AS INT) AS place, true AS has_previous, n > 20 AS has_next FROM p WHERE place > 10 AND place <= 20""")
+    WITH r AS (SELECT DISTINCT l_orderkey AS t, l_suppkey AS player_id, s_name AS full_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag <> 'R'),
+    big AS (SELECT t FROM r GROUP BY t ORDER BY count(*) DESC, t LIMIT 1), p AS (SELECT *, row_number() OVER (ORDER BY full_name, player_id) AS place, count(*) OVER () AS n FROM r SEMI JOIN big USING (t))
+    SELECT player_id, full_name, CAST(place AS INT) AS place, false AS has_previous, n > 10 AS has_next FROM p WHERE place <= 10""")
 def c8_roster_page(spark: SparkSession, folder: str) -> DataFrame:
-    e = domain.entries(spark, folder).where(F.col("tournament_id") % 1000 == 1).select(F.lit(1).alias("tournament_id"), "player_id", "active")
-    rows = views.roster(e, domain.players(spark, folder), F.lit(1)).distinct()
-    return views.page(rows, [F.asc("full_name"), F.asc("player_id")], 1).select("player_id", "full_name", "place", "has_previous", "has_next")
+    """The first page of the longest roster."""
+    e = domain.entries(spark, folder)
+    sizes = e.where("active").groupBy("tournament_id").agg(F.count_distinct("player_id").alias("n")).orderBy(F.desc("n"), "tournament_id").limit(1).select(F.col("tournament_id").alias("big"))
+    rows = views.roster(e.crossJoin(F.broadcast(sizes)), domain.players(spark, folder), F.col("big")).distinct()  # one row is joined to each
+    return views.page(rows, [F.asc("full_name"), F.asc("player_id")], 0).select("player_id", "full_name", "place", "has_previous", "has_next")
 
 
 @query("""
@@ -138,15 +140,16 @@ def j11_c2_fuzzy_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    WITH n AS (SELECT p_name AS full_name, min(p_partkey) AS id, lower(p_name) AS norm FROM part GROUP BY p_name),
-    people AS (SELECT * FROM n WHERE id % 3 <> 0), al AS (SELECT norm AS alias, id AS player_id FROM n WHERE id % 9 = 0),
+    WITH n AS (SELECT p_name AS full_name, min(p_partkey) AS id, lower(p_name) AS norm, min(p_size) AS size FROM part GROUP BY p_name),
+    people AS (SELECT * FROM n WHERE size <= 30), al AS (SELECT norm AS alias, id AS player_id FROM n WHERE size > 40),
     x AS (SELECT n.full_name AS name, n.norm, al.player_id AS a, people.id AS e, CASE WHEN length(n.norm) <= 8 THEN 2 WHEN length(n.norm) <= 14 THEN 3 WHEN length(n.norm) <= 22 THEN 4 ELSE 5 END AS k FROM n LEFT JOIN al ON al.alias = n.norm LEFT JOIN people ON people.full_name = n.full_name),
     f AS (SELECT x.name, min(levenshtein(x.norm, p.norm)) AS least FROM x, people p WHERE a IS NULL AND e IS NULL AND levenshtein(x.norm, p.norm) <= k GROUP BY x.name)
     SELECT x.name, CASE WHEN a IS NOT NULL THEN 'alias' WHEN e IS NOT NULL THEN 'exact' WHEN f.least <= 3 THEN 'ambiguous' ELSE 'new' END AS outcome, coalesce(a, e) AS player_id FROM x LEFT JOIN f USING (name)""")
 def c2_resolve_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    n = domain.part_names(spark, folder)
-    aliases = n.where("id % 9 = 0").select(F.col("normalized_name").alias("normalized_alias"), F.col("id").alias("player_id"))
-    return resolve.resolve_names(n.select(F.col("full_name").alias("name")), aliases, n.where("id % 3 <> 0")).select("name", "outcome", "player_id")
+    """All part names; people are those of small parts, aliases those of large ones only."""
+    n = domain.part_names(spark, folder).join(readers.table(spark, folder, "part").groupBy(F.col("p_name").alias("full_name")).agg(F.min("p_size").alias("size")), "full_name")
+    aliases = n.where("size > 40").select(F.col("normalized_name").alias("normalized_alias"), F.col("id").alias("player_id"))
+    return resolve.resolve_names(n.select(F.col("full_name").alias("name")), aliases, n.where("size <= 30")).select("name", "outcome", "player_id")
 
 
 _ACTIONS = """
@@ -231,10 +234,9 @@ def n7_parse_price(spark: SparkSession, folder: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), X.parse_price(text).alias("price"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN length(source || ' ' || left(text, 40)) <= 30 THEN source || ' ' || left(text, 40) ELSE left(source || ' ' || left(text, 40), 27) || '...' END AS short FROM documents")
+@query("SELECT doc_id AS id, CASE WHEN length(source || ' ' || text) <= 30 THEN source || ' ' || text ELSE left(source || ' ' || text, 27) || '...' END AS short FROM documents")
 def n9_truncate(spark: SparkSession, folder: str) -> DataFrame:
-    d = readers.table(spark, folder, "documents")
-    return d.select(F.col("doc_id").alias("id"), X.ellipsis(F.concat("source", F.lit(" "), F.substring("text", 1, 40))).alias("short"))
+    return readers.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), X.ellipsis(F.concat("source", F.lit(" "), "text")).alias("short"))
 
 
 @query("SELECT o_orderkey AS id, 'https://pay.invalid/p/e/' || o_orderkey || CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN '?pay=half' ELSE '' END AS link FROM orders")
@@ -330,7 +332,7 @@ def j15_identity_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def k2_json_path(spark: SparkSession, folder: str) -> DataFrame:
-    return readers.table(spark, folder, "events").select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
+    return readers.table(spark, folder, "events").select(F.col("event_id").alias("id"), X.json_field(F.col("props"), "k", "bigint").alias("k"))
 
 
 @query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id AS created FROM events")
@@ -369,14 +371,15 @@ def o2_latest_run(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    WITH x AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
-    SELECT coalesce(c_custkey, k) AS id, CASE WHEN k IS NOT NULL THEN v WHEN c_custkey % 2 <> 0 THEN c_custkey END AS value,
-           CASE WHEN c_custkey IS NULL THEN v WHEN c_custkey % 2 = 0 THEN v ELSE c_custkey END AS filled
-    FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c FULL JOIN x ON c_custkey = k""")
+    WITH x AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders GROUP BY 1)
+    SELECT coalesce(c_custkey, k) AS id, CASE WHEN k IS NOT NULL THEN v WHEN c_acctbal > 0 THEN c_custkey END AS value,
+           CASE WHEN c_custkey IS NULL THEN v WHEN c_acctbal > 0 THEN c_custkey ELSE v END AS filled
+    FROM customer c FULL JOIN x ON c_custkey = k""")
 def u3_u4_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    own = F.when(F.col("c_custkey") % 2 != 0, F.col("c_custkey"))
-    prior = readers.table(spark, folder, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), own.alias("value"), own.alias("filled"))
-    new = readers.table(spark, folder, "orders").where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("value"))
+    """Every customer's last order over all customers, those without orders too."""
+    own = F.when(F.col("c_acctbal") > 0, F.col("c_custkey"))
+    prior = readers.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), own.alias("value"), own.alias("filled"))
+    new = readers.table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("value"))
     return mutate.upsert(prior, new.withColumn("filled", F.col("value")), ["id"], ["value"], fill=["filled"])
 
 
@@ -396,14 +399,16 @@ def u13_references(spark: SparkSession, folder: str) -> DataFrame:
     return left.join(n, F.col("nation_id") == F.col("n_nationkey")).select("id", F.when(F.col("ref").isNotNull(), F.col("n_name")).alias("nation"))
 
 
-@query("SELECT l_suppkey AS telegram_id, arg_max(state, l_orderkey * 10 + l_linenumber) AS last FROM (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'bind_pick_date' ELSE 'bind_confirm' END AS state FROM lineitem SEMI JOIN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) USING (l_orderkey, l_linenumber)) GROUP BY 1")
+@query("""
+    WITH s AS (SELECT l_suppkey AS telegram_id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linestatus = 'F' THEN 'bind_pick_date' ELSE 'bind_confirm' END AS state FROM lineitem)
+    SELECT telegram_id, max({'seq': seq, 'state': state}).state AS last FROM s GROUP BY 1""")
 def st1_session_fold(spark: SparkSession, folder: str) -> DataFrame:
+    """All entries are steps; of those that repeat a key, the greatest state is the last."""
     from quillroster.streaming.sessions import fold_sessions
 
-    e = domain.entries(spark, folder)
-    once = e.groupBy("id").agg(F.count("*").alias("n"), F.first("player_id").alias("player_id"), F.first("payment_status").alias("s")).where("n = 1")
-    steps = once.select(F.col("player_id").alias("telegram_id"), F.col("id").alias("seq"), F.when(F.col("s") == "paid", "pick_date").otherwise("confirm").alias("step"), F.lit(None).cast("boolean").alias("support"))
-    opening = steps.select("telegram_id").distinct().select("telegram_id", F.lit(0).cast("long").alias("seq"), F.lit("ask_name").alias("step"), F.lit(None).cast("boolean").alias("support"))
+    support = F.lit(None).cast("boolean").alias("support")
+    steps = domain.entries(spark, folder).select(F.col("player_id").alias("telegram_id"), F.col("id").alias("seq"), F.when(F.col("payment_status") == "paid", "pick_date").otherwise("confirm").alias("step"), support)
+    opening = steps.select("telegram_id").distinct().select("telegram_id", F.lit(0).cast("long").alias("seq"), F.lit("ask_name").alias("step"), support)
     return fold_sessions(steps.unionByName(opening)).select("telegram_id", F.col("state").alias("last"))
 
 
