@@ -102,7 +102,8 @@ class Scorer:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
         for lo, hi in slices(texts):
-            f = self.bias + standard(features(texts[lo:hi]), self.centre, self.spread) @ self.weights
+            # Row by row, so that a text's score does not depend on those beside it.
+            f = self.bias + (standard(features(texts[lo:hi]), self.centre, self.spread) * self.weights).sum(axis=1)
             out[lo:hi] = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
         return out
 

@@ -219,10 +219,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = index.history(width) if keep else None
     repeated = None
     for b in range(batches):
-        twice = index.ingest(prints.where(F.col("_batch") == b).select("fingerprint", F.lit(1).alias("n")))
+        # Written before runs that it reads are merged away.
+        twice = materialise(index.ingest(prints.where(F.col("_batch") == b).select("fingerprint", F.lit(1).alias("n"))), "twice")
         repeated = twice if repeated is None else repeated.unionByName(twice)
+        # Runs are merged for the batches to come: the next ones here, or a later call's.
+        if keep or b < batches - 1:
+            index.compact()
     repeated = materialise(repeated.distinct(), "repeated")
-    index.compact(min(FANOUT, batches))
 
     marks = prints.join(repeated, "fingerprint").groupBy(*ROW).agg(F.collect_set("fingerprint").alias("_marks"))
     # collect_set holds a document's own fingerprints at most. Rows that repeat a text are copies, so
