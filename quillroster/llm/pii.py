@@ -290,12 +290,11 @@ class Tagger:
             tags[t] = (best[t] + move[:, tags[t + 1]]).argmax(axis=0)
         return tags
 
-    def probabilities(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        """Each tag's probability (steps, lanes)."""
+    def probabilities(self, e: np.ndarray) -> np.ndarray:
+        """Each tag's probability at each place (steps, TAGS, lanes)."""
         e = e.astype(np.float64)
         a, b = self.sums(e)
-        p = np.exp(a + b - _logsum(a[-1], 0))
-        return p[np.arange(len(e))[:, None], tags, np.arange(e.shape[2])]
+        return np.exp(a + b - _logsum(a[-1], 0))
 
 
 _NUMBER = re.compile(r"[0-9]+")
@@ -316,57 +315,80 @@ def _acceptable(kind: int, text: str) -> bool:
     return 9 <= digits <= 15 and len(numbers) > 1 and not any(c.isalpha() for c in text)
 
 
-def _read(tagger: Tagger, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tags and their probabilities for every place of the texts laid end to end, and where each text begins."""
-    each = [symbols(t) for t in texts]
-    begin = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-    joined = np.concatenate([*each, np.full(WINDOW, PAD, np.uint8)])
-    tags, sure = np.zeros(begin[-1], np.uint8), np.zeros(begin[-1], np.float32)
-    starts = [np.array(windows(len(x)), np.int64) for x in each]
-    owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
-    at = np.concatenate([np.zeros(0, np.int64), *starts])
-    first, size = begin[owner], (begin[1:] - begin[:-1])[owner]
-    # Each window answers up to the middle of what it shares with the next one.
-    half = (WINDOW - STRIDE) // 2
-    lo, hi = np.where(at == 0, 0, half), np.where(at + WINDOW >= size, size - at, WINDOW - half)
-    lean = tagger.lean()
-    for k in range(0, len(at), LANES):
-        own = slice(k, min(k + LANES, len(at)))
-        places = first[own] + at[own] + np.arange(WINDOW)[:, None]
-        x = np.where(places < (first[own] + size[own]), joined.take(places, mode="clip"), np.uint8(PAD))
-        e = lean.emissions(x)
-        some = lean.doubtful(e, lo[own], hi[own])
-        for j in range(0, len(some), 256):
-            part = some[j : j + 256]
-            found = tagger.path(e[:, :, part])
-            some_inside = np.flatnonzero(found.any(axis=0))
-            part, found = part[some_inside], found[:, some_inside]
-            if not len(part):
-                continue
-            p = tagger.probabilities(e[:, :, part], found)
-            for i, w in enumerate((part + k).tolist()):
-                a, b = int(lo[w]), int(hi[w])
-                where = int(first[w] + at[w])
-                tags[where + a : where + b], sure[where + a : where + b] = found[a:b, i], p[a:b, i]
-    return tags, sure, begin
+class _Reading:
+    """The windows over some texts laid end to end: each answers up to the middle of what it shares with the next one."""
+
+    def __init__(self, tagger: Tagger, texts: list[str]) -> None:
+        self.tagger, self.lean = tagger, tagger.lean()
+        each = [symbols(t) for t in texts]
+        self.begin = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        self.joined = np.concatenate([*each, np.full(WINDOW, PAD, np.uint8)])
+        starts = [np.array(windows(len(x)), np.int64) for x in each]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in starts])
+        at, half = np.concatenate([np.zeros(0, np.int64), *starts]), (WINDOW - STRIDE) // 2
+        self.end, size = self.begin[owner + 1], (self.begin[1:] - self.begin[:-1])[owner]
+        self.start = self.begin[owner] + at
+        self.lo, self.hi = np.where(at == 0, 0, half), np.where(at + WINDOW >= size, size - at, WINDOW - half)
+
+    def emissions(self, some: np.ndarray) -> np.ndarray:
+        places = self.start[some] + np.arange(WINDOW)[:, None]
+        return self.lean.emissions(np.where(places < self.end[some], self.joined.take(places, mode="clip"), np.uint8(PAD)))
+
+    def answers(self, some: np.ndarray) -> Iterator[tuple[int, slice, slice]]:
+        """For each window its lane, the places that it answers for, and where they are in it."""
+        for lane, w in enumerate(some.tolist()):
+            s, a, b = int(self.start[w]), int(self.lo[w]), int(self.hi[w])
+            yield lane, slice(s + a, s + b), slice(a, b)
+
+    def tags(self) -> np.ndarray:
+        """The likeliest tag at every place."""
+        out = np.zeros(self.begin[-1], np.uint8)
+        for k in range(0, len(self.start), LANES):
+            some = np.arange(k, min(k + LANES, len(self.start)))
+            e = self.emissions(some)
+            doubtful = self.lean.doubtful(e, self.lo[some], self.hi[some])
+            for j in range(0, len(doubtful), 256):
+                part = doubtful[j : j + 256]
+                found = self.lean.path(e[:, :, part])
+                for lane, there, here in self.answers(some[part]):
+                    out[there] = found[here, lane]
+        return out
+
+    def sure(self, tags: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+        """The mean probability of each span's tags (spans ascend, in places of all texts)."""
+        p = np.zeros(len(tags), np.float32)
+        lows = np.searchsorted(self.start + self.hi, [a for a, _ in spans], side="right")
+        highs = np.searchsorted(self.start + self.lo, [b for _, b in spans], side="left")
+        wanted = np.unique(np.concatenate([np.arange(a, b) for a, b in zip(lows, highs, strict=True)]))
+        for k in range(0, len(wanted), 256):
+            some = wanted[k : k + 256]
+            each = self.tagger.probabilities(self.emissions(some))
+            for lane, there, here in self.answers(some):
+                p[there] = each[np.arange(here.start, here.stop), tags[there], lane]
+        return np.array([p[a:b].mean() for a, b in spans])
 
 
 def added_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
     """Spans that the network finds beside the base ones."""
     out: list[list[Span]] = [[] for _ in texts]
-    tags, sure, begin = _read(tagger, texts)
+    reading = _Reading(tagger, texts)
+    tags, begin = reading.tags(), reading.begin
     inside = np.flatnonzero(tags)
     if not len(inside):
         return out
     kind = (tags[inside].astype(np.int64) - 1) // 2
     opens = np.concatenate([[True], (np.diff(inside) > 1) | (np.diff(kind) != 0)]) | (tags[inside] % 2 == 1) | np.isin(inside, begin)
     heads = np.flatnonzero(opens)
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(inside)], strict=True):
-        start, end = int(inside[a]), int(inside[b - 1]) + 1
-        k = int(np.searchsorted(begin, start, side="right")) - 1
-        span = (int(kind[a]), start - int(begin[k]), end - int(begin[k]))
-        if float(sure[start:end].mean()) >= SURE and _acceptable(span[0], texts[k][span[1] : span[2]]) and not any(x < span[2] and span[1] < y for _, x, y in bases[k]):
-            out[k].append(span)
+    starts, ends = inside[heads], inside[np.append(heads[1:], len(inside)) - 1] + 1
+    owners = np.searchsorted(begin, starts, side="right") - 1
+    found: list[tuple[int, Span]] = []
+    for k, q, a, b in zip(owners.tolist(), kind[heads].tolist(), (starts - begin[owners]).tolist(), (ends - begin[owners]).tolist(), strict=True):
+        if b - a > 5 and _acceptable(q, texts[k][a:b]) and not any(x < b and a < y for _, x, y in bases[k]):
+            found.append((k, (q, a, b)))
+    if found:
+        for (k, span), p in zip(found, reading.sure(tags, [(int(begin[k]) + a, int(begin[k]) + b) for k, (_, a, b) in found]), strict=True):
+            if p >= SURE:
+                out[k].append(span)
     return out
 
 
