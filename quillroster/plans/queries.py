@@ -12,6 +12,7 @@ from quillroster.operators import mutate, payments, pending, queue, reconcile, r
 from quillroster.plans import domain
 from quillroster.plans.registry import query
 from quillroster.sources import readers
+from quillroster.sources.staging import staged
 
 AS_OF = "TIMESTAMP_NTZ '1997-06-01 00:00:00'"
 
@@ -175,7 +176,7 @@ def c1_reconcile_actions(spark: SparkSession, folder: str) -> DataFrame:
 def c1_next_entries(spark: SparkSession, folder: str) -> DataFrame:
     prior = domain.entries(spark, folder).where("place <= 3").groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"))
     prior = reconcile.conform(prior.withColumn("active", F.lit(True)), "entries")
-    return reconcile.next_entries(prior, _actions(spark, folder), F.lit("1997-06-01").cast("timestamp")).select("tournament_id", "player_id", "active")
+    return reconcile.next_entries(prior, staged(_actions(spark, folder), "actions"), F.lit("1997-06-01").cast("timestamp")).select("tournament_id", "player_id", "active")
 
 
 @query(_ACTIONS + " SELECT CAST(count(*) FILTER (WHERE action = 'new') AS INT) AS entries_new, CAST(count(*) FILTER (WHERE action = 'existing') AS INT) AS entries_existing, CAST(count(*) FILTER (WHERE action = 'inactivated') AS INT) AS entries_inactivated, CAST(count(*) FILTER (WHERE action = 'deleted') AS INT) AS entries_deleted FROM a")
