@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from quillroster.operators import views
-from quillroster.plans.queries import QUERIES
+from quillroster.plans import queries  # noqa: F401 - registers its queries
+from quillroster.plans.registry import QUERIES
 
 
 def test_every_event_has_its_pages(spark):

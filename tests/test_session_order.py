@@ -2,7 +2,8 @@
 
 from collections import defaultdict
 
-from quillroster.plans.queries import QUERIES
+from quillroster.plans import queries  # noqa: F401 - registers its queries
+from quillroster.plans.registry import QUERIES
 from quillroster.streaming.sessions import fold_sessions
 
 STEPS = "telegram_id string, seq long, at long, step string, support boolean"
