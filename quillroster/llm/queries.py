@@ -12,6 +12,7 @@ from quillroster.llm.common import documents
 from quillroster.llm.decontaminate import contaminated
 from quillroster.llm.exact_dedup import exact_dedup
 from quillroster.llm.language_id import language_id
+from quillroster.llm.merkle import document_manifest
 from quillroster.llm.near_dups import near_duplicates
 from quillroster.llm.pii import find_pii
 from quillroster.llm.quality import quality
@@ -70,6 +71,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,4 +106,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(d.w) AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id) r USING (doc_id)
     """,
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE crcs AS (
+            SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) AS crc FROM documents),
+        fields AS (
+            SELECT doc_id, lang, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS f, [doc_id::VARCHAR, source, lang, (n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)::VARCHAR, text] AS c FROM crcs),
+        leaves AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(list_aggregate(list_transform(f, lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')), 'string_agg', '')) AS leaf,
+                sha256(list_aggregate(list_transform(c, lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')), 'string_agg', '')) AS changed,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM fields),
+        lv AS (
+            SELECT g, 0 AS k, i, n, leaf AS h FROM leaves
+            UNION ALL SELECT g, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM lv WHERE n > 1 GROUP BY g, k, i // 2, n),
+        subs AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+        tv AS (
+            SELECT 0 AS k, i, n, h FROM subs
+            UNION ALL SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tv WHERE n > 1 GROUP BY k, i // 2, n),
+        steps AS (
+            SELECT l.doc_id, m.k AS s, CASE WHEN o.h IS NULL THEN '' WHEN o.i % 2 = 1 THEN 'R' || o.h ELSE 'L' || o.h END AS step
+            FROM leaves l JOIN (SELECT DISTINCT g, k FROM lv WHERE n > 1) m USING (g) LEFT JOIN lv o ON o.g = l.g AND o.k = m.k AND o.i = xor(l.i >> m.k, 1::BIGINT)
+            UNION ALL
+            SELECT l.doc_id, 1000 + m.k, CASE WHEN o.h IS NULL THEN '' WHEN o.i % 2 = 1 THEN 'R' || o.h ELSE 'L' || o.h END
+            FROM leaves l JOIN subs b ON b.g = l.g CROSS JOIN (SELECT DISTINCT k FROM tv WHERE n > 1) m LEFT JOIN tv o ON o.k = m.k AND o.i = xor(b.i >> m.k, 1::BIGINT)),
+        proofs AS (SELECT doc_id, list(step ORDER BY s) AS p FROM steps GROUP BY doc_id),
+        folded AS (
+            SELECT l.doc_id, l.leaf, b.h AS subroot, (SELECT h FROM tv WHERE n = 1) AS root, sha256(coalesce(list_aggregate(list_transform(p, lambda x: x[2:]), 'string_agg', ''), '')) AS proof_sha256,
+                coalesce(list_reduce(list_prepend(l.changed, p), lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || a ELSE a || x[2:] END)), l.changed) AS folded_root
+            FROM leaves l JOIN subs b ON b.g = l.g LEFT JOIN proofs USING (doc_id))
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+    """,
 }
