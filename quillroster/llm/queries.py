@@ -15,6 +15,7 @@ from quillroster.llm.hard_negatives import hard_negatives
 from quillroster.llm.language_id import language_id
 from quillroster.llm.merkle import document_manifest
 from quillroster.llm.near_dups import near_duplicates
+from quillroster.llm.nearest import nearest_neighbours
 from quillroster.llm.pii import find_pii
 from quillroster.llm.quality import quality
 from quillroster.llm.sharding import assign_shards
@@ -72,12 +73,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(documents(spark, sf_dir), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.when(F.col("vec_id") % 7 == 0, F.expr("pmod(label + 1, 10)")).otherwise(F.col("label"))
+    label = F.when(F.col("vec_id") % 7 == 0, F.expr("(cast(label AS long) + 1) % 10")).otherwise(F.col("label"))
     return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
 
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
 }
