@@ -22,10 +22,10 @@ def ranked(df: DataFrame, group: str | None, order: list[Column], label: str = "
     dealt = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
     placed = staged(dealt.select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_at"), F.hash(group_col.isNull(), group_col).alias("_slot")), label)
     key = F.lit(0).alias("_key") if group is None else group_col.alias("_key")
-    parts = placed.groupBy(key, "_task", "_slot").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    parts = placed.groupBy(key, "_task", "_slot").agg(F.min("_at").alias("_part_first"), F.count("*").alias("_part_rows"))
     before = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_key", F.col("_task").alias("_ptask"), F.col("_slot").alias("_pslot"), "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(Window.partitionBy("_key")).alias("_total"))
+    parts = parts.select("_key", F.col("_task").alias("_ptask"), F.col("_slot").alias("_pslot"), "_part_first", F.coalesce(F.sum("_part_rows").over(before), F.lit(0)).alias("_part_before"), F.sum("_part_rows").over(Window.partitionBy("_key")).alias("_total"))
     same = F.lit(True) if group is None else group_col.eqNullSafe(F.col("_key"))
     # _slot spreads the groups of one task over the join's tasks; it doesn't stand for the group.
     joined = placed.join(parts, (F.col("_task") == F.col("_ptask")) & (F.col("_slot") == F.col("_pslot")) & same)
-    return joined.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("_pos"), "_total")
+    return joined.select(*df.columns, (F.col("_part_before") + F.col("_at") - F.col("_part_first")).alias("_pos"), "_total")

@@ -11,7 +11,7 @@ from quillroster.functions import text as X
 from quillroster.functions import timeops as D
 from quillroster.operators.mutate import expire, insert_missing, last_wins, update_keyed, upsert, with_new_ids
 from quillroster.operators.pending import quarantine
-from quillroster.operators.resolve import resolve_names
+from quillroster.operators.resolve import resolve_in_order
 from quillroster.sources.readers import rosters, snapshot_problem, snapshot_rows
 from quillroster.sources.schemas import conform
 from quillroster.sources.staging import staged
@@ -114,8 +114,8 @@ def duplicate_events(events: DataFrame) -> DataFrame:
 def reconcile(tables: dict[str, DataFrame], events: DataFrame, run_id: int, as_of: Column, leavers_by_name: bool = False, failed: DataFrame | None = None) -> Reconciled:
     """Apply a snapshot's events to the tables: the whole import as one set of joins.
 
-    Events without a start or past the grace are skipped. Rosters are resolved to people; ambiguous
-    names are quarantined. Leavers are judged by resolved people, so that who is found by an alias
+    Events without a start or past the grace are skipped. Rosters are resolved to people name by name
+    in the order of the file (see resolve_in_order); ambiguous names are quarantined. Leavers are judged by resolved people, so that who is found by an alias
     stays; with leavers_by_name by the exact names of the roster instead. Events in failed (location,
     starts_at) are left as they are, and are no missing ones' company: they count as not seen. A
     snapshot without events is refused, as it would archive every event. Each step that later ones
@@ -130,13 +130,15 @@ def reconcile(tables: dict[str, DataFrame], events: DataFrame, run_id: int, as_o
         current = current.join(failed.select("location", "starts_at").distinct(), ["location", "starts_at"], "left_anti")
     tournaments = staged(next_tournaments(tables["tournaments"], current, as_of), "tournaments")
     last = last_wins(current.select("location", "starts_at", "position", "participants"), ["location", "starts_at"], ["position"])
-    seen = staged(tournaments.select(F.col("id").alias("tournament_id"), "location", "starts_at").join(last, ["location", "starts_at"]).select("tournament_id", "participants"), "seen")
-    names = rosters(seen, "tournament_id").select("tournament_id", F.col("raw_player_name").alias("name")).distinct()
-    resolved = staged(resolve_names(names.select("name"), tables["player_aliases"], tables["players"]), "resolved")
-    players = staged(next_players(tables["players"], resolved.where("outcome = 'new'")), "players")
+    seen = staged(tournaments.select(F.col("id").alias("tournament_id"), "location", "starts_at").join(last, ["location", "starts_at"]).select("tournament_id", "position", "participants"), "seen")
+    # Names in the order of the file; the event and the name tell those of several files apart.
+    names = rosters(seen, "tournament_id", "position").groupBy("tournament_id", F.col("raw_player_name").alias("name")).agg(F.min(F.struct("position", "place")).alias("_at"))
+    names = names.select("tournament_id", "name", F.struct("_at.position", "_at.place", "tournament_id", "name").alias("seq"))
+    resolved, fresh = resolve_in_order(names, tables["player_aliases"], tables["players"])
+    resolved = staged(resolved, "resolved")
+    players = staged(insert_missing(tables["players"], fresh, ["full_name"]), "players")
     ids = players.groupBy(F.col("full_name").alias("name")).agg(F.min("id").alias("_named_id"))
-    who = resolved.join(ids, "name", "left").select("name", "norm", "outcome", "candidates", F.coalesce("player_id", F.when(F.col("outcome") == "new", F.col("_named_id"))).alias("player_id"), "_named_id")
-    placed = staged(names.join(who, "name"), "placed")
+    placed = staged(resolved.join(ids, "name", "left"), "placed")
     here = placed.where("player_id IS NOT NULL")
     listed = placed.where("_named_id IS NOT NULL").select("tournament_id", F.col("_named_id").alias("player_id")) if leavers_by_name else None
     changes = staged(entry_actions(tables["entries"], here, seen, listed), "changes")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillroster.functions import text as X
+from quillroster.operators.ranking import ranked
+from quillroster.sources.staging import staged
 
 #: The pool of nearest people, how many are shown, and the least distance that still suggests someone.
 POOL, SHOWN, LEAST_DISTANCE = 30, 5, 3
@@ -56,36 +58,113 @@ def fuzzy_candidates(probes: DataFrame, people: DataFrame, shown: int = SHOWN) -
     smaller id. A person of the very name isn't a candidate.
     """
     known = people.select(F.col("id").alias("player_id"), "full_name", F.col("normalized_name").alias("_norm"))
-    pairs = within_distance(probes, known, "norm", "_norm", X.name_distance_limit(F.col("norm")))
-    near = Window.partitionBy("name", "norm").orderBy("dist", "player_id")
+    return best_candidates(within_distance(probes, known, "norm", "_norm", X.name_distance_limit(F.col("norm"))), shown)
+
+
+def best_candidates(pairs: DataFrame, shown: int = SHOWN, more: tuple[str, ...] = ()) -> DataFrame:
+    """pairs as within_distance gives them (name, norm, player_id, full_name, _norm, dist) -> candidates as in fuzzy_candidates, for each name, norm and value of `more`."""
+    key = ["name", "norm", *more]
+    near = Window.partitionBy(*key).orderBy("dist", "player_id")
     pool = pairs.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= POOL).where(F.col("full_name") != F.col("name"))
-    least = F.min("dist").over(Window.partitionBy("name", "norm"))
+    least = F.min("dist").over(Window.partitionBy(*key))
     pool = pool.withColumn("_least", least).where((F.col("_least") <= LEAST_DISTANCE) & (F.col("dist") <= F.least(F.col("_least") + 1, X.name_distance_limit(F.col("norm")))))
     part = lambda f: X.distance(f(F.col("norm")), f(F.col("_norm")))
     scored = pool.withColumn("surname_dist", part(X.surname)).withColumn("name_dist", part(X.given_name))
     scored = scored.withColumn("score", X.match_score(F.col("dist"), F.col("surname_dist"), F.col("name_dist")))
-    best = Window.partitionBy("name", "norm").orderBy("score", "player_id")
+    best = Window.partitionBy(*key).orderBy("score", "player_id")
     scored = scored.withColumn("_best", F.row_number().over(best)).where(F.col("_best") <= shown)
-    place = Window.partitionBy("name", "norm").orderBy("dist", "score", "player_id")
-    return scored.withColumn("place", F.row_number().over(place)).select("name", "norm", "player_id", "full_name", "dist", "score", "surname_dist", "name_dist", "place")
+    place = Window.partitionBy(*key).orderBy("dist", "score", "player_id")
+    return scored.withColumn("place", F.row_number().over(place)).select(*key, "player_id", "full_name", "dist", "score", "surname_dist", "name_dist", "place")
 
 
 def resolve_names(names: DataFrame, aliases: DataFrame, people: DataFrame) -> DataFrame:
     """Distinct names (name) -> name, norm, outcome (alias, exact, ambiguous or new), player_id, candidates.
 
     All names are resolved against the people at the start: one that is new twice is one new person,
-    and a person made for one name is no candidate for another of the same run.
+    and a person made for one name is no candidate for another of the same run; see resolve_in_order.
     """
     asked = names.where(F.length("name") > 0).select("name").distinct().withColumn("norm", X.normalize_name(F.col("name")))
+    found = _known(asked, aliases, people)
+    rest = found.where("_alias_id IS NULL AND _exact_id IS NULL").select("name", "norm")
+    fuzzy = _as_list(fuzzy_candidates(rest, people), "name")
+    out = found.join(fuzzy, "name", "left")
+    outcome = F.when(F.col("_alias_id").isNotNull(), "alias").when(F.col("_exact_id").isNotNull(), "exact").when(F.col("candidates").isNotNull(), "ambiguous").otherwise("new")
+    return out.select("name", "norm", outcome.alias("outcome"), F.coalesce("_alias_id", "_exact_id").alias("player_id"), "candidates")
+
+
+def _known(asked: DataFrame, aliases: DataFrame, people: DataFrame) -> DataFrame:
+    """asked (name, norm, ...) with _alias_id and _exact_id."""
     by_alias = aliases.groupBy(F.col("normalized_alias").alias("norm")).agg(F.min("player_id").alias("_alias_id"))
     by_name = people.groupBy(F.col("full_name").alias("name")).agg(F.min("id").alias("_exact_id"))
-    found = asked.join(by_alias, "norm", "left").join(by_name, "name", "left")
-    rest = found.where("_alias_id IS NULL AND _exact_id IS NULL").select("name", "norm")
-    fuzzy = fuzzy_candidates(rest, people).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("place", "player_id", "full_name", "dist", "score", "surname_dist", "name_dist"))).alias("_c"))
+    return asked.join(by_alias, "norm", "left").join(by_name, "name", "left")
+
+
+def _as_list(fuzzy: DataFrame, *key: str) -> DataFrame:
+    """Candidates in their order, as one array for each key."""
     as_candidate = lambda c: F.struct(c["player_id"].alias("player_id"), c["full_name"].alias("name"), c["dist"].alias("dist"), c["score"].alias("score"), c["surname_dist"].alias("surname_dist"), c["name_dist"].alias("name_dist"))
-    out = found.join(fuzzy, "name", "left")
-    outcome = F.when(F.col("_alias_id").isNotNull(), "alias").when(F.col("_exact_id").isNotNull(), "exact").when(F.col("_c").isNotNull(), "ambiguous").otherwise("new")
-    return out.select("name", "norm", outcome.alias("outcome"), F.coalesce("_alias_id", "_exact_id").alias("player_id"), F.transform("_c", as_candidate).alias("candidates"))
+    listed = fuzzy.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("place", "player_id", "full_name", "dist", "score", "surname_dist", "name_dist"))).alias("_c"))
+    return listed.select(*key, F.transform("_c", as_candidate).alias("candidates"))
+
+
+def fallen(edges: DataFrame) -> DataFrame:
+    """edges (name, before): an earlier name that `name` is too near to -> (name) those that are too near to an earlier one that stands.
+
+    Judged one by one in their order, a name stands if none that stands is before it. All names whose
+    earlier neighbours are settled are settled at once: who has none left stands, and those after one that
+    stands fall. Each round settles all such names of the whole table, so that there are as many rounds
+    as the longest chain of neighbours, each of which hangs on the one before it, is long.
+    """
+    edges, out = staged(edges.select("name", "before"), "edges"), edges.select("name").limit(0)
+    while not edges.isEmpty():
+        standing = edges.select(F.col("before")).distinct().join(edges.select(F.col("name").alias("before")).distinct(), "before", "left_anti")
+        down = staged(edges.join(standing, "before", "left_semi").select("name").distinct(), "fallen")
+        out = out.unionByName(down)
+        edges = staged(edges.join(down, "name", "left_anti").join(down.select(F.col("name").alias("before")), "before", "left_anti").select("name", "before"), "edges")
+    return out
+
+
+def resolve_in_order(listed: DataFrame, aliases: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names as an import meets them, one by one: listed (name, seq, ...) -> listed with norm, outcome, player_id, candidates; and the new people (id, full_name, normalized_name).
+
+    seq, of any orderable type, tells a name's place; two names have never the same. Each name is looked up among the
+    people and those made of names before it: the first of two near spellings becomes a person, the
+    second is doubtful and has that person among its candidates, as far as it was made before. A
+    new person's name is exact from its second occurrence on. Ids of new people follow the order in which they are made.
+    Empty and null names are left out.
+    """
+    asked = listed.where(F.length("name") > 0).withColumn("norm", X.normalize_name(F.col("name")))
+    found = staged(_known(asked.groupBy("name", "norm").agg(F.min("seq").alias("_first")), aliases, people), "known")
+    rest = found.where("_alias_id IS NULL AND _exact_id IS NULL").select("name", "norm", "_first")
+    limit = X.name_distance_limit(F.col("norm"))
+    named = people.select(F.col("id").alias("player_id"), "full_name", F.col("normalized_name").alias("_norm"))
+    pairs = staged(within_distance(rest.select("name", "norm"), named, "norm", "_norm", limit).where("full_name <> name"), "pairs")
+    open_ = staged(rest.join(pairs.where(F.col("dist") <= LEAST_DISTANCE).select("name").distinct(), "name", "left_anti"), "open")
+
+    # Of the spellings that share a normalised name the first stands for all: if it falls, so do they, by the same neighbour.
+    nodes = staged(open_.where("norm <> ''").groupBy("norm").agg(F.min(F.struct("_first", "name")).alias("_node")).select("norm", "_node.*"), "nodes")
+    met = within_distance(nodes.select("norm", "_first"), nodes.select(F.col("norm").alias("before"), F.col("_first").alias("_before_first")), "norm", "before", F.least(limit, F.lit(LEAST_DISTANCE)))
+    down = fallen(met.where("_before_first < _first").select(F.col("norm").alias("name"), "before"))
+    standing = nodes.join(down.withColumnRenamed("name", "norm"), "norm", "left_anti").select("name", "norm", "_first")
+    standing = standing.unionByName(open_.where("norm = ''").select("name", "norm", "_first"))
+    most = people.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one row
+    made = staged(ranked(standing, None, [F.col("_first"), F.col("name")], "standing").select("name", "norm", "_first", (F.lit(most) + 1 + F.col("_pos")).cast("long").alias("_made")), "made")
+
+    doubtful = staged(rest.join(made.select("name"), "name", "left_anti").select("name", "norm"), "doubtful")
+    born = made.select(F.col("_made").alias("player_id"), F.col("name").alias("full_name"), F.col("norm").alias("_norm"), F.col("_first").alias("_born"))
+    later = staged(within_distance(doubtful, born, "norm", "_norm", limit), "later")
+    # What a doubtful name's candidates are changes only where one more of its neighbours has been made: ids follow that order.
+    asked_again = asked.join(doubtful.select("name"), "name", "left_semi").select("name", "norm", "seq").distinct()
+    epochs = asked_again.join(later.select("name", "_born", "player_id"), "name", "left").where("_born IS NULL OR _born < seq").groupBy("name", "seq").agg(F.max("player_id").alias("_epoch"))
+    epochs = staged(asked_again.join(epochs, ["name", "seq"], "left").select("name", "norm", "seq", F.coalesce("_epoch", F.lit(0)).cast("long").alias("_epoch")), "epochs")
+    each = epochs.select("name", "_epoch").distinct()
+    near = pairs.join(each, "name").unionByName(later.drop("_born").join(each, "name").where("player_id <= _epoch"))
+    candidates = epochs.join(_as_list(best_candidates(near, more=("_epoch",)), "name", "_epoch"), ["name", "_epoch"]).select("name", "seq", "candidates")
+
+    known = found.select("name", "_alias_id", "_exact_id").join(made.select("name", "_made", "_first"), "name", "left")
+    rows = asked.join(known, "name").join(candidates, ["name", "seq"], "left")
+    outcome = F.when(F.col("_alias_id").isNotNull(), "alias").when(F.col("_exact_id").isNotNull(), "exact").when(F.col("_made").isNull(), "ambiguous").when(F.col("seq") == F.col("_first"), "new").otherwise("exact")
+    out = rows.select(*listed.columns, "norm", outcome.alias("outcome"), F.coalesce("_alias_id", "_exact_id", "_made").alias("player_id"), "candidates")
+    return out, made.select(F.col("_made").alias("id"), F.col("name").alias("full_name"), F.col("norm").alias("normalized_name"))
 
 
 def unique_match(probes: DataFrame, people: DataFrame) -> DataFrame:

@@ -153,6 +153,26 @@ def c2_resolve_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.resolve_names(n.select(F.col("full_name").alias("name")), aliases, n.where("size <= 30")).select("name", "outcome", "player_id")
 
 
+@query("""
+    WITH RECURSIVE n AS (SELECT p_name AS name, lower(p_name) AS norm, min(p_partkey) AS id, min(p_size) AS size FROM part GROUP BY p_name),
+    o AS (SELECT name, norm, id, CASE WHEN length(norm) <= 8 THEN 2 ELSE 3 END AS k FROM n WHERE size > 10 AND NOT EXISTS (
+        SELECT 1 FROM n p WHERE p.size <= 10 AND levenshtein(p.norm, n.norm) <= CASE WHEN length(n.norm) <= 8 THEN 2 ELSE 3 END)),
+    s AS (SELECT *, row_number() OVER (ORDER BY id DESC) - 1 AS i FROM o),
+    made AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS born UNION ALL
+        SELECT made.i + 1, CASE WHEN len(list_filter(born, lambda x: levenshtein(x, norm) <= k)) = 0 THEN list_append(born, norm) ELSE born END FROM made JOIN s ON s.i = made.i),
+    b AS (SELECT unnest(born) AS norm FROM made WHERE i = (SELECT max(i) FROM made))
+    SELECT name, CASE WHEN size <= 10 THEN 'exact' WHEN norm IN (SELECT norm FROM b) THEN 'new' ELSE 'ambiguous' END AS outcome,
+        CASE WHEN size <= 10 THEN id WHEN norm IN (SELECT norm FROM b) THEN (SELECT max(p_partkey) FROM part) + row_number() OVER (PARTITION BY size > 10 AND norm IN (SELECT norm FROM b) ORDER BY id DESC) END AS player_id FROM n""")
+def c2_names_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """All part names, met one by one from the largest key on; people are those of small parts, beside one who bears the largest id."""
+    part = readers.table(spark, folder, "part")
+    n = domain.part_names(spark, folder).join(part.groupBy(F.col("p_name").alias("full_name")).agg(F.min("p_size").alias("size")), "full_name")
+    last = part.agg(F.max("p_partkey").alias("id")).select("id", F.lit(None).cast("string").alias("full_name"), F.lit(None).cast("string").alias("normalized_name"))
+    people = n.where("size <= 10").select("id", "full_name", "normalized_name").unionByName(last)
+    aliases = spark.createDataFrame([], "normalized_alias string, player_id long")
+    return resolve.resolve_in_order(n.select(F.col("full_name").alias("name"), F.negative("id").alias("seq")), aliases, people)[0].select("name", "outcome", "player_id")
+
+
 _ACTIONS = """
     WITH old AS (SELECT l_orderkey AS t, l_suppkey AS p, bool_or(l_linestatus = 'F') AS kept FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
     now AS (SELECT DISTINCT l_orderkey AS t, l_suppkey AS p FROM lineitem WHERE l_linenumber >= 2 AND l_returnflag <> 'R'), sc AS (SELECT DISTINCT t FROM now),
