@@ -79,7 +79,8 @@ def build_manifest(df: DataFrame, fields: list[Column], id_col: str = "doc_id",
     group = F.coalesce(F.concat(F.lit("="), F.col(group_col).cast("string")), F.lit(TOP))
     kept = {f"_kept_{name}": made for name, made in (more or {}).items()}
     rows = df.select(group.alias("_g"), F.col(id_col).alias("_id"), leaf_of(fields).alias("_h"), *[made.alias(name) for name, made in kept.items()])
-    leaves = materialise(ranked(rows, "_g", [F.col("_id").asc_nulls_first(), F.col("_h")], "leaves").select("_g", "_id", F.col("_pos").alias("_i"), F.col("_total").alias("_n"), "_h", *kept), "leaves")
+    hashed = materialise(rows, "hashes")  # ranges are sampled first: texts are read once all the same
+    leaves = materialise(ranked(hashed, "_g", [F.col("_id").asc_nulls_first(), F.col("_h")], "leaves").select("_g", "_id", F.col("_pos").alias("_i"), F.col("_total").alias("_n"), "_h", *kept), "leaves")
     groups = build_tree(leaves.select("_g", "_i", "_n", "_h"), "nodes")
     tops = ranked(groups.tops(), None, [F.col("_g")], "subroots").select(F.lit(TOP).alias("_g"), F.col("_pos").alias("_i"), F.col("_total").alias("_n"), "_h", F.col("_g").alias("_of"))
     top = build_tree(materialise(tops, "subroots"), "tops")
