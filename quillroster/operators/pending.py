@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillroster.operators.mutate import cascade_delete, delete_keyed, insert_missing, last_wins, null_references, update_keyed, upsert, with_new_ids
-from quillroster.sources.schemas import conform
 from quillroster.sources.staging import staged
 
 
@@ -75,44 +74,6 @@ def merge_people(players: DataFrame, entries: DataFrame, aliases: DataFrame, pen
     return {"players": delete_keyed(players, gone, ["id"]), "entries": kept, "player_aliases": cascade_delete(aliases, gone, "player_id"), "pending_entries": null_references(pending, gone, "resolved_player_id")}
 
 
-def seen_entries(entries: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
-    """found (tournament_id, player_id): entries that are there become active and seen, others are added as pending ones."""
-    keys = ["tournament_id", "player_id"]
-    pairs = found.select(*keys).distinct()
-    known = update_keyed(entries, pairs.select(*keys, F.lit(True).alias("active"), as_of.alias("last_seen_in_source")), keys, ["active", "last_seen_in_source"])
-    fresh = with_new_ids(pairs.join(entries.select(*keys).distinct(), keys, "left_anti"), entries, keys)
-    times = {c: as_of for c in ("first_seen_in_source", "last_seen_in_source", "created_at")}
-    return insert_missing(known, conform(fresh.withColumns(times), "entries"), keys)
-
-
-def decide(tables: dict[str, DataFrame], decisions: DataFrame, as_of: Column) -> dict[str, DataFrame]:
-    """Apply decisions (id, decision, player_id, by) about waiting names to all tables that they concern.
-
-    resolved: the name becomes an alias of the person, others who bear it are merged into them, and
-    they are entered for the event; approved: the person is entered; new_person: one is made of the raw
-    name and entered, the status being approved; rejected and snoozed change the status alone. Only
-    waiting rows change, so that a decision that comes again changes nothing; of several for a row,
-    the first by name of the decision counts.
-    """
-    waiting = tables["pending_entries"].where("status = 'pending'").select("id", "tournament_id", "raw_player_name", "normalized_name")
-    once = decisions.groupBy("id").agg(F.min(F.struct("decision", "player_id", "by")).alias("_d")).select("id", "_d.*")
-    rows = staged(waiting.join(once, "id"), "decisions")
-    is_new, named = F.col("decision") == "new_person", F.col("decision").isin("resolved", "approved") & F.col("player_id").isNotNull()
-    resolved = rows.where((F.col("decision") == "resolved") & named)
-    known = tables["players"].select("full_name")
-    fresh = rows.where(is_new).select(F.col("raw_player_name").alias("full_name"), "normalized_name").distinct().join(known, "full_name", "left_anti")
-    players = insert_missing(tables["players"], with_new_ids(fresh, tables["players"], ["full_name", "normalized_name"]), ["full_name"])
-    learned = resolved.select(F.col("raw_player_name").alias("alias_name"), F.col("normalized_name").alias("normalized_alias"), "player_id", F.col("by").alias("created_by_telegram_id"))
-    aliases = add_aliases(tables["player_aliases"], learned, as_of)
-    merged = {k: staged(v, k) for k, v in merge_people(staged(players, "players"), tables["entries"], staged(aliases, "aliases"), tables["pending_entries"], resolved.select("player_id", "normalized_name"), as_of).items()}
-    made = merged["players"].groupBy(F.col("full_name").alias("raw_player_name")).agg(F.min("id").alias("_made"))
-    whom = staged(rows.join(made, "raw_player_name", "left").withColumn("_who", F.when(is_new, F.col("_made")).when(named, F.col("player_id"))), "whom")
-    entries = seen_entries(merged["entries"], whom.where("_who IS NOT NULL").select("tournament_id", F.col("_who").alias("player_id")), as_of)
-    status = F.when(is_new, "approved").otherwise(F.col("decision"))
-    changed = whom.select("id", status.alias("status"), F.when(is_new | (F.col("decision") == "resolved"), F.col("_who")).alias("resolved_player_id"))
-    return tables | merged | {"entries": staged(entries, "entries"), "pending_entries": staged(transition(merged["pending_entries"], changed, as_of), "pending")}
-
-
 def add_aliases(aliases: DataFrame, learned: DataFrame, as_of: Column) -> DataFrame:
     """learned (alias_name, normalized_alias, player_id, created_by_telegram_id): a known alias changes its person, a new one is added."""
     new = last_wins(learned, ["normalized_alias"], ["player_id"]).withColumn("created_at", as_of)

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillroster.operators import outbox, payments, pending, resolve, views
+from quillroster.operators import decisions, outbox, payments, resolve, views
 from quillroster.sources import readers, schemas
 from quillroster.sources.versions import TableStore
 from quillroster.streaming import payments as stream_payments
@@ -109,7 +109,7 @@ def test_decisions_about_names(spark):
         "pending_entries": table(spark, "pending_entries", "id long, tournament_id long, raw_player_name string, normalized_name string, status string", (1, 9, "Ivan Petrow", "ivan petrow", "pending"), (2, 9, "Ann", "ann", "pending"), (3, 9, "New One", "new one", "pending"), (4, 9, "x", "x", "pending"), (5, 9, "y", "y", "pending"), (6, 9, "z", "z", "expired")),
     }
     asked = spark.createDataFrame([(1, "resolved", 1, "adm"), (2, "approved", 3, "adm"), (3, "new_person", None, "adm"), (4, "snoozed", None, "adm"), (5, "rejected", None, "adm"), (6, "approved", 3, "adm"), (77, "approved", 3, "adm")], "id long, decision string, player_id long, by string")
-    after = pending.decide(tables, asked, now())
+    after = decisions.decide(tables, asked, now())
     assert {(r.id, r.full_name) for r in after["players"].collect()} == {(1, "Ivan Petrov"), (3, "Ann"), (4, "New One")}
     assert {(r.tournament_id, r.player_id) for r in after["entries"].where("active").collect()} == {(7, 1), (9, 1), (9, 3), (9, 4)}
     assert {r.id for r in after["entries"].collect()} == {10, 12, 13, 14, 15}
@@ -117,7 +117,7 @@ def test_decisions_about_names(spark):
     rows = {r.id: r for r in after["pending_entries"].collect()}
     assert {k: r.status for k, r in rows.items()} == {1: "resolved", 2: "approved", 3: "approved", 4: "snoozed", 5: "rejected", 6: "expired"}
     assert rows[1].resolved_player_id == 1 and rows[4].notified_at and rows[2].resolved_at is None
-    again = pending.decide(after, asked, now())
+    again = decisions.decide(after, asked, now())
     for name in tables:
         assert again[name].count() == after[name].count()
 
