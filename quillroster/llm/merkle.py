@@ -21,6 +21,8 @@ from quillroster.operators.ranking import ranked
 
 #: The one group of the tree over the subroots.
 TOP = ""
+#: Nodes of a level, at most, that one task pairs or gives proofs to: small levels need no shuffle.
+ONE_TASK = 32768
 #: What a step of a proof begins with: the sibling's side. A step without a sibling is empty.
 LEFT, RIGHT = b"\x00", b"\x01"
 
@@ -37,9 +39,10 @@ def leaf_of(fields: list[Column]) -> Column:
 
 @dataclass
 class Tree:
-    """levels: _g, _i (place from 0), _n (nodes of the group at this level), _h and, above the lowest, the children's _left and _right (null: none)."""
+    """levels: _g, _i (place from 0), _n (nodes of the group at this level), _h and, above the lowest, the children's _left and _right (null: none); most: as many rows at most."""
 
     levels: list[DataFrame]
+    most: list[int]
 
     def tops(self) -> DataFrame:
         """(_g, _h): the last node of each group."""
@@ -57,15 +60,21 @@ class Manifest:
     root: str | None
 
 
+def _narrow(df: DataFrame, most: int) -> DataFrame:
+    """df in one partition if it has few enough rows."""
+    return df.coalesce(1) if most <= ONE_TASK else df
+
+
 def build_tree(nodes: DataFrame, label: str) -> Tree:
     """nodes: _g, _i, _n, _h, read as often as there are levels."""
-    levels, most = [nodes], nodes.agg(F.max("_n")).first()[0] or 1
-    while most > 1:
+    rows, longest = nodes.agg(F.count("*"), F.coalesce(F.max("_n"), F.lit(1))).first()
+    levels, most = [nodes], [rows]
+    while longest > 1:
         side = lambda odd: F.max(F.when(F.col("_i") % 2 == odd, F.col("_h")))
-        pairs = levels[-1].where("_n > 1").groupBy("_g", F.expr("_i div 2").alias("_i"), F.expr("(_n + 1) div 2").alias("_n")).agg(side(0).alias("_left"), side(1).alias("_right"))
+        pairs = _narrow(levels[-1], most[-1]).where("_n > 1").groupBy("_g", F.expr("_i div 2").alias("_i"), F.expr("(_n + 1) div 2").alias("_n")).agg(side(0).alias("_left"), side(1).alias("_right"))
         levels.append(materialise(pairs.withColumn("_h", digest(F.concat("_left", F.coalesce("_right", F.lit(""))))), f"{label}{len(levels)}"))
-        most = (most + 1) // 2
-    return Tree(levels)
+        longest, most = (longest + 1) // 2, [*most, -(-2 * most[-1] // 3)]  # three nodes become two, more become fewer
+    return Tree(levels, most)
 
 
 def build_manifest(df: DataFrame, fields: list[Column], id_col: str = "doc_id", group_col: str = "lang", more: dict[str, Column] | None = None) -> Manifest:
@@ -88,14 +97,15 @@ def build_manifest(df: DataFrame, fields: list[Column], id_col: str = "doc_id",
     return Manifest(leaves, groups, top, root and root["_h"])
 
 
-def _push(tree: Tree, inherited: DataFrame) -> DataFrame:
-    """inherited (_g, _sub, _suffix): what each group's last node hands down -> _g, _i, _sub, _proof for each node of the lowest level."""
+def _push(tree: Tree, inherited: DataFrame, groups: int) -> DataFrame:
+    """inherited (_g, _sub, _suffix): what the last node of each of so many groups hands down -> _g, _i, _sub, _proof for each node of the lowest level."""
     step = lambda side, sibling: F.when(F.col(sibling).isNull(), F.lit(b"")).otherwise(F.concat(F.lit(side), F.unhex(sibling)))
     parents = None
     for k in range(len(tree.levels) - 1, -1, -1):
-        level = tree.levels[k]
+        most = max(tree.most[k], groups)
+        level, tops = _narrow(tree.levels[k], most), _narrow(inherited, most)
         children = [] if k == 0 else ["_left", "_right"]
-        here = level.where("_n = 1").join(inherited, "_g").select("_g", "_i", *children, "_sub", F.col("_suffix").alias("_proof"))
+        here = level.where("_n = 1").join(tops, "_g").select("_g", "_i", *children, "_sub", F.col("_suffix").alias("_proof"))
         if parents is not None:
             below = level.where("_n > 1").select("_g", "_i", *children, F.expr("_i div 2").alias("_up"))
             above = parents.select("_g", F.col("_i").alias("_up"), F.col("_left").alias("_pl"), F.col("_right").alias("_pr"), "_sub", "_proof")
@@ -103,7 +113,7 @@ def _push(tree: Tree, inherited: DataFrame) -> DataFrame:
             here = here.unionByName(below.join(above, ["_g", "_up"]).select("_g", "_i", *children, "_sub", F.concat(F.array(sibling), F.col("_proof")).alias("_proof")))
         if k == 0:
             return here
-        parents = materialise(here, f"proofs{k}")
+        parents = _narrow(materialise(here, f"proofs{k}"), max(tree.most[k - 1], groups))
     raise AssertionError("a tree has a level")
 
 
@@ -111,9 +121,9 @@ def prove(manifest: Manifest) -> DataFrame:
     """One row for each leaf: _id, _leaf, _subroot, _root, _proof (see fold), and what was kept beside it under its name."""
     nothing = F.array().cast("array<binary>")
     start = manifest.top.tops().select("_g", F.lit(None).cast("string").alias("_sub"), nothing.alias("_suffix"))
-    top = _push(manifest.top, start).select("_i", "_proof")
+    top = _push(manifest.top, start, 1).select("_i", "_proof")
     inherited = materialise(manifest.top.levels[0].join(top, "_i").select(F.col("_of").alias("_g"), F.col("_h").alias("_sub"), F.col("_proof").alias("_suffix")), "inherited")
-    proofs = _push(manifest.groups, inherited)
+    proofs = _push(manifest.groups, inherited, manifest.top.most[0])
     kept = [F.col(c).alias(c.removeprefix("_kept_")) for c in manifest.leaves.columns if c.startswith("_kept_")]
     rows = manifest.leaves.join(proofs, ["_g", "_i"])
     return rows.select("_id", F.col("_h").alias("_leaf"), F.col("_sub").alias("_subroot"), F.lit(manifest.root).alias("_root"), "_proof", *kept)
