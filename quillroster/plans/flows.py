@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillroster.functions import money as M
 from quillroster.functions import text as X
 from quillroster.functions import timeops as D
-from quillroster.operators import mutate, outbox, payments, pending, queue, reconcile, resolve, views
+from quillroster.operators import decisions, mutate, outbox, payments, pending, queue, reconcile, resolve, views
 from quillroster.plans import domain
 from quillroster.plans.registry import query
 from quillroster.sources import readers, schemas
@@ -342,3 +342,42 @@ def s12_outbox(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT CAST(s_nationkey AS VARCHAR) AS telegram_id, count(*) AS people, min(s_suppkey) AS first_id FROM supplier GROUP BY 1 HAVING count(*) > 1")
 def j15_conflict_groups(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.conflict_groups(domain.players(spark, folder).withColumn("telegram_id", F.col("nation_id").cast("string")))
+
+
+_DECIDED = f"""
+    WITH {_ENTRIES}, own AS (SELECT t, p, min(id) AS id, bool_or(active) AS active FROM e GROUP BY 1, 2), s AS (SELECT s_suppkey AS k, CAST(least(ceil(s_suppkey / 10.0) * 10, (SELECT max(s_suppkey) FROM supplier)) AS BIGINT) AS root FROM supplier),
+    kept AS (SELECT t, root, max(p) AS p FROM own JOIN s ON s.k = own.p GROUP BY 1, 2)"""
+
+
+def _decisions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Each supplier's name is decided to be the next one's, up to the next ten or the last; some decisions are wrong or come late."""
+    own = _entries(spark, folder).groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"), F.bool_or("active").alias("active"))
+    people = _people(spark, folder)
+    waits = people.select("id", F.col("id").alias("tournament_id"), F.col("full_name").alias("raw_player_name"), "normalized_name", F.lit("pending").alias("status"))
+    tables = {"players": people, "entries": schemas.conform(own, "entries"), "pending_entries": schemas.conform(waits, "pending_entries"), "player_aliases": spark.createDataFrame([], schemas.schema("player_aliases"))}
+    k, late = F.col("id"), F.lit(10**6)
+    said = lambda where, seq, row, kind, who: people.where(where).select(seq.alias("seq"), row.alias("id"), F.lit(kind).alias("decision"), who.cast("long").alias("player_id"), F.lit("admin").alias("by"))
+    asked = said("id % 10 <> 0", k, k, "resolved", k + 1)
+    for more in (said("id % 10 = 0 AND id > 0", late + k, k, "approved", k - 5), said("id % 10 = 0 AND id > 0", k, k, "resolved", F.lit(None)), said("id % 10 = 3", late + k, k, "rejected", F.lit(None)), said("id % 7 = 0", k, k, "maybe", k), said("id % 10 = 4", k, -k, "snoozed", F.lit(None)), said("id % 10 = 0 AND id > 0", k, k, "approved", -k)):
+        asked = asked.unionByName(more)
+    return decisions.decide(tables, asked, _now())
+
+
+@query(_DECIDED + """
+    SELECT kept.t AS tournament_id, kept.root AS player_id, own.active OR coalesce(kept.t % 10 <> 0 AND s.k < (SELECT max(k) FROM s) AND kept.p <= kept.t + 1, false) AS active, own.id AS id
+    FROM kept JOIN own USING (t, p) LEFT JOIN s ON s.k = kept.t AND s.root = kept.root
+    UNION ALL SELECT k, root, true, NULL FROM s WHERE k % 10 <> 0 AND k < (SELECT max(k) FROM s) AND NOT EXISTS (SELECT 1 FROM kept WHERE kept.t = s.k AND kept.root = s.root)""")
+def c5_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries after chains of merges: of those that meet in an event, the one of the person merged last stays."""
+    entries = _decisions(spark, folder)["entries"]
+    return entries.select("tournament_id", "player_id", "active", F.when(F.col("first_seen_in_source").isNull(), F.col("id")).alias("id"))
+
+
+@query("""
+    WITH s AS (SELECT s_suppkey AS k FROM supplier)
+    SELECT k AS id, 'approved' AS decision, k - 5 AS player_id, 'person_gone' AS reason FROM s WHERE k % 10 = 0 AND k > 0 UNION ALL SELECT k, 'resolved', NULL, 'no_person' FROM s WHERE k % 10 = 0 AND k > 0
+    UNION ALL SELECT k, 'rejected', NULL, 'already_decided' FROM s WHERE k % 10 = 3 UNION ALL SELECT k, 'maybe', k, 'unknown_decision' FROM s WHERE k % 7 = 0
+    UNION ALL SELECT -k, 'snoozed', NULL, 'not_waiting' FROM s WHERE k % 10 = 4 UNION ALL SELECT k, 'approved', -k, 'unknown_person' FROM s WHERE k % 10 = 0 AND k > 0
+    UNION ALL SELECT k, 'resolved', k + 1, 'unknown_person' FROM s WHERE k % 10 <> 0 AND k = (SELECT max(k) FROM s)""")
+def c5_refused_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return _decisions(spark, folder)["refused"].select("id", "decision", "player_id", "reason")
