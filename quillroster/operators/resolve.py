@@ -16,8 +16,6 @@ from quillroster.sources.staging import staged
 
 #: The pool of nearest people, how many are shown, and the least distance that still suggests someone.
 POOL, SHOWN, LEAST_DISTANCE = 30, 5, 3
-#: Letters of a probe that are joined on, and probes that may have none.
-STEM, MOST_OPEN = 3, 1000
 LIMITS = (*sorted({k for _, k in X.NAME_DISTANCE} | {X.NAME_DISTANCE_BEYOND}),)
 
 
@@ -167,24 +165,6 @@ def resolve_in_order(listed: DataFrame, aliases: DataFrame, people: DataFrame) -
     return out, made.select(F.col("_made").alias("id"), F.col("name").alias("full_name"), F.col("norm").alias("normalized_name"))
 
 
-def unique_match(probes: DataFrame, people: DataFrame) -> DataFrame:
-    """probes (probe) -> probe, player_id where exactly one person's full or source name is like it, letter case aside.
-
-    % and _ in a probe are wildcards. What stands before the first of them is joined on: up to STEM
-    letters of it with the names' beginnings. Probes that begin with a wildcard have nothing to join on
-    and meet every name; more than MOST_OPEN of them are refused.
-    """
-    asked = probes.select("probe").distinct().withColumn("_stem", F.lower(F.regexp_extract("probe", r"^([^%_\\\\]*)", 1)))
-    if asked.where("_stem = ''").limit(MOST_OPEN + 1).count() > MOST_OPEN:
-        raise ValueError(f"more than {MOST_OPEN} probes begin with a wildcard")
-    names = people.select(F.col("id").alias("_id"), F.explode(F.array("full_name", "lunda_name")).alias("_name")).where("_name IS NOT NULL").select("_id", "_name", F.lower("_name").alias("_low"))
-    begun = names.select("_id", "_name", F.explode(F.array_distinct(F.array(*[F.substring("_low", 1, n) for n in range(1, STEM + 1)]))).alias("_begin"))
-    stemmed = asked.where("_stem <> ''").withColumn("_begin", F.substring("_stem", 1, STEM)).join(begun, "_begin").where(F.expr("_name ILIKE probe"))
-    open_ = F.broadcast(asked.where("_stem = ''")).join(names, F.expr("_name ILIKE probe"))  # MOST_OPEN rows at most
-    hits = stemmed.select("probe", "_id").unionByName(open_.select("probe", "_id")).distinct()
-    return hits.groupBy("probe").agg(F.count("*").alias("_n"), F.min("_id").alias("player_id")).where("_n = 1").select("probe", "player_id")
-
-
 def identity_conflicts(people: DataFrame, external: str = "telegram_id") -> DataFrame:
     """(id, other_id) of people who share an external id: all pairs, for ids that few share; see conflict_groups."""
     a = people.where(F.col(external).isNotNull()).select("id", external)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillroster.functions import money as M
 from quillroster.functions import text as X
 from quillroster.functions import timeops as D
-from quillroster.operators import mutate, payments, pending, queue, reconcile, resolve, views
+from quillroster.operators import mutate, patterns, payments, pending, queue, reconcile, resolve, views
 from quillroster.plans import domain
 from quillroster.plans.registry import query
 from quillroster.sources import readers
@@ -343,7 +343,21 @@ def e5_e6_badges(spark: SparkSession, folder: str) -> DataFrame:
 def a12_f9_unique_match(spark: SparkSession, folder: str) -> DataFrame:
     n = domain.part_names(spark, folder)
     probes = n.select(F.concat(F.substring("full_name", 1, 5), F.lit("%")).alias("probe")).distinct()
-    return resolve.unique_match(probes, n.withColumn("lunda_name", F.lit(None).cast("string")).withColumn("full_name", F.upper("full_name")))
+    return patterns.unique_match(probes, n.withColumn("lunda_name", F.lit(None).cast("string")).withColumn("full_name", F.upper("full_name")))
+
+
+_OPEN = """
+    WITH n AS (SELECT c_custkey AS id, c_name AS name FROM customer),
+    pr AS (SELECT DISTINCT unnest(['%' || substr(name, 13, 4) || '%', '%' || right(name, 3), '_USTOMER#%' || right(name, 4), '%r#0_0%' || right(name, 2) || '%', left(name, 1) || '%', '%' || right(name, 1), repeat('_', length(name)), '%']) AS probe FROM n)"""
+
+
+@query(_OPEN + " SELECT probe, min(id) AS player_id FROM pr JOIN n ON n.name ILIKE probe GROUP BY probe HAVING count(*) = 1")
+def f9_open_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers by patterns that begin with wildcards, with runs of four letters, of one, and of none."""
+    n = readers.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"))
+    name, last = F.col("full_name"), lambda k: F.right("full_name", F.lit(k))
+    probes = F.array(F.concat(F.lit("%"), F.substring(name, 13, 4), F.lit("%")), F.concat(F.lit("%"), last(3)), F.concat(F.lit("_USTOMER#%"), last(4)), F.concat(F.lit("%r#0_0%"), last(2), F.lit("%")), F.concat(F.left(name, F.lit(1)), F.lit("%")), F.concat(F.lit("%"), last(1)), F.repeat(F.lit("_"), F.length(name)), F.lit("%"))
+    return patterns.unique_match(n.select(F.explode(probes).alias("probe")), n, columns=("full_name",))
 
 
 @query("SELECT a.s_suppkey AS id, b.s_suppkey AS other_id FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")

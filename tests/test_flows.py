@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quillroster.operators import decisions, outbox, payments, resolve, views
+from quillroster.operators import decisions, outbox, patterns, payments, resolve, views
 from quillroster.sources import readers, schemas
 from quillroster.sources.versions import TableStore
 from quillroster.streaming import payments as stream_payments
@@ -88,8 +88,8 @@ def test_sessions_as_a_stream_are_those_of_the_fold(spark, tmp_path):
 def test_matches_by_stem_and_by_wildcard(spark):
     people = spark.createDataFrame([(1, "Ann Ox", None), (2, "ann bee", "Zed"), (3, "Bo", "bo"), (4, None, "Élan")], "id long, full_name string, lunda_name string")
     probes = spark.createDataFrame([(p,) for p in ("ANN%", "ann o%", "%ed", "bo", "é%", "B_", "", "nobody", "%n%")], "probe string")
-    assert {(r.probe, r.player_id) for r in resolve.unique_match(probes, people).collect()} == {("ann o%", 1), ("%ed", 2), ("bo", 3), ("é%", 4), ("B_", 3)}
-    assert "NestedLoop" not in resolve.unique_match(probes.where("probe LIKE 'a%'"), people).where("probe = 'x'")._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.probe, r.player_id) for r in patterns.unique_match(probes, people).collect()} == {("ann o%", 1), ("%ed", 2), ("bo", 3), ("é%", 4), ("B_", 3)}
+    assert "NestedLoop" not in patterns.unique_match(probes.where("probe LIKE 'a%'"), people).where("probe = 'x'")._jdf.queryExecution().optimizedPlan().toString()
     groups = resolve.conflict_groups(spark.createDataFrame([(1, "t"), (2, "t"), (3, "u"), (4, None), (5, None)], "id long, telegram_id string"))
     assert [tuple(r) for r in groups.collect()] == [("t", 2, 1)]
 
