@@ -31,13 +31,18 @@ def payment_changes(entries: DataFrame, events: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.max(F.struct("role", F.negative("paid_by_entry_id").alias("_by"), "amount")).alias("_c")).select("id", F.col("_c.role").alias("role"), F.negative(F.col("_c._by")).alias("paid_by_entry_id"), F.col("_c.amount").alias("amount"))
 
 
-def apply_payments(entries: DataFrame, events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(next entries, change set). Applying the same events again changes nothing."""
-    changes = payment_changes(entries, events)
+def paid_entries(entries: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+    """entries, or a part of them, after the changes that payment_changes has found."""
     new = changes.join(entries.select("id", F.col("paid_by_entry_id").alias("_by"), F.col("paid_amount_rub").alias("_amount")), "id").select(
         "id", F.lit("paid").alias("payment_status"), as_of.alias("paid_at"), F.coalesce(F.when(F.col("role") == "partner", F.col("paid_by_entry_id")), F.col("_by")).alias("paid_by_entry_id"), F.coalesce("amount", "_amount").alias("paid_amount_rub"),
     )
-    return update_keyed(entries, new, ["id"], ["payment_status", "paid_at", "paid_by_entry_id", "paid_amount_rub"], guard=F.col("payment_status") != "paid"), changes
+    return update_keyed(entries, new, ["id"], ["payment_status", "paid_at", "paid_by_entry_id", "paid_amount_rub"], guard=F.col("payment_status") != "paid")
+
+
+def apply_payments(entries: DataFrame, events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(next entries, change set). Applying the same events again changes nothing."""
+    changes = payment_changes(entries, events)
+    return paid_entries(entries, changes, as_of), changes
 
 
 def notify_set(entries: DataFrame, payment_ids: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillroster.functions import text as X
 from quillroster.functions import timeops as D
 from quillroster.operators.mutate import update_keyed
+from quillroster.operators.ranking import ranked
 from quillroster.operators.views import entry_details
 
 BATCH_RANGE = (1, 500)
@@ -44,3 +45,25 @@ def apply_batch(entries: DataFrame, batch: DataFrame, as_of: Column) -> DataFram
 
 def batch_totals(batch: DataFrame) -> DataFrame:
     return batch.agg(F.count("*").alias("processed"), F.count(F.when(F.col("outcome") == "send", 1)).alias("notified"))
+
+
+#: Entries that a pass takes, and passes at most.
+PASS_SIZE, MOST_PASSES = 500, 50
+
+
+def drain(entries: DataFrame, players: DataFrame, tournaments: DataFrame, as_of: Column, size: int = PASS_SIZE, most: int = MOST_PASSES, base: str = "https://pay.invalid", bot_ready: bool = True) -> DataFrame:
+    """What passes over the queue, each of the `size` oldest open entries, would take until it is empty, `most` passes at most: as work_batch, with pass from 1.
+
+    A pass gives its entries a link, so that later ones don't meet them: an entry's place in the
+    queue, which is ranked without a window over it, says in which pass it is taken.
+    """
+    rows = work_batch(entries, players, tournaments, as_of, None, base, bot_ready)
+    placed = ranked(rows, None, [F.asc_nulls_last("created_at"), F.col("entry_id")], "queue")
+    return placed.select((F.expr(f"_pos div {size}") + 1).cast("int").alias("pass"), *rows.columns).where(F.col("pass") <= most)
+
+
+def pass_totals(drained: DataFrame, most: int = MOST_PASSES) -> DataFrame:
+    """(pass, processed, notified) for each pass of drain, and the pass that finds nothing and ends it, if there may be one more."""
+    totals = drained.groupBy("pass").agg(F.count("*").alias("processed"), F.count(F.when(F.col("outcome") == "send", 1)).alias("notified"))
+    last = totals.agg((F.coalesce(F.max("pass"), F.lit(0)) + 1).alias("pass")).where(F.col("pass") <= most)
+    return totals.unionByName(last.select("pass", F.lit(0).cast("long").alias("processed"), F.lit(0).cast("long").alias("notified")))

@@ -381,3 +381,12 @@ def c5_decisions(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT k, 'resolved', k + 1, 'unknown_person' FROM s WHERE k % 10 <> 0 AND k = (SELECT max(k) FROM s)""")
 def c5_refused_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return _decisions(spark, folder)["refused"].select("id", "decision", "player_id", "reason")
+
+
+@query(_DUE + """, n AS (
+        SELECT CAST(pos // 100 + 1 AS INT) AS pass, count(*) AS processed, count(*) FILTER (WHERE outcome = 'send') AS notified FROM (SELECT *, row_number() OVER (ORDER BY created, id) - 1 AS pos FROM due) WHERE pos < 5000 GROUP BY 1)
+    SELECT * FROM n UNION ALL SELECT CAST(coalesce(max(pass), 0) + 1 AS INT), 0, 0 FROM n HAVING coalesce(max(pass), 0) < 50""")
+def o7_drain(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of the passes over the queue, 100 entries each."""
+    t = domain.tournaments(spark, folder).withColumn("starts_at", F.col("starts_at").cast("timestamp"))
+    return queue.pass_totals(queue.drain(_entries(spark, folder), _people(spark, folder), t, _now(), 100))

@@ -61,9 +61,9 @@ def rosters(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def payment_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """(event, payment_id, amount) of webhook bodies; as a stream, files are read as they arrive."""
+    """(event, payment_id, amount_text, arrived_at) of webhook bodies; as a stream, files are read as they arrive. A body arrives when its file is written."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(PAYMENT).json(path).select("event", F.col("object.id").alias("payment_id"), X.blank_to_null(F.col("object.amount.value")).alias("amount_text"))
+    return reader.schema(PAYMENT).json(path).select(F.col("_metadata.file_modification_time").alias("arrived_at"), "event", F.col("object.id").alias("payment_id"), X.blank_to_null(F.col("object.amount.value")).alias("amount_text"))
 
 
 def chat_updates(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

@@ -1,48 +1,88 @@
-"""Payment events as a stream over the versioned tables."""
+"""Payment events as a stream over bucketed tables: a micro-batch rewrites the buckets that it changes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillroster.operators.outbox import OUTBOX, enqueue, notices
-from quillroster.operators.payments import apply_payments
+from quillroster.operators.payments import paid_entries, payment_changes
+from quillroster.sources import schemas
+from quillroster.sources.sinks import BUCKETS, bucket_of, buckets_at, exists, put_buckets
 from quillroster.sources.staging import staged
-from quillroster.sources.versions import TableStore
 
-PROGRESS = "stream string, batch bigint"
+
+@dataclass
+class Ledger:
+    """entries (by id), outbox (by payment_id) and, where notices are wanted, players under one folder."""
+
+    spark: SparkSession
+    root: str
+    buckets: int = BUCKETS
+
+    def _at(self, table: str) -> str:
+        return f"{self.root.rstrip('/')}/{table}"
+
+    def create(self, entries: DataFrame, players: DataFrame | None = None) -> None:
+        put_buckets(entries, self._at("entries"), "id", self.buckets)
+        if players is not None:
+            put_buckets(players, self._at("players"), "id", self.buckets)
+
+    def entries(self, only: list[int] | None = None) -> DataFrame:
+        return buckets_at(self.spark, self._at("entries"), schemas.TABLES["entries"], only)
+
+    def outbox(self, only: list[int] | None = None) -> DataFrame:
+        if not exists(self.spark, self._at("outbox")):
+            return self.spark.createDataFrame([], f"{OUTBOX}, bucket int")
+        return buckets_at(self.spark, self._at("outbox"), OUTBOX, only)
+
+    def players(self) -> DataFrame | None:
+        return buckets_at(self.spark, self._at("players"), schemas.TABLES["players"]) if exists(self.spark, self._at("players")) else None
+
+    def _touched(self, keys: DataFrame, key: str) -> list[int]:
+        """The buckets of some keys: `buckets` numbers at most."""
+        return [r[0] for r in keys.select(bucket_of(key, self.buckets).alias("bucket")).distinct().collect()]
+
+    def apply(self, batch: DataFrame, as_of: Column) -> tuple[list[int], list[int]]:
+        """Apply events (event, payment_id, amount_text) -> the buckets of entries and of the outbox that have been rewritten.
+
+        Every payment counts, and is told of, once, however often a batch or an event comes: what has been applied makes no change, and
+        a bucket without one isn't written. A batch that dies halfway is therefore applied again as it is.
+        """
+        batch = staged(batch, "payments")
+        changes = staged(payment_changes(self.entries(), batch), "changes")
+        paid = self._touched(changes, "id")
+        if paid:
+            # The fold of the events over the changed entries alone; what an entry pays for is in the changes already.
+            put_buckets(paid_entries(self.entries(paid), changes, as_of), self._at("entries"), "id", self.buckets)
+        players, told = self.players(), []
+        if players is not None:
+            asked = batch.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).select("payment_id").distinct()
+            found = staged(notices(self.entries().drop("bucket"), players, asked, as_of), "notices")
+            known = self.outbox(self._touched(found, "payment_id")).select("payment_id", "entry_id")
+            new = staged(found.join(known, ["payment_id", "entry_id"], "left_anti"), "new_notices")
+            told = self._touched(new, "payment_id")
+            if told:
+                put_buckets(enqueue(self.outbox(told).drop("bucket"), new), self._at("outbox"), "payment_id", self.buckets)
+        return sorted(paid), sorted(told)
+
+
+def once(events: DataFrame, within: str = "1 day") -> DataFrame:
+    """A stream of events (arrived_at and others) without those that come again, equal but for their time, within that time: their keys are kept as state until the watermark has passed."""
+    return events.withWatermark("arrived_at", within).dropDuplicatesWithinWatermark(["event", "payment_id", "amount_text"])
 
 
-def apply_batch(store: TableStore, batch: DataFrame, number: int, as_of: Column, stream: str = "payments") -> int:
-    """Apply a micro-batch of events to the store's entries and outbox, as one version that also holds its number.
+def apply_stream(events: DataFrame, ledger: Ledger, checkpoint: str, as_of: Column | None = None, within: str | None = "1 day", **trigger: bool | str) -> StreamingQuery:
+    """Apply a stream of events. Without as_of, batches have the time at which they run.
 
-    A batch whose number is not above the stored one has been applied and changes nothing, and neither
-    does an event that comes again in a later batch: every payment counts, and is told of, once.
+    Events that come again within `within` never reach the fold; later ones reach it and change nothing.
     """
-    spark, tables = store.spark, store.tables()
-    progress = tables.get("stream_progress", spark.createDataFrame([], PROGRESS))
-    last = progress.where(F.col("stream") == stream).agg(F.max("batch")).first()[0]  # one row
-    if last is not None and number <= last:
-        return store.version()
-    batch = staged(batch, "payments")
-    entries, changes = apply_payments(tables["entries"], batch, as_of)
-    changed = {"stream_progress": progress.where(F.col("stream") != stream).unionByName(spark.createDataFrame([(stream, number)], PROGRESS))}
-    if not changes.isEmpty():
-        entries = staged(entries, "entries")
-        changed["entries"] = entries
-    if "players" in tables:
-        paid = batch.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).select("payment_id").distinct()
-        found = notices(entries, tables["players"], paid, as_of)
-        changed["outbox"] = enqueue(tables.get("outbox", spark.createDataFrame([], OUTBOX)), found)
-    return store.commit(changed)
-
-
-def apply_stream(events: DataFrame, store: TableStore, checkpoint: str, as_of: Column | None = None, keep: int = 10, **trigger: bool | str) -> StreamingQuery:
-    """Apply each micro-batch of events to the tables of store, which keeps its last `keep` versions. Without as_of, batches have the time at which they run."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        apply_batch(store, batch, number, F.current_timestamp() if as_of is None else as_of)
-        store.vacuum(keep)
+        ledger.apply(batch, F.current_timestamp() if as_of is None else as_of)
 
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    kept = once(events, within) if within else events
+    return kept.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

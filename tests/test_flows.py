@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from quillroster.operators import decisions, outbox, patterns, payments, resolve, views
 from quillroster.sources import readers, schemas
-from quillroster.sources.versions import TableStore
-from quillroster.streaming import payments as stream_payments
 from quillroster.streaming import sessions
 
 
@@ -47,22 +45,6 @@ def test_the_first_event_of_a_payment_counts(spark, entries):
     assert {r.id: float(r.amount) for r in payments.payment_changes(entries, events.drop("arrived_at")).collect()} == {1: 99.0, 2: 99.0, 3: 5.0}
 
 
-def test_a_batch_counts_once_and_old_versions_go(spark, entries, people, tmp_path):
-    store = TableStore(spark, str(tmp_path / "state"))
-    store.commit({"entries": entries, "players": people})
-    event = lambda p: spark.createDataFrame([("payment.succeeded", p, "10.00")] * 2, "event string, payment_id string, amount_text string")
-    assert stream_payments.apply_batch(store, event("p"), 0, now()) == 2
-    assert stream_payments.apply_batch(store, event("q"), 0, now()) == 2  # the same batch again
-    got = store.tables()
-    assert {r.id for r in got["entries"].where("payment_status = 'paid'").collect()} == {1, 2} and got["outbox"].count() == 2
-    assert {r.paid_at for r in got["entries"].where("payment_status = 'paid'").collect()} == {datetime(2026, 1, 10, 12)}
-    assert stream_payments.apply_batch(store, event("p"), 1, now()) == 3 and store.tables()["outbox"].count() == 2
-    stream_payments.apply_batch(store, event("q"), 2, now())
-    store.vacuum(2)
-    assert store.version() == 4 and store.tables()["outbox"].count() == 3 and store.tables()["players"].count() == 3
-    assert store.tables(3)["entries"].count() == 4 and not (tmp_path / "state" / "manifest" / "v=2").exists() and not (tmp_path / "state" / "entries" / "v=1").exists()
-
-
 def test_sessions_as_a_stream_are_those_of_the_fold(spark, tmp_path):
     steps = [("a", 1, "ask_name", None), ("a", 2, "name_unknown", None), ("b", 1, "pick_date", None), ("c", 1, "ask_name", None), ("c", 5, "linked", None), ("d", 1, "support", True), ("d", 6, "pick_date", None), ("c", 7, "ask_name", None), ("a", 8, "cancel", None), ("d", 9, "support", False)]
     (tmp_path / "in").mkdir()

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quillroster.operators import mutate, payments, pending, queue, reconcile, resolve, views
 from quillroster.sources import readers, schemas
-from quillroster.sources.versions import TableStore
 
 
 def now():
@@ -185,30 +184,11 @@ def test_quarantine_transitions_and_merge(spark):
     assert {(r.normalized_alias, r.player_id) for r in pending.add_aliases(aliases, learned, now()).collect()} == {("z", 3), ("y", 1)}
 
 
-def test_versions_and_constraints(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path))
-    assert store.version() == 0 and store.tables() == {}
-    store.commit({"a": spark.range(3), "b": spark.range(1)})
-    assert store.commit({"a": store.tables()["a"].where("id > 0")}) == 2
-    assert {k: v.count() for k, v in store.tables().items()} == {"a": 2, "b": 1}
-    store.restore(1)
-    assert store.tables()["a"].count() == 3
+def test_constraints(spark):
     bad = frame(spark, "entries", {"id": 1, "payment_scope": "other"}, {"id": 2, "payment_scope": "pair"})
     assert [(r.id, r.violation) for r in schemas.violations(bad, "entries").collect()] == [(1, "payment_scope")]
 
 
-def test_stream_applies_payments(spark, tmp_path):
-    from quillroster.streaming.payments import apply_stream
-
-    store = TableStore(spark, str(tmp_path / "state"))
-    store.commit({"entries": frame(spark, "entries", {"id": 1, "payment_id": "p", "payment_status": "pending"}, {"id": 2, "payment_id": "q", "payment_status": "pending"})})
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.json").write_text('{"event": "payment.succeeded", "object": {"id": "p", "amount": {"value": "10.00"}}}\n' * 2)
-    for _ in range(2):
-        apply_stream(readers.payment_events(spark, str(tmp_path / "in"), stream=True), store, str(tmp_path / "cp")).awaitTermination()
-    assert {r.id: r.payment_status for r in store.tables()["entries"].collect()} == {1: "paid", 2: "pending"} and store.version() == 2
-
-
 def test_sessions(spark):
     from quillroster.streaming.sessions import fold_sessions
 
