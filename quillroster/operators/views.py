@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillroster.functions import text as X
 from quillroster.functions import timeops as D
+from quillroster.operators.ranking import ranked
 
 PAGE = 10
 
@@ -77,10 +78,14 @@ def rosters(entries: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def pages(rows: DataFrame, by: list[str], order: list[Column], size: int = PAGE) -> DataFrame:
-    """All pages of each group of rows: place in the group, page (from 0), has_previous and has_next."""
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    many = placed.withColumn("_n", F.count("*").over(Window.partitionBy(*by))).withColumn("page", F.floor((F.col("place") - 1) / size).cast("int"))
-    return many.withColumn("has_previous", F.col("page") > 0).withColumn("has_next", F.col("_n") > (F.col("page") + 1) * size).drop("_n")
+    """All pages of each group of rows: place in the group, page (from 0), has_previous and has_next.
+
+    Places come from ranges of (group, order), so that the rows of one very large group are spread over tasks.
+    """
+    key = by[0] if len(by) == 1 else "_by"
+    placed = ranked(rows if len(by) == 1 else rows.withColumn(key, F.struct(*by)), key, order, "pages")
+    many = placed.select(*rows.columns, (F.col("_pos") + 1).cast("int").alias("place"), F.floor(F.col("_pos") / size).cast("int").alias("page"), "_total")
+    return many.withColumn("has_previous", F.col("page") > 0).withColumn("has_next", F.col("_total") > (F.col("page") + 1) * size).drop("_total")
 
 
 def pair_names(entries: DataFrame, players: DataFrame) -> DataFrame:

@@ -39,37 +39,59 @@ def fold_sessions(steps: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
 
 
 SESSION = "telegram_id string, state string, support_mode boolean, open boolean"
+#: What is kept for a person: the session, if open, and the steps that wait for the watermark.
+KEPT = "state string, support_mode boolean, open boolean, seqs array<bigint>, steps array<string>, flags array<int>"
 
 
-def _step(held: tuple[str | None, bool] | None, step: str, support: bool | None) -> tuple[str | None, bool] | None:
-    """A session (state, support mode) after one more step; None where there is none."""
-    if step in ENDS:
+def _folded(session: tuple[str | None, bool] | None, steps: list[tuple[str, bool | None]]) -> tuple[str | None, bool] | None:
+    """A session (state, support mode) after the steps of one seq, as fold_sessions has it: an ending step is the last, else the greatest state and flag hold. None where there is none."""
+    if any(step in ENDS for step, _ in steps):
         return None
-    state, makes = STEPS.get(step, (None, step == "support"))
-    if held is None and not makes:
-        return None
-    before, mode = held or (None, False)
-    return (state or before, bool(support) if step == "support" and support is not None else mode)
-
-
-def session_stream(steps: DataFrame) -> DataFrame:
-    """A stream of steps (telegram_id, seq, step, support) -> a row for each person whose session a micro-batch changes.
-
-    Each person's session is kept as state between micro-batches. Steps of one micro-batch count in
-    order of seq; those of a later one come after them. open is false where a session has ended.
+    if session is None:
+        if not any(step == "support" or STEPS.get(step, ("", False))[1] for step, _ in steps):
+            return None
+        session = (None, False)
+    states = [STEPS[step][0] for step, _ in steps if step in STEPS]
+    flags = [bool(flag) for step, flag in steps if step == "support"]
+    return (max(states) if states else session[0], max(flags) if flags else session[1])
+
+
+def session_stream(steps: DataFrame, delay: str | None = None) -> DataFrame:
+    """A stream of steps (telegram_id, seq, step, support) -> a row for each person whose session a micro-batch changes; open is false where it has ended.
+
+    Each person's session is kept as state between micro-batches. With delay, seq is the second, from
+    1970 on, at which the step was taken: steps are held back as state until the watermark, which is that
+    much behind the latest step, has passed them, and count in the order of their seq, however they are dealt over
+    micro-batches; a step that comes behind the watermark is too late and left out. Without it, steps
+    of one micro-batch count in order of seq, and those of a later one come after them. Steps of one
+    seq are taken as by fold_sessions. Steps without a person or a seq, or with a negative one, are left out.
     """
+    steps = steps.where("telegram_id IS NOT NULL AND seq >= 0")
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        was = tuple(kept.get) if kept.exists else None
-        held = (was[0], was[1]) if was else None
-        rows = sorted((int(q), s, None if pd.isna(m) else bool(m)) for part in parts for q, s, m in zip(part["seq"], part["step"], part["support"], strict=True))
-        for _, step, support in rows:
-            held = _step(held, step, support)
-        if held:
-            kept.update(held)
-        elif was:
+        state, mode, is_open, *waiting = tuple(kept.get) if kept.exists else (None, False, False, [], [], [])
+        before = session = (state, mode) if is_open else None
+        held = list(zip(*waiting, strict=True))
+        now = kept.getCurrentWatermarkMs() if delay else 0
+        if not kept.hasTimedOut:
+            new = [(int(q), s, -1 if pd.isna(m) else int(m)) for part in parts for q, s, m in zip(part["seq"], part["step"], part["support"], strict=True)]
+            held += [r for r in new if not delay or r[0] * 1000 >= now]
+        due = [r for r in held if not delay or r[0] * 1000 < now]
+        for seq in sorted({r[0] for r in due}):
+            session = _folded(session, [(s, None if m < 0 else bool(m)) for q, s, m in due if q == seq])
+        held = [r for r in held if delay and r[0] * 1000 >= now]
+        if session or held:
+            state, mode = session or (None, False)
+            kept.update((state, mode, session is not None, [r[0] for r in held], [r[1] for r in held], [r[2] for r in held]))
+            if held:
+                # A timer fires once the watermark is past it, and must be set ahead of the watermark.
+                kept.setTimeoutTimestamp(max(min(r[0] for r in held) * 1000, now + 1))
+        elif kept.exists:
             kept.remove()
-        if held or was:
-            yield pd.DataFrame({"telegram_id": [key[0]], "state": [held[0] if held else None], "support_mode": [held[1] if held else False], "open": [held is not None]})
+        if session != before or (session and due):
+            yield pd.DataFrame({"telegram_id": [key[0]], "state": [session[0] if session else None], "support_mode": [session[1] if session else False], "open": [session is not None]})
 
-    return steps.groupBy("telegram_id").applyInPandasWithState(fold, SESSION, "state string, support_mode boolean", "update", GroupStateTimeout.NoTimeout)
+    if delay is None:
+        return steps.groupBy("telegram_id").applyInPandasWithState(fold, SESSION, KEPT, "update", GroupStateTimeout.NoTimeout)
+    timed = steps.withColumn("at", F.timestamp_seconds("seq")).withWatermark("at", delay)
+    return timed.groupBy("telegram_id").applyInPandasWithState(fold, SESSION, KEPT, "update", GroupStateTimeout.EventTimeTimeout)
