@@ -11,7 +11,9 @@ from quillroster.functions import timeops as D
 from quillroster.operators import decisions, mutate, outbox, payments, pending, queue, reconcile, resolve, views
 from quillroster.plans import domain
 from quillroster.plans.registry import query
-from quillroster.sources import readers, schemas
+from quillroster.sources import readers, schemas, sinks
+from quillroster.sources.staging import fresh_path
+from quillroster.streaming.payments import Ledger, apply_stream
 
 #: A moment within the tables' range.
 NOW = "1997-06-01 00:00:00"
@@ -390,3 +392,98 @@ def o7_drain(spark: SparkSession, folder: str) -> DataFrame:
     """Totals of the passes over the queue, 100 entries each."""
     t = domain.tournaments(spark, folder).withColumn("starts_at", F.col("starts_at").cast("timestamp"))
     return queue.pass_totals(queue.drain(_entries(spark, folder), _people(spark, folder), t, _now(), 100))
+
+
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as lines of three logs, each read in blocks."""
+    kind = F.col("event_type")
+    line = F.when(kind == "signup", F.concat(F.lit("RUN START: PID="), F.col("event_id"), F.lit(", Time="), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0300 MSK"))).when(kind == "view", "RUN TYPE: AUTOMATIC (timer)").when(kind == "click", "RUN TYPE: MANUAL")
+    line = line.when(kind == "error", F.concat(F.lit("ERROR: "), F.get_json_object("props", "$.k"))).when(F.col("user_id") % 2 == 0, "Entries DELETED: 5").otherwise("noise")
+    return readers.table(spark, folder, "events").select((F.col("user_id") % 3).alias("file"), F.expr("event_id div 500").alias("block"), F.col("event_id").alias("at"), line.alias("value"))
+
+
+@query("""
+    WITH l AS (SELECT user_id % 3 AS file, event_id AS pos, event_type AS ty, user_id, ts, json_extract_string(props, '$.k') AS k FROM events),
+    r AS (SELECT *, max(CASE WHEN ty = 'signup' THEN pos END) OVER (PARTITION BY file ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run, max(CASE WHEN ty = 'signup' THEN pos END) OVER (PARTITION BY file) AS newest FROM l),
+    g AS (SELECT file, run, max(newest) AS newest, max(CASE WHEN ty = 'signup' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END) AS started_text, arg_min(CASE ty WHEN 'view' THEN 'AUTOMATIC' ELSE 'MANUAL' END, pos) FILTER (WHERE ty IN ('view', 'click')) AS kind,
+            count(*) FILTER (WHERE ty = 'error') AS errors, arg_min(k, pos) FILTER (WHERE ty = 'error') AS first_error, bool_or(ty = 'purchase' AND user_id % 2 = 0) AS through FROM r WHERE run IS NOT NULL GROUP BY file, run)
+    SELECT file, CAST(run AS INT) AS pid, started_text, kind, errors, first_error, CASE WHEN errors > 0 THEN 'failed' WHEN through THEN 'finished' WHEN run = newest THEN 'running' ELSE 'broken' END AS state FROM g""")
+def s11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.runs_from_log(_log(spark, folder))
+
+
+@query(f"""
+    WITH h AS (SELECT o_orderkey AS id, o_orderdate AS t, CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(o_orderdate)) / 3600) AS INT) AS hours FROM orders)
+    SELECT id, CASE WHEN t < TIMESTAMP '{NOW}' THEN 'old' ELSE 'current' END AS state, CASE WHEN t < TIMESTAMP '{NOW}' THEN hours // 24 END AS days, CASE WHEN t < TIMESTAMP '{NOW}' THEN hours END AS hours FROM h""")
+def c9_error_age(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order's time as that of an error file, against a last run now."""
+    return _orders(spark, folder).select(F.col("o_orderkey").alias("id"), readers.error_age(F.col("at"), _now()).alias("age")).select("id", "age.*")
+
+
+@query("SELECT s_suppkey AS id, s_name || ', é \"x\"' AS full_name FROM supplier")
+def s3_people_file(spark: SparkSession, folder: str) -> DataFrame:
+    """People through a CSV file with a header."""
+    path = fresh_path(spark, "people")
+    domain.players(spark, folder).select("id", F.concat("full_name", F.lit(', é "x"')).alias("full_name")).write.option("header", True).option("escape", '"').csv(path)
+    return readers.people(spark, path)
+
+
+def _bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases as bodies of payment events; every fifth one is cancelled, every seventh has no amount."""
+    e = readers.table(spark, folder, "events").where("event_type = 'purchase'")
+    amount = F.when(F.col("event_id") % 7 != 0, F.format_string("%.2f", "value")).otherwise("")
+    return e.select(F.when(F.col("event_id") % 5 == 0, "payment.canceled").otherwise("payment.succeeded").alias("event"), F.struct(F.col("user_id").cast("string").alias("id"), F.struct(amount.alias("value")).alias("amount")).alias("object"))
+
+
+_EVENTS = "ev AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'payment.canceled' ELSE 'payment.succeeded' END AS event, CAST(user_id AS VARCHAR) AS payment_id, CASE WHEN event_id % 7 <> 0 THEN printf('%.2f', value) END AS amount_text FROM events WHERE event_type = 'purchase')"
+
+
+@query(f"WITH {_EVENTS} SELECT event, payment_id, amount_text, true AS arrived FROM ev")
+def s5_s10_payment_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """Payment events through JSON bodies; each arrives when its file is written."""
+    path = fresh_path(spark, "bodies")
+    _bodies(spark, folder).write.json(path)
+    return readers.payment_events(spark, path).select("event", "payment_id", "amount_text", (F.col("arrived_at") > F.lit("2020-01-01").cast("timestamp")).alias("arrived"))
+
+
+_LEDGER = f"""
+    WITH {_ENTRIES}, {_EVENTS}, f AS (SELECT payment_id, max(CAST(amount_text AS DECIMAL(10, 2))) AS amount FROM ev WHERE event = 'payment.succeeded' GROUP BY 1),
+    payer AS (SELECT CAST(p AS VARCHAR) AS payment_id, min(id) AS id FROM e GROUP BY 1), hit AS (SELECT payer.id, amount FROM f JOIN payer USING (payment_id) JOIN e USING (id) WHERE status <> 'paid')"""
+
+
+def _paid_ledger(spark: SparkSession, folder: str, stream: bool) -> Ledger:
+    """Entries in buckets after all payment events, which come twice: as a stream of their files, or as two batches."""
+    ledger = Ledger(spark, fresh_path(spark, "ledger"))
+    ledger.create(_entries(spark, folder).withColumn("payment_id", F.col("player_id").cast("string")), _people(spark, folder))
+    path = fresh_path(spark, "bodies")
+    for _ in range(2):
+        _bodies(spark, folder).write.mode("append").json(path)
+        if stream:
+            apply_stream(readers.payment_events(spark, path, stream=True), ledger, f"{path}-checkpoint", _now()).awaitTermination()
+        else:
+            ledger.apply(readers.payment_events(spark, path).drop("arrived_at"), _now())
+    return ledger
+
+
+@query(_LEDGER + f" SELECT e.id, CASE WHEN hit.id IS NULL THEN status ELSE 'paid' END AS payment_status, CAST(amount AS DOUBLE) AS amount, CASE WHEN hit.id IS NOT NULL THEN TIMESTAMP '{NOW}' END AS paid_at FROM e LEFT JOIN hit USING (id)")
+def s9_payments_in_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """All entries of the bucketed table after two batches; the second has everything again and changes nothing."""
+    after = _paid_ledger(spark, folder, False).entries()
+    return after.select("id", "payment_status", F.col("paid_amount_rub").cast("double").alias("amount"), F.col("paid_at").cast("timestamp_ntz").alias("paid_at"))
+
+
+@query(_LEDGER + " SELECT e.id, CASE WHEN hit.id IS NULL THEN status ELSE 'paid' END AS payment_status FROM e LEFT JOIN hit USING (id)")
+def c3_payment_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a stream of files, the repeats of which are dropped within the watermark."""
+    return _paid_ledger(spark, folder, True).entries().select("id", "payment_status")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN ['late', o_orderpriority] ELSE [o_orderpriority] END AS participants, 2 AS version FROM orders UNION ALL SELECT o_orderkey, [o_orderpriority], 1 FROM orders")
+def s8_document_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """A document table, a version of it with one more participant in some rows, and the earlier one beside it."""
+    path, schema = fresh_path(spark, "document"), "id bigint, participants array<string>"
+    sinks.add_version(readers.table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.array("o_orderpriority").alias("participants")), path, 1)
+    later = F.when(F.col("id") % 3 == 0, F.array_prepend("participants", F.lit("late"))).otherwise(F.col("participants"))
+    sinks.add_version(sinks.at_version(spark, path, schema).withColumn("participants", later), path, 2)
+    last, first = sinks.at_version(spark, path, schema), sinks.at_version(spark, path, schema, 1)
+    return last.withColumn("version", F.lit(2)).unionByName(first.withColumn("version", F.lit(1)))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillroster.functions import text as X
 from quillroster.functions.timeops import parse_source_time
+from quillroster.sources.staging import staged
 
 EVENT = "struct<start_datetime:string,end_datetime:string,last_updated:string,tournament_type:string,participants:array<string>,tournament:struct<title:string,location:string,organizer:string,price:string,participants:string>>"
 PAYMENT = "event string, object struct<id:string,amount:struct<value:string>>"
@@ -72,7 +73,8 @@ def chat_updates(spark: SparkSession, path: str, stream: bool = False) -> DataFr
 
 
 def people(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id bigint, full_name string").csv(path, header=True)
+    """People from CSV with a header; quotes within quoted names are doubled."""
+    return spark.read.schema("id bigint, full_name string").csv(path, header=True, escape='"')
 
 
 def log_runs(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -82,3 +84,42 @@ def log_runs(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def latest_runs(lines: DataFrame, n: int, column: str = "value") -> DataFrame:
     return log_runs(lines, column).orderBy(F.desc("started_text"), F.desc("pid")).limit(n)
+
+
+#: The lines of a log that say of which kind a run is, that something went wrong, and that the import is through.
+RUN_TYPE, RUN_ERROR, RUN_END = r"RUN TYPE: ([A-Z]+)", r"^ERROR: (.*)$", "Entries DELETED:"
+
+
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): the lines of log files; (block, at) is their order within a file."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def runs_from_log(lines: DataFrame) -> DataFrame:
+    """lines as log_lines gives them -> one row for each run: file, pid, started_text, kind, errors, first_error, state.
+
+    A line belongs to the last run that has started before it in its file; lines before the first start belong to none. kind is null
+    where no line says it. state: failed (an error line), finished (the closing line), running (the file's last run, without one),
+    else broken. A file is read in blocks: what each leaves to the next is its last start, so that only a row for each block meets in
+    a window over a file.
+    """
+    start = F.when(F.col("value").contains("RUN START:"), F.struct("block", "at", F.regexp_extract("value", RUN_START, 1).try_cast("int").alias("pid"), F.regexp_extract("value", RUN_START, 2).alias("started_text")))
+    marks = lines.withColumn("_start", start).where(F.col("_start").isNotNull() | F.col("value").rlike(f"{RUN_TYPE}|{RUN_ERROR}") | F.col("value").contains(RUN_END))
+    marks = staged(marks, "marks")
+    left = marks.groupBy("file", "block").agg(F.max("_start").alias("_leaves"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select("file", "block", F.last("_leaves", True).over(before).alias("_carried"), (F.max("_leaves").over(Window.partitionBy("file"))).alias("_newest"))
+    here = F.last("_start", True).over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    owned = marks.withColumn("_here", here).join(carried, ["file", "block"]).withColumn("_run", F.coalesce("_here", "_carried")).where("_run IS NOT NULL")
+    order, found = F.struct("block", "at"), lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
+    told = lambda pattern: F.min(F.when(F.col("value").rlike(pattern), F.struct(order, found(pattern).alias("text"))))
+    runs = owned.groupBy("file", "_run").agg(told(RUN_TYPE).alias("_kind"), told(RUN_ERROR).alias("_error"), F.count_if(F.col("value").rlike(RUN_ERROR)).alias("errors"), F.bool_or(F.col("value").contains(RUN_END)).alias("_through"), F.max("_newest").alias("_newest"))
+    state = F.when(F.col("errors") > 0, "failed").when(F.col("_through"), "finished").when(F.col("_run") == F.col("_newest"), "running").otherwise("broken")
+    return runs.select("file", F.col("_run.pid").alias("pid"), F.col("_run.started_text").alias("started_text"), F.col("_kind.text").alias("kind"), "errors", F.col("_error.text").alias("first_error"), state.alias("state"))
+
+
+def error_age(error_at: Column, last_start: Column) -> Column:
+    """Whether an error file changed at error_at is of the last run: struct(state: current, old or none, days, hours before it)."""
+    hours = F.floor((F.unix_seconds(last_start) - F.unix_seconds(error_at)) / 3600).cast("int")
+    old = error_at < last_start
+    return F.struct(F.when(error_at.isNull() | last_start.isNull(), "none").when(old, "old").otherwise("current").alias("state"), F.when(old, F.floor(hours / 24).cast("int")).alias("days"), F.when(old, hours).alias("hours"))

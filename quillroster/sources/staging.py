@@ -26,10 +26,15 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written once as Parquet and read back, so that what is built on it neither plans nor computes it again."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses; it goes with the session."""
     path = f"{shared_folder(spark)}/quillroster/{label}-{uuid.uuid4().hex}"
     _forget_at_exit(spark, path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df, written once as Parquet and read back, so that what is built on it neither plans nor computes it again."""
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -119,3 +119,17 @@ def test_passes_equal_the_loop(spark, size, most):
     after = {r.id: (r.payment_url, r.telegram_notified) for r in queue.apply_batch(entries, drained, now()).collect()}
     assert after == {r.id: (r.payment_url, r.telegram_notified) for r in state.collect()}
     assert queue.pass_totals(queue.drain(entries.limit(0), people, events, now()), 50).collect() == [(1, 0, 0)]
+
+
+def test_runs_of_logs_read_in_blocks(spark, tmp_path):
+    lines = ["ERROR: before any run", "RUN START: PID=1, Time=2026-01-01 10:00:00 +0300 MSK", "RUN TYPE: AUTOMATIC (timer)", "Entries DELETED: 0", "RUN START: PID=2, Time=2026-01-01 11:00:00 +0300 MSK", "RUN TYPE: MANUAL", "ERROR: no file", "ERROR: again", "RUN START: PID=3, Time=2026-01-01 12:00:00 +0300 MSK", "noise", "RUN START: PID=4, Time=2026-01-01 13:00:00 +0300 MSK"]
+    want = {(1, "AUTOMATIC", 0, None, "finished"), (2, "MANUAL", 2, "no file", "failed"), (3, None, 0, None, "broken"), (4, None, 0, None, "running")}
+    (tmp_path / "log").write_text("\n".join(lines) + "\n")
+    told = lambda runs: {(r.pid, r.kind, r.errors, r.first_error, r.state) for r in runs.collect()}
+    assert told(readers.runs_from_log(readers.log_lines(spark, str(tmp_path / "log")))) == want
+    for size in (1, 2, 3, 5):
+        dealt = [("f", n // size, n, line) for n, line in enumerate(lines)] + [("g", 0, 0, "RUN TYPE: MANUAL")]
+        assert told(readers.runs_from_log(spark.createDataFrame(dealt, "file string, block long, at long, value string"))) == want
+    assert readers.runs_from_log(readers.log_lines(spark, str(tmp_path / "log")).limit(0)).count() == 0
+    ages = spark.createDataFrame([(datetime(2026, 1, 1), datetime(2026, 1, 2, 5)), (datetime(2026, 1, 3), datetime(2026, 1, 2)), (None, datetime(2026, 1, 2))], "e timestamp, s timestamp")
+    assert [tuple(r.a) for r in ages.select(readers.error_age(F.col("e"), F.col("s")).alias("a")).collect()] == [("old", 1, 29), ("current", None, None), ("none", None, None)]
