@@ -13,6 +13,7 @@ from quillroster.plans import domain
 from quillroster.plans.registry import query
 from quillroster.sources import readers, schemas, sinks
 from quillroster.sources.staging import fresh_path
+from quillroster.streaming import updates
 from quillroster.streaming.payments import Ledger, apply_stream
 
 #: A moment within the tables' range.
@@ -487,3 +488,21 @@ def s8_document_versions(spark: SparkSession, folder: str) -> DataFrame:
     sinks.add_version(sinks.at_version(spark, path, schema).withColumn("participants", later), path, 2)
     last, first = sinks.at_version(spark, path, schema), sinks.at_version(spark, path, schema, 1)
     return last.withColumn("version", F.lit(2)).unionByName(first.withColumn("version", F.lit(1)))
+
+
+@query("""
+    WITH n AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY 1), d AS (SELECT DISTINCT strftime((o_orderdate AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Moscow', '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' AND o_orderstatus <> 'P'),
+    u AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS telegram_id, event_type AS ty, CAST(json_extract(props, '$.k') AS BIGINT) AS k, strftime(DATE '1997-03-01' + CAST(event_id % 300 AS INT), '%Y-%m-%d') AS day FROM events)
+    SELECT telegram_id, seq, CASE ty WHEN 'view' THEN 'support' WHEN 'signup' THEN CASE WHEN (SELECT count(*) FROM n WHERE n.id % 2 = 0 AND n.id = k) = 1 THEN 'named' ELSE 'unnamed' END WHEN 'click' THEN 'pick_tournament' WHEN 'purchase' THEN 'confirm' ELSE 'cancel' END AS step, CASE WHEN ty = 'view' THEN true END AS support
+    FROM u WHERE ty <> 'click' OR day IN (SELECT day FROM d)""")
+def s6_update_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as chat updates: names of parts, every second one of which has a chat, dates of orders, and buttons."""
+    e, n = readers.table(spark, folder, "events"), domain.part_names(spark, folder)
+    k, kind = F.get_json_object("props", "$.k").cast("bigint"), F.col("event_type")
+    text = F.when(kind == "view", updates.HELP).when(kind == "signup", F.upper(F.coalesce("full_name", F.lit("nobody"))))
+    day = F.date_format(F.date_add(F.lit("1997-03-01").cast("date"), (F.col("event_id") % 300).cast("int")), "yyyy-MM-dd")
+    command = F.when(kind == "click", F.concat(F.lit("bind_date:"), day)).when(kind == "purchase", "bind_pick_player:1:2:0").when(kind == "error", "bind_back:menu")
+    chat = e.withColumn("_k", k).join(n.select(F.col("id").alias("_k"), "full_name"), "_k", "left")
+    asked = chat.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("telegram_id"), text.alias("text"), command.alias("command"))
+    people = n.select("id", "full_name", F.lit(None).cast("string").alias("lunda_name"), F.when(F.col("id") % 2 == 1, F.lit("chat")).alias("telegram_id"))
+    return updates.update_steps(asked, people, domain.tournaments(spark, folder).withColumn("starts_at", F.col("starts_at").cast("timestamp")), _now())

@@ -11,7 +11,7 @@ from quillroster.sources.staging import staged
 
 EVENT = "struct<start_datetime:string,end_datetime:string,last_updated:string,tournament_type:string,participants:array<string>,tournament:struct<title:string,location:string,organizer:string,price:string,participants:string>>"
 PAYMENT = "event string, object struct<id:string,amount:struct<value:string>>"
-CHAT = "message struct<text:string,chat:struct<id:bigint>,from:struct<id:bigint,username:string>>, callback_query struct<id:string,data:string,from:struct<id:bigint>,message:struct<message_id:bigint,chat:struct<id:bigint>>>"
+CHAT = "update_id bigint, message struct<text:string,chat:struct<id:bigint>,from:struct<id:bigint,username:string>>, callback_query struct<id:string,data:string,from:struct<id:bigint>,message:struct<message_id:bigint,chat:struct<id:bigint>>>"
 RUN_START = r"RUN START: PID=([0-9]+), Time=([0-9-]+ [0-9:]+)"
 
 
@@ -67,9 +67,14 @@ def payment_events(spark: SparkSession, path: str, stream: bool = False) -> Data
     return reader.schema(PAYMENT).json(path).select(F.col("_metadata.file_modification_time").alias("arrived_at"), "event", F.col("object.id").alias("payment_id"), X.blank_to_null(F.col("object.amount.value")).alias("amount_text"))
 
 
-def chat_updates(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def chat_events(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(seq, telegram_id, text, command) of chat updates; seq is their number."""
     reader = spark.readStream if stream else spark.read
-    return reader.schema(CHAT).json(path).select(F.coalesce("message.from.id", "callback_query.from.id").cast("string").alias("telegram_id"), F.col("message.text").alias("text"), F.col("callback_query.data").alias("command"))
+    return reader.schema(CHAT).json(path).select(F.col("update_id").alias("seq"), F.coalesce("message.from.id", "callback_query.from.id").cast("string").alias("telegram_id"), F.col("message.text").alias("text"), F.col("callback_query.data").alias("command"))
+
+
+def chat_updates(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    return chat_events(spark, path, stream).drop("seq")
 
 
 def people(spark: SparkSession, path: str) -> DataFrame:

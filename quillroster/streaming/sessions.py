@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: A step, the state it leads to, and whether it makes a session where there is none.
 STEPS = {"ask_name": ("awaiting_lunda_name", True), "name_unknown": ("needs_manual_link", False), "pick_date": ("bind_pick_date", False), "pick_tournament": ("bind_pick_tournament", False), "pick_player": ("bind_pick_player", False), "confirm": ("bind_confirm", False)}
 ENDS = ("linked", "bound", "cancel")
+#: A typed text answers the question of this state; whether the name was found says what follows.
+ASKED, FOUND, NOT_FOUND, MANUAL = "awaiting_lunda_name", "named", "unnamed", "needs_manual_link"
 
 
 def _table(value: int) -> Column:
@@ -44,7 +46,10 @@ KEPT = "state string, support_mode boolean, open boolean, seqs array<bigint>, st
 
 
 def _folded(session: tuple[str | None, bool] | None, steps: list[tuple[str, bool | None]]) -> tuple[str | None, bool] | None:
-    """A session (state, support mode) after the steps of one seq, as fold_sessions has it: an ending step is the last, else the greatest state and flag hold. None where there is none."""
+    """A session (state, support mode) after the steps of one seq, as fold_sessions has it: an ending step is the last, else the greatest state and flag hold. None where there is none.
+
+    Typed texts, of which the fold knows nothing, hang on the session: see FOUND.
+    """
     if any(step in ENDS for step, _ in steps):
         return None
     if session is None:
@@ -53,7 +58,13 @@ def _folded(session: tuple[str | None, bool] | None, steps: list[tuple[str, bool
         session = (None, False)
     states = [STEPS[step][0] for step, _ in steps if step in STEPS]
     flags = [bool(flag) for step, flag in steps if step == "support"]
-    return (max(states) if states else session[0], max(flags) if flags else session[1])
+    state, mode = (max(states) if states else session[0], max(flags) if flags else session[1])
+    typed = [step for step, _ in steps if step in (FOUND, NOT_FOUND)]
+    if typed and session[1]:
+        return (state, False)  # a text in support mode is passed on, and ends the mode
+    if typed and session[0] == ASKED:
+        return None if FOUND in typed else (MANUAL, mode)
+    return (state, mode)
 
 
 def session_stream(steps: DataFrame, delay: str | None = None) -> DataFrame:
