@@ -2,7 +2,7 @@
 
 The fuzzy join is lossless and never compares all with all. Two strings within distance k share, at
 a place shifted by k at most, one of the k + 1 segments that the longer list's string is cut into:
-so segments are the join key, and the distance is computed for what meets on one.
+so hashes of segments are the join key, and the distance is computed for what meets on one.
 """
 
 from __future__ import annotations
@@ -25,27 +25,43 @@ def _segments(size: Column, k: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), cut(i).alias("start"), (cut(i + 1) - cut(i)).alias("size")))
 
 
+def _starts(size: Column, segment: Column, k: Column, probe_size: Column) -> Column:
+    """Where in a probe a segment of a string of that size has to be looked for: from the left i places off at most, from the right k - i.
+
+    If a segment matches further off, more edits lie on that side of it than there are segments, so
+    that another segment matches on the other side. None where the range is empty.
+    """
+    i, start, off = segment["i"], segment["start"], probe_size - size
+    low = F.greatest(F.lit(0), start - i, start + off - (k - i))
+    high = F.least(probe_size - segment["size"], start + i, start + off + (k - i))
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
 def within_distance(probes: DataFrame, people: DataFrame, probe: str, person: str, limit: Column) -> DataFrame:
     """Pairs of probe and person rows whose strings differ by at most limit (of the probe, one of LIMITS), with dist.
 
-    Columns of the two sides must have different names. Empty strings match nothing.
+    Columns of the two sides must have different names. Empty strings match nothing. The distinct
+    strings alone are dealt by their segments' hashes, and those that meet are judged where they meet, so that
+    only pairs that are near enough go on; rows are joined to these.
     """
-    known = people.where(F.length(person) > 0).withColumn("_k", F.explode(F.array(*map(F.lit, LIMITS)))).withColumn("_size", F.length(person))
-    known = known.withColumn("_s", F.explode(_segments(F.col("_size"), F.col("_k"))))
-    known = known.withColumn("_part", F.substring(F.col(person), F.col("_s.start") + 1, F.col("_s.size"))).select(*people.columns, "_k", "_size", F.col("_s.i").alias("_i"), "_part")
     asked = probes.where(F.length(probe) > 0).withColumn("_pk", limit)
-    asked = asked.withColumn("_psize", F.explode(F.sequence(F.greatest(F.lit(1), F.length(probe) - F.col("_pk")), F.length(probe) + F.col("_pk"))))
-    asked = asked.withColumn("_s", F.explode(_segments(F.col("_psize"), F.col("_pk"))))
-    shifts = F.sequence(F.greatest(F.lit(0), F.col("_s.start") - F.col("_pk")), F.greatest(F.lit(0), F.least(F.length(probe) - F.col("_s.size"), F.col("_s.start") + F.col("_pk"))))
-    parts = F.array_distinct(F.transform(shifts, lambda at: F.substring(F.col(probe), at + 1, F.col("_s.size"))))
-    asked = asked.where(F.greatest(F.lit(0), F.col("_s.start") - F.col("_pk")) <= F.greatest(F.lit(0), F.least(F.length(probe) - F.col("_s.size"), F.col("_s.start") + F.col("_pk"))))
-    asked = asked.select(*probes.columns, "_pk", "_psize", F.col("_s.i").alias("_pi"), F.explode(parts).alias("_ppart"))
-    met = asked.join(known, (F.col("_pk") == F.col("_k")) & (F.col("_psize") == F.col("_size")) & (F.col("_pi") == F.col("_i")) & (F.col("_ppart") == F.col("_part")))
-    met = met.select(*probes.columns, *people.columns, "_pk").distinct()
-    dist = F.when(F.col("_pk") == LIMITS[-1], F.levenshtein(F.col(probe), F.col(person), LIMITS[-1]))
+    wanted = asked.select(F.col(probe).alias("_probe"), "_pk").distinct()
+    known = people.select(F.col(person).alias("_person")).where(F.length("_person") > 0).distinct()
+    part = lambda text, at, segment: F.substring(text, at + 1, segment["size"])
+    key = lambda k, size, segment, text: F.xxhash64(k, size, segment["i"], text)
+
+    right = known.withColumn("_k", F.explode(F.array(*map(F.lit, LIMITS)))).withColumn("_size", F.length("_person")).withColumn("_s", F.explode(_segments(F.col("_size"), F.col("_k"))))
+    right = right.select(key(F.col("_k"), F.col("_size"), F.col("_s"), part(F.col("_person"), F.col("_s.start"), F.col("_s"))).alias("_key"), "_person")
+    left = wanted.withColumn("_size", F.explode(F.sequence(F.greatest(F.lit(1), F.length("_probe") - F.col("_pk")), F.length("_probe") + F.col("_pk")))).withColumn("_s", F.explode(_segments(F.col("_size"), F.col("_pk"))))
+    looked = F.array_distinct(F.transform(_starts(F.col("_size"), F.col("_s"), F.col("_pk"), F.length("_probe")), lambda at: part(F.col("_probe"), at, F.col("_s"))))
+    left = left.select("_pk", "_size", "_s", "_probe", F.explode(looked).alias("_part")).select(key(F.col("_pk"), F.col("_size"), F.col("_s"), F.col("_part")).alias("_key"), "_probe", "_pk")
+
+    dist = F.when(F.col("_pk") == LIMITS[-1], F.levenshtein("_probe", "_person", LIMITS[-1]))
     for k in LIMITS[:-1]:
-        dist = F.when(F.col("_pk") == k, F.levenshtein(F.col(probe), F.col(person), k)).otherwise(dist)
-    return met.withColumn("dist", dist).where("dist BETWEEN 0 AND _pk").drop("_pk")
+        dist = F.when(F.col("_pk") == k, F.levenshtein("_probe", "_person", k)).otherwise(dist)
+    near = left.join(right, "_key").select("_probe", "_pk", "_person", dist.alias("dist")).where("dist BETWEEN 0 AND _pk").distinct()
+    rows = asked.join(near.withColumnRenamed("_pk", "_limit"), (F.col(probe) == F.col("_probe")) & (F.col("_pk") == F.col("_limit")))
+    return rows.join(people, F.col("_person") == F.col(person)).select(*probes.columns, *people.columns, "dist")
 
 
 def fuzzy_candidates(probes: DataFrame, people: DataFrame, shown: int = SHOWN) -> DataFrame:
