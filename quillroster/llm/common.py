@@ -66,6 +66,11 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(text, rf"[\x09-\x0D][{SPACE}]*|\x20[{SPACE}]+", " ")
 
 
+def lowest(share: float) -> int:
+    """The 64-bit hash up to which lies that share of all hashes: as exact for one row in 10^11 as for one in two."""
+    return max(-(1 << 63), int(min(1.0, share) * 2**64) - (1 << 63) - 1)
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
     """Null-safe equality over the keys, for join(); both sides name them alike."""
     return reduce(Column.__and__, [left[k].eqNullSafe(right[k]) for k in keys])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillroster.llm.common import text_of
+from quillroster.llm.common import lowest, text_of
 from quillroster.llm.words import parts
 
 UNKNOWN = "und"
@@ -210,9 +210,9 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, how: Training
     counts = {r["_lang"]: r["_n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("_n")).collect()}  # one row for each language
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, how.rows / n))])
+    most = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, lowest(how.rows / n))])
     start = (1 + F.pmod(F.shiftright("_h", 20), F.greatest(F.lit(1), F.length("_text") - how.segment + 1))).cast("int")
-    taken = rows.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("_lang")] * 1_000_000).select("_lang", "_h", F.substring("_text", start, F.lit(how.segment)).alias("_part"))
+    taken = rows.where(F.col("_h") <= most[F.col("_lang")]).select("_lang", "_h", F.substring("_text", start, F.lit(how.segment)).alias("_part"))
     sample = sorted(taken.collect(), key=lambda r: (r["_h"], r["_part"]))
     return train([r["_part"].encode("utf-8", "surrogatepass") for r in sample], [r["_lang"] for r in sample], how) if sample else None
 

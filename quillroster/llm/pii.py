@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillroster.llm.common import text_of
+from quillroster.llm.common import lowest, text_of
 from quillroster.llm.words import parts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -540,8 +540,8 @@ def fit(df: DataFrame, text_col: str = "text", how: Training = Training()) -> Ta
     n = {r["_marked"]: r["n"] for r in rows.select("_marked", "_h").distinct().groupBy("_marked").agg(F.count("*").alias("n")).collect()}
     if not n.get(True):
         return None
-    share = F.when(F.col("_marked"), min(1.0, how.marked / n[True])).otherwise(min(1.0, how.others / n.get(False, 1)))
-    taken = rows.where(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["_h"]).select("_h", "_text")
+    most = F.when(F.col("_marked"), lowest(how.marked / n[True])).otherwise(lowest(how.others / n.get(False, 1)))
+    taken = rows.where(F.col("_h") <= most).dropDuplicates(["_h"]).select("_h", "_text")
     sample = sorted({(r["_h"], r["_x"], r["_tags"]) for r in taken.mapInArrow(_examples(how.seed, how.window, how.variants), "_h long, _x binary, _tags binary").collect()})
     if not sample:
         return None

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillroster.llm.common import text_of
+from quillroster.llm.common import lowest, text_of
 from quillroster.llm.words import Words, normal, parts, slices
 
 BINS = 1024
@@ -170,17 +170,17 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id_col: str, how: Training = Training()) -> Scorer | None:
     """Learn from rows labelled 1 and from rows whatever their label, neither of them held out; None without either.
 
-    Counts are taken over all rows, and a hash of the id picks the sample; only its features, of
-    fixed length, come to the driver.
+    Counts are taken over all rows, and a hash of id and text picks the sample (of the label's id, for
+    positives); only its features, of fixed length, come to the driver.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(label_id_col).isNotNull() & ~held_out(label_id_col)).groupBy(F.col(label_id_col).alias("_label_id")).agg(F.max(label_col).alias("_label")).where("_label = 1")
     docs = df.where(~held_out(id_col)).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     ones, total = known.count(), docs.count()
     if not ones or not total:
         return None
-    drawn = lambda c, seed, share: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1_000_000)) < min(1.0, share) * 1_000_000
-    positive = docs.join(known.where(drawn(F.col("_label_id"), 5, how.positives / ones)), F.col("_id") == F.col("_label_id"), "left_semi").select(F.lit(1).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
-    unlabelled = docs.where(drawn(F.coalesce("_id", F.lit(0)), 6, how.unlabelled / total)).select(F.lit(0).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
+    drawn = lambda seed, share, *of: F.xxhash64(F.lit(seed), *of) <= lowest(share)
+    positive = docs.join(known.where(drawn(5, how.positives / ones, "_label_id")), F.col("_id") == F.col("_label_id"), "left_semi").select(F.lit(1).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
+    unlabelled = docs.where(drawn(6, how.unlabelled / total, "_id", "_text")).select(F.lit(0).alias("_kind"), F.xxhash64("_id", "_text").alias("_h"), "_text")
     sample = sorted(positive.unionByName(unlabelled).mapInArrow(_featured, "_kind int, _h long, _features binary").collect())
     sets = [np.array([np.frombuffer(r["_features"], np.float32) for r in sample if r["_kind"] == k]) for k in (1, 0)]
     return train(*sets, estimated_prior(*sets, how), how) if len(sets[0]) and len(sets[1]) else None

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from quillroster.llm.coder import pack, unpack
 from quillroster.llm.common import new_table_path, text_of
@@ -171,7 +172,10 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, id_col: str
     are below 65,536. Null text counts as empty and has end_id only. Null ids come first; rows that
     repeat an id each have ids of their own, in the order of their texts' 64-bit hashes. An empty
     table makes no container. Other columns are not read. Rows of one id may be split over tasks.
+    Ids of another type than whole numbers are refused.
     """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col}: ids have to be whole numbers")
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     # Equal rows are told apart by where they were read, so that no group of them has to fit into one task.
     dealt = rows.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange("_id", "_h", "_n").sortWithinPartitions("_id", "_h", "_text").select("_id", "_text")
