@@ -284,17 +284,27 @@ _IMPORT = f"""
           FROM (SELECT * FROM old SEMI JOIN sc USING (t)) o FULL JOIN now n ON o.t = n.t AND o.p = n.p)"""
 
 
-def _imported(spark: SparkSession, folder: str) -> reconcile.Reconciled:
-    """All orders as a snapshot: the rosters are the active entries from the second place on, the state before has the first three places."""
+def _imported(spark: SparkSession, folder: str, spelled: bool = False, by_name: bool = False) -> reconcile.Reconciled:
+    """All orders as a snapshot: the rosters are the active entries from the second place on, the state before has the first three places.
+
+    spelled: some people are on the rosters by an alias, some by a misspelt name, and some as new people; every eleventh event has failed.
+    """
     o, e, p = _orders(spark, folder), _entries(spark, folder), _people(spark, folder)
     place = F.col("id") - F.col("tournament_id") * 10
     state = schemas.conform(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("location"), F.col("at").alias("starts_at")), "tournaments")
     prior = e.where(place <= 3).groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"), F.min("payment_status").alias("payment_status"))
     names = e.where((place >= 2) & F.col("active")).join(p.select(F.col("id").alias("player_id"), "full_name"), "player_id")
+    if spelled:
+        k = F.col("player_id")
+        names = names.withColumn("full_name", F.when(k % 10 == 1, F.concat(F.lit("Alias "), k)).when(k % 10 == 2, F.concat("full_name", F.lit("x"))).when(k % 10 == 3, F.md5(k.cast("string"))).otherwise(F.col("full_name")))
     rosters = names.groupBy(F.col("tournament_id").alias("o_orderkey")).agg(F.sort_array(F.collect_set("full_name")).alias("participants"))
     events = o.join(rosters, "o_orderkey", "left").select(F.col("o_orderkey").alias("position"), F.col("o_orderkey").cast("string").alias("location"), F.col("at").alias("starts_at"), F.lit(None).cast("timestamp").alias("ends_at"), F.lit("").alias("organizer"), F.col("o_orderpriority").alias("title"), F.lit(1).alias("price_rub"), F.lit(None).cast("timestamp").alias("source_last_updated"), X.tournament_type(_kind()).alias("tournament_type"), F.coalesce("participants", F.array().cast("array<string>")).alias("participants"))
     empty = {name: spark.createDataFrame([], schemas.schema(name)) for name in ("player_aliases", "pending_entries")}
-    return reconcile.reconcile({"tournaments": state, "players": p, "entries": schemas.conform(prior, "entries")} | empty, events, 1, _now())
+    if spelled:
+        called = F.concat(F.lit("alias "), F.col("id"))
+        empty["player_aliases"] = schemas.conform(p.where("id % 10 = 1").select("id", called.alias("alias_name"), called.alias("normalized_alias"), F.col("id").alias("player_id")), "player_aliases")
+    failed = events.where("position % 11 = 0") if spelled else None
+    return reconcile.reconcile({"tournaments": state, "players": p, "entries": schemas.conform(prior, "entries")} | empty, events, 1, _now(), by_name, failed)
 
 
 @query(_IMPORT + """ SELECT t AS tournament_id, p AS player_id, action <> 'inactivated' AS active FROM a WHERE action <> 'deleted'
@@ -506,3 +516,33 @@ def s6_update_steps(spark: SparkSession, folder: str) -> DataFrame:
     asked = chat.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("telegram_id"), text.alias("text"), command.alias("command"))
     people = n.select("id", "full_name", F.lit(None).cast("string").alias("lunda_name"), F.when(F.col("id") % 2 == 1, F.lit("chat")).alias("telegram_id"))
     return updates.update_steps(asked, people, domain.tournaments(spark, folder).withColumn("starts_at", F.col("starts_at").cast("timestamp")), _now())
+
+
+_SPELLED = f"""
+    WITH {_ENTRIES}, sc AS (SELECT o_orderkey AS t FROM orders WHERE o_orderdate >= TIMESTAMP '{NOW}' - INTERVAL 6 HOUR AND o_orderkey % 11 <> 0),
+    old AS (SELECT t, s_name AS who, max(status = 'paid') AS paid FROM e JOIN supplier ON s_suppkey = p WHERE place <= 3 GROUP BY 1, 2), roster AS (SELECT DISTINCT t, p, s_name FROM e SEMI JOIN sc USING (t) JOIN supplier ON s_suppkey = p WHERE place >= 2 AND active),
+    now AS (SELECT t, CASE WHEN p % 10 = 3 THEN md5(CAST(p AS VARCHAR)) ELSE s_name END AS who, p % 10 = 1 AS by_alias FROM roster WHERE p % 10 <> 2),
+    b AS (SELECT coalesce(o.t, n.t) AS tournament_id, coalesce(o.who, n.who) AS full_name, o.t IS NULL AS fresh, n.t IS NOT NULL AS here, by_alias, paid FROM (SELECT * FROM old SEMI JOIN sc USING (t)) o FULL JOIN now n ON o.t = n.t AND o.who = n.who)"""
+
+
+def _named_entries(done: reconcile.Reconciled) -> DataFrame:
+    people = done.tables["players"].select(F.col("id").alias("player_id"), "full_name")
+    return done.tables["entries"].join(people, "player_id").select("tournament_id", "full_name", "active")
+
+
+@query(_SPELLED + " SELECT tournament_id, full_name, fresh OR here AS active FROM b WHERE fresh OR here OR paid UNION ALL SELECT t, who, true FROM old ANTI JOIN sc USING (t)")
+def c1_import_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries after an import with aliases, doubtful and new names, and events that failed."""
+    return _named_entries(_imported(spark, folder, True))
+
+
+@query(_SPELLED + " SELECT tournament_id, full_name, fresh OR (here AND NOT by_alias) AS active FROM b WHERE fresh OR (here AND NOT by_alias) OR paid UNION ALL SELECT t, who, true FROM old ANTI JOIN sc USING (t)")
+def c1_leavers_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where leavers are judged by the names on the roster: who is on it by an alias alone leaves."""
+    return _named_entries(_imported(spark, folder, True, True))
+
+
+@query(_SPELLED + " SELECT t AS tournament_id, s_name || 'x' AS raw_player_name, 'pending' AS status, p AS first_candidate FROM roster WHERE p % 10 = 2")
+def c1_doubtful_names(spark: SparkSession, folder: str) -> DataFrame:
+    waiting = _imported(spark, folder, True).tables["pending_entries"]
+    return waiting.select("tournament_id", "raw_player_name", "status", F.get("candidates", F.lit(0))["player_id"].alias("first_candidate"))
