@@ -37,3 +37,20 @@ def mark_sent(outbox: DataFrame, sent: DataFrame, as_of: Column) -> DataFrame:
     """Waiting rows named by (payment_id, entry_id) are sent."""
     keys = ["payment_id", "entry_id"]
     return update_keyed(outbox, sent.select(*keys).distinct().select(*keys, F.lit("sent").alias("status"), as_of.alias("sent_at")), keys, ["status", "sent_at"], guard=F.col("status") == "waiting")
+
+
+def admin_notices(pending: DataFrame, tournaments: DataFrame, run_id: int, as_of: Column) -> DataFrame:
+    """Outbox rows about the names that a run has left waiting: pending_id, title, starts_at, raw_player_name, candidates (names with their distances, in their order), status, created_at.
+
+    A name that waits again in a later run is told of again: its candidates may be others. An event that isn't known leaves its columns null.
+    """
+    rows = pending.where((F.col("status") == "pending") & (F.col("sync_run_id") == run_id))
+    told = F.transform("candidates", lambda c: F.struct(c["name"].alias("name"), c["dist"].alias("dist")))
+    events = tournaments.select(F.col("id").alias("tournament_id"), "title", "starts_at")
+    return rows.join(events, "tournament_id", "left").select(F.col("id").alias("pending_id"), "title", "starts_at", "raw_player_name", told.alias("candidates"), F.lit("waiting").alias("status"), as_of.alias("created_at"))
+
+
+def note_messages(pending: DataFrame, sent: DataFrame) -> DataFrame:
+    """pending after notices have been sent (id, admin_message_id): the last message of each row is kept, whatever its status by now; null ids of messages change nothing."""
+    last = sent.where("admin_message_id IS NOT NULL").groupBy("id").agg(F.max("admin_message_id").alias("admin_message_id"))
+    return update_keyed(pending, last, ["id"], ["admin_message_id"])

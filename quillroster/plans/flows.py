@@ -489,7 +489,7 @@ def c3_payment_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _paid_ledger(spark, folder, True).entries().select("id", "payment_status")
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN ['late', o_orderpriority] ELSE [o_orderpriority] END AS participants, 2 AS version FROM orders UNION ALL SELECT o_orderkey, [o_orderpriority], 1 FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'late,' || o_orderpriority ELSE o_orderpriority END AS participants, 2 AS version FROM orders UNION ALL SELECT o_orderkey, o_orderpriority, 1 FROM orders")
 def s8_document_versions(spark: SparkSession, folder: str) -> DataFrame:
     """A document table, a version of it with one more participant in some rows, and the earlier one beside it."""
     path, schema = fresh_path(spark, "document"), "id bigint, participants array<string>"
@@ -497,7 +497,7 @@ def s8_document_versions(spark: SparkSession, folder: str) -> DataFrame:
     later = F.when(F.col("id") % 3 == 0, F.array_prepend("participants", F.lit("late"))).otherwise(F.col("participants"))
     sinks.add_version(sinks.at_version(spark, path, schema).withColumn("participants", later), path, 2)
     last, first = sinks.at_version(spark, path, schema), sinks.at_version(spark, path, schema, 1)
-    return last.withColumn("version", F.lit(2)).unionByName(first.withColumn("version", F.lit(1)))
+    return last.withColumn("version", F.lit(2)).unionByName(first.withColumn("version", F.lit(1))).withColumn("participants", F.array_join("participants", ","))
 
 
 @query("""
@@ -546,3 +546,34 @@ def c1_leavers_by_name(spark: SparkSession, folder: str) -> DataFrame:
 def c1_doubtful_names(spark: SparkSession, folder: str) -> DataFrame:
     waiting = _imported(spark, folder, True).tables["pending_entries"]
     return waiting.select("tournament_id", "raw_player_name", "status", F.get("candidates", F.lit(0))["player_id"].alias("first_candidate"))
+
+
+def _waiting(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as waiting names: open ones are pending, from two runs."""
+    o = readers.table(spark, folder, "orders")
+    status = F.when(F.col("o_orderstatus") == "O", "pending").otherwise("expired")
+    candidates = F.array(F.struct(F.lit(1).cast("long").alias("player_id"), F.concat(F.lit("c"), F.col("o_custkey")).alias("name"), F.lit(2).alias("dist"), F.lit(3).alias("score"), F.lit(0).alias("surname_dist"), F.lit(0).alias("name_dist")))
+    return schemas.conform(o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 2).alias("sync_run_id"), F.col("o_orderkey").alias("tournament_id"), F.col("o_orderpriority").alias("raw_player_name"), candidates.alias("candidates"), status.alias("status")), "pending_entries")
+
+
+@query("SELECT o_orderkey AS pending_id, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS title, o_orderpriority AS raw_player_name, 'c' || o_custkey AS first_name, 'waiting' AS status FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 1")
+def s12_admin_notices(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices about the names that the second run has left waiting; every fifth event isn't known."""
+    events = schemas.conform(_orders(spark, folder).where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.col("at").alias("starts_at")), "tournaments")
+    found = outbox.admin_notices(_waiting(spark, folder), events, 1, _now())
+    return found.select("pending_id", "title", "raw_player_name", F.get("candidates", F.lit(0))["name"].alias("first_name"), "status")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS admin_message_id FROM orders")
+def u9_admin_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Waiting names after every third notice has been sent, twice, and some without an answer."""
+    waits = _waiting(spark, folder)
+    sent = waits.select("id", F.explode(F.array(F.when(F.col("id") % 3 == 0, F.col("id")), F.when(F.col("id") % 3 == 0, F.col("id") + 1))).alias("admin_message_id"))
+    return outbox.note_messages(waits, sent).select("id", "admin_message_id")
+
+
+@query(_DUE + ", p AS (SELECT id, CASE WHEN outcome = 'send' THEN 'bot_not_configured' ELSE outcome END AS outcome FROM due) SELECT id AS entry_id, outcome FROM p")
+def e1_no_bot(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of the queue where no bot is set up."""
+    t = domain.tournaments(spark, folder).withColumn("starts_at", F.col("starts_at").cast("timestamp"))
+    return queue.work_batch(_entries(spark, folder), _people(spark, folder), t, _now(), None, bot_ready=False).select("entry_id", "outcome")

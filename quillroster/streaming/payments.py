@@ -61,7 +61,7 @@ class Ledger:
         players, told = self.players(), []
         if players is not None:
             asked = batch.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).select("payment_id").distinct()
-            found = staged(notices(self.entries().drop("bucket"), players, asked, as_of), "notices")
+            found = staged(notices(self.entries().select("id", "player_id", "payment_id", "paid_by_entry_id"), players, asked, as_of), "notices")
             known = self.outbox(self._touched(found, "payment_id")).select("payment_id", "entry_id")
             new = staged(found.join(known, ["payment_id", "entry_id"], "left_anti"), "new_notices")
             told = self._touched(new, "payment_id")
