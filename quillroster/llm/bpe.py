@@ -31,8 +31,8 @@ from quillroster.llm.words import parts
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A space after and before visible characters always begins a word, so that texts may be cut there.
 ODD_SPACE = regex.compile(r"[^\P{White_Space} ] | (?=\p{White_Space})|^ ")
-#: Encoded pieces that a worker remembers, the longest of them in characters, and pairs of tokens; when full, they start anew.
-PIECES, LONGEST, PAIRS = 400_000, 64, 1_000_000
+#: Encoded pieces that a worker remembers, the longest of them in characters, and pairs of tokens; when full, they start anew. Workers keep them while other stages run in them.
+PIECES, LONGEST, PAIRS = 200_000, 64, 400_000
 NEVER = 1 << 60
 
 
