@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillroster.sources.staging import staged
+from quillroster.sources.staging import spread, staged
 
 #: Letters of a piece, and of the shorter ones for runs that aren't as long.
 SIZES = (4, 3, 2, 1)
@@ -33,15 +33,10 @@ def _runs(pattern: Column) -> Column:
     return F.split(F.concat(F.lit(BEGIN), F.array_join(plain, ""), F.lit(END)), f"{WILD}+")
 
 
-def _spread(df: DataFrame, *by: str) -> DataFrame:
-    """df dealt out to as many tasks as a shuffle has: what is made of a small table's rows is large, and its file may be read by one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
-
-
 def name_index(people: DataFrame, *columns: str) -> DataFrame:
     """people (id, columns) -> _name, _id, _last, _piece: a row for each distinct piece of each distinct name, of all SIZES, with the smallest and largest id that have it."""
     names = people.select(F.col("id").alias("_id"), F.explode(F.array_distinct(F.array(*columns))).alias("_name")).where("_name IS NOT NULL")
-    names = _spread(names, "_name").groupBy("_name").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last"))
+    names = spread(names, "_name").groupBy("_name").agg(F.min("_id").alias("_id"), F.max("_id").alias("_last"))
     marked = F.concat(F.lit(BEGIN), F.lower("_name"), F.lit(END))
     return names.select("_name", "_id", "_last", F.explode(F.array_distinct(F.flatten(F.array(*[_pieces(marked, n) for n in SIZES])))).alias("_piece"))
 

@@ -2,7 +2,9 @@
 
 The fuzzy join is lossless and never compares all with all. Two strings within distance k share, at
 a place shifted by k at most, one of the k + 1 segments that the longer list's string is cut into:
-so hashes of segments are the join key, and the distance is computed for what meets on one.
+so hashes of segments are the join key, and the distance is computed for what meets on one. Where only
+the nearest people count, they are looked for nearest first, short strings by what is left of them without
+one or two letters: names that begin alike share a segment with all others, but what is left with few.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from pyspark.sql import functions as F
 
 from quillroster.functions import text as X
 from quillroster.operators.ranking import ranked
-from quillroster.sources.staging import staged
+from quillroster.sources.staging import spread, staged
 
 #: The pool of nearest people, how many are shown, and the least distance that still suggests someone.
 POOL, SHOWN, LEAST_DISTANCE = 30, 5, 3
 LIMITS = (*sorted({k for _, k in X.NAME_DISTANCE} | {X.NAME_DISTANCE_BEYOND}),)
+#: The distance up to which strings are met without some of their letters, and how long a person's may be for that.
+CLOSE, CLOSE_LETTERS = 2, 24
 
 
 def _segments(size: Column, k: Column) -> Column:
@@ -37,33 +41,89 @@ def _starts(size: Column, segment: Column, k: Column, probe_size: Column) -> Col
     return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def within_distance(probes: DataFrame, people: DataFrame, probe: str, person: str, limit: Column) -> DataFrame:
-    """Pairs of probe and person rows whose strings differ by at most limit (of the probe, one of LIMITS), with dist.
-
-    Columns of the two sides must have different names. Empty strings match nothing. The distinct
-    strings alone are dealt by their segments' hashes, and those that meet are judged where they meet, so that
-    only pairs that are near enough go on; rows are joined to these.
-    """
-    asked = probes.where(F.length(probe) > 0).withColumn("_pk", limit)
-    wanted = asked.select(F.col(probe).alias("_probe"), "_pk").distinct()
-    known = people.select(F.col(person).alias("_person")).where(F.length("_person") > 0).distinct()
+def _met(wanted: DataFrame, known: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """wanted (_probe, _pk of limits), known (_person) -> _probe, _pk, _person that meet on a segment, perhaps several times."""
     part = lambda text, at, segment: F.substring(text, at + 1, segment["size"])
     key = lambda k, size, segment, text: F.xxhash64(k, size, segment["i"], text)
 
-    right = known.withColumn("_k", F.explode(F.array(*map(F.lit, LIMITS)))).withColumn("_size", F.length("_person")).withColumn("_s", F.explode(_segments(F.col("_size"), F.col("_k"))))
+    right = spread(known).withColumn("_k", F.explode(F.array(*map(F.lit, limits)))).withColumn("_size", F.length("_person")).withColumn("_s", F.explode(_segments(F.col("_size"), F.col("_k"))))
     right = right.select(key(F.col("_k"), F.col("_size"), F.col("_s"), part(F.col("_person"), F.col("_s.start"), F.col("_s"))).alias("_key"), "_person")
-    left = wanted.withColumn("_size", F.explode(F.sequence(F.greatest(F.lit(1), F.length("_probe") - F.col("_pk")), F.length("_probe") + F.col("_pk")))).withColumn("_s", F.explode(_segments(F.col("_size"), F.col("_pk"))))
+    left = spread(wanted).withColumn("_size", F.explode(F.sequence(F.greatest(F.lit(1), F.length("_probe") - F.col("_pk")), F.length("_probe") + F.col("_pk")))).withColumn("_s", F.explode(_segments(F.col("_size"), F.col("_pk"))))
     looked = F.array_distinct(F.transform(_starts(F.col("_size"), F.col("_s"), F.col("_pk"), F.length("_probe")), lambda at: part(F.col("_probe"), at, F.col("_s"))))
     left = left.select("_pk", "_size", "_s", "_probe", F.explode(looked).alias("_part")).select(key(F.col("_pk"), F.col("_size"), F.col("_s"), F.col("_part")).alias("_key"), "_probe", "_pk")
+    return left.join(right, "_key").select("_probe", "_pk", "_person")
 
+
+def _near(met: DataFrame) -> DataFrame:
+    """The pairs of met that differ by _pk at most, with dist."""
     dist = F.when(F.col("_pk") == LIMITS[-1], F.levenshtein("_probe", "_person", LIMITS[-1]))
     for k in LIMITS[:-1]:
         dist = F.when(F.col("_pk") == k, F.levenshtein("_probe", "_person", k)).otherwise(dist)
-    near = left.join(right, "_key").select("_probe", "_pk", "_person", dist.alias("dist")).where("dist BETWEEN 0 AND _pk").distinct()
+    return met.select("_probe", "_pk", "_person", dist.alias("dist")).where("dist BETWEEN 0 AND _pk").distinct()
+
+
+def _left_over(strings: DataFrame, text: str) -> DataFrame:
+    """strings with _key, a hash of what is left of the text without up to two letters: a row for each that there is."""
+    size = F.length(text)
+    cut = lambda start, length: F.substr(F.col(text), start, length)
+    rest = lambda i, j: F.xxhash64(F.concat(cut(F.lit(1), i - 1), cut(i + 1, j - i - 1), cut(j + 1, size)))
+    # Place 0 stands for no letter: (0, 0), (0, j) and i < j.
+    second = lambda i: F.when(i == 0, F.sequence(F.lit(0), size)).when(i < size, F.sequence(i + 1, size)).otherwise(F.array().cast("array<int>"))
+    rests = F.flatten(F.transform(F.sequence(F.lit(0), size), lambda i: F.transform(second(i), lambda j: rest(i, j))))
+    return spread(strings).withColumn("_key", F.explode(F.array_distinct(rests)))
+
+
+def _close(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """As _met for the limit CLOSE. Two strings within it have a common rest, each without that many letters at most."""
+    a = _left_over(wanted.where(F.length("_probe") <= CLOSE_LETTERS + CLOSE), "_probe")
+    b = _left_over(known.where(F.length("_person") <= CLOSE_LETTERS), "_person")
+    long = known.where(F.length("_person") > CLOSE_LETTERS)
+    return a.join(b, "_key").select("_probe", "_pk", "_person").unionByName(_met(wanted.where(F.length("_probe") > CLOSE_LETTERS - CLOSE), long, (CLOSE,)))
+
+
+def within_distance(probes: DataFrame, people: DataFrame, probe: str, person: str, limit: Column) -> DataFrame:
+    """Pairs of probe and person rows whose strings differ by at most limit (of the probe, one of LIMITS), with dist.
+
+    Columns of the two sides must have different names. Empty strings match nothing. The distinct
+    strings alone are dealt by their segments' hashes, and those that meet are judged where they meet, so that
+    only pairs that are near enough go on; rows are joined to these.
+    """
+    asked = probes.where(F.length(probe) > 0).withColumn("_pk", limit)
+    wanted = asked.select(F.col(probe).alias("_probe"), "_pk").distinct()
+    known = people.select(F.col(person).alias("_person")).where(F.length("_person") > 0).distinct()
+    near = _near(_met(wanted, known, LIMITS))
     rows = asked.join(near.withColumnRenamed("_pk", "_limit"), (F.col(probe) == F.col("_probe")) & (F.col("_pk") == F.col("_limit")))
     return rows.join(people, F.col("_person") == F.col(person)).select(*probes.columns, *people.columns, "dist")
 
 
+def nearest(probes: DataFrame, people: DataFrame) -> DataFrame:
+    """probes (name, norm), people (player_id, full_name, _norm) -> of the pairs within the names' limits, with dist, those that best_candidates can choose, and perhaps more.
+
+    They are looked for by rounds, with a limit of two, three and four. A name is settled where its pool is full, or where
+    someone (of another name) is nearer than the limit: no candidate may be further off than one more. Beyond four there are none, as the
+    nearest has to be within three. Of the people of one normalised name a pool can hold the first POOL.
+    """
+    first = Window.partitionBy("_norm").orderBy("player_id")
+    people = staged(people.where("_norm <> ''").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= POOL).drop("_rank"), "people")
+    known = people.select(F.col("_norm").alias("_person")).distinct()
+    open_ = staged(probes.where("norm <> ''").select("name", "norm").distinct(), "asked")
+    out = None
+    for k in range(CLOSE, LEAST_DISTANCE + 2):
+        wanted = open_.select(F.col("norm").alias("_probe"), F.lit(k).alias("_pk")).distinct()
+        near = _near(_close(wanted, known) if k == CLOSE else _met(wanted, known, (k,)))
+        rows = open_.join(near, F.col("norm") == F.col("_probe")).join(people, F.col("_person") == F.col("_norm"))
+        found = staged(rows.select("name", "norm", *people.columns, "dist"), "found")
+        of_name = found.groupBy("name", "norm").agg(F.count("*").alias("_n"), F.min(F.when(F.col("full_name") != F.col("name"), F.col("dist"))).alias("_least"))
+        settled = (F.col("_n") >= POOL) | (F.col("_least") < k) | (X.name_distance_limit(F.col("norm")) <= k) | F.lit(k > LEAST_DISTANCE)
+        left = staged(open_.join(of_name, ["name", "norm"], "left").where(~F.coalesce(settled, F.lit(False))).select("name", "norm"), "open")
+        kept = found.join(left, ["name", "norm"], "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        if left.isEmpty():
+            break
+        open_ = left
+    return out
+
+
 def fuzzy_candidates(probes: DataFrame, people: DataFrame, shown: int = SHOWN) -> DataFrame:
     """probes (name, norm), people (id, full_name, normalized_name) -> candidates, the best first: name, norm, player_id, full_name, dist, score, surname_dist, name_dist, place.
 
@@ -72,7 +132,7 @@ def fuzzy_candidates(probes: DataFrame, people: DataFrame, shown: int = SHOWN) -
     smaller id. A person of the very name isn't a candidate.
     """
     known = people.select(F.col("id").alias("player_id"), "full_name", F.col("normalized_name").alias("_norm"))
-    return best_candidates(within_distance(probes, known, "norm", "_norm", X.name_distance_limit(F.col("norm"))), shown)
+    return best_candidates(nearest(probes, known), shown)
 
 
 def best_candidates(pairs: DataFrame, shown: int = SHOWN, more: tuple[str, ...] = ()) -> DataFrame:
@@ -151,7 +211,7 @@ def resolve_in_order(listed: DataFrame, aliases: DataFrame, people: DataFrame) -
     rest = found.where("_alias_id IS NULL AND _exact_id IS NULL").select("name", "norm", "_first")
     limit = X.name_distance_limit(F.col("norm"))
     named = people.select(F.col("id").alias("player_id"), "full_name", F.col("normalized_name").alias("_norm"))
-    pairs = staged(within_distance(rest.select("name", "norm"), named, "norm", "_norm", limit).where("full_name <> name"), "pairs")
+    pairs = staged(nearest(rest, named).where("full_name <> name"), "pairs")
     open_ = staged(rest.join(pairs.where(F.col("dist") <= LEAST_DISTANCE).select("name").distinct(), "name", "left_anti"), "open")
 
     # Of the spellings that share a normalised name the first stands for all: if it falls, so do they, by the same neighbour.

@@ -12,7 +12,7 @@ from quillroster.operators import decisions, mutate, outbox, payments, pending,
 from quillroster.plans import domain
 from quillroster.plans.registry import query
 from quillroster.sources import readers, schemas, sinks
-from quillroster.sources.staging import fresh_path
+from quillroster.sources.staging import fresh_path, staged
 from quillroster.streaming import updates
 from quillroster.streaming.payments import Ledger, apply_stream
 
@@ -289,7 +289,8 @@ def _imported(spark: SparkSession, folder: str, spelled: bool = False, by_name:
 
     spelled: some people are on the rosters by an alias, some by a misspelt name, and some as new people; every eleventh event has failed.
     """
-    o, e, p = _orders(spark, folder), _entries(spark, folder), _people(spark, folder)
+    o, p = _orders(spark, folder), _people(spark, folder)
+    e = staged(_entries(spark, folder).select("id", "tournament_id", "player_id", "payment_status", "active"), "line_items")
     place = F.col("id") - F.col("tournament_id") * 10
     state = schemas.conform(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("location"), F.col("at").alias("starts_at")), "tournaments")
     prior = e.where(place <= 3).groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"), F.min("payment_status").alias("payment_status"))
@@ -304,7 +305,7 @@ def _imported(spark: SparkSession, folder: str, spelled: bool = False, by_name:
         called = F.concat(F.lit("alias "), F.col("id"))
         empty["player_aliases"] = schemas.conform(p.where("id % 10 = 1").select("id", called.alias("alias_name"), called.alias("normalized_alias"), F.col("id").alias("player_id")), "player_aliases")
     failed = events.where("position % 11 = 0") if spelled else None
-    return reconcile.reconcile({"tournaments": state, "players": p, "entries": schemas.conform(prior, "entries")} | empty, events, 1, _now(), by_name, failed)
+    return reconcile.reconcile({"tournaments": state, "players": p, "entries": staged(schemas.conform(prior, "entries"), "entries")} | empty, events, 1, _now(), by_name, failed)
 
 
 @query(_IMPORT + """ SELECT t AS tournament_id, p AS player_id, action <> 'inactivated' AS active FROM a WHERE action <> 'deleted'

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+from pyspark.sql import functions as F
+
+from quillroster.functions import text as X
+from quillroster.operators import resolve
 from quillroster.operators.patterns import name_index, unique_match
 
 
@@ -15,3 +21,21 @@ def test_equal_names_share_their_pieces(spark):
     probes = spark.createDataFrame([("%bolt",), ("%",), ("_________",), ("%x%bolt",)], "probe string")
     assert unique_match(probes, many, ("full_name",)).count() == 0
     assert {r.probe: r.player_id for r in unique_match(probes, one, ("full_name",)).collect()} == {"%bolt": 1, "%": 1, "_________": 1}
+
+
+def test_nearest_people_are_all_that_candidates_need(spark):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("ab ") for _ in range(n)).strip() or "a"
+    words = [letters(rng.randint(1, 12)) for _ in range(60)] + ["common beginning " + letters(rng.randint(3, 12)) for _ in range(60)] + ["a longer common beginning " + letters(9) for _ in range(30)]
+    people = spark.createDataFrame([(i, w.upper(), w) for i, w in enumerate(words + words[:20] + ["aab"] * 40)], "player_id long, full_name string, _norm string")
+    asked = {w[:k] + rng.choice("abx") + w[k + rng.randint(0, 2) :] for w in words for k in [rng.randint(0, len(w))]} | {"AAB", ""}
+    probes = spark.createDataFrame([(w, w.lower()) for w in sorted(asked)], "name string, norm string")
+    every = resolve.within_distance(probes, people, "norm", "_norm", X.name_distance_limit(F.col("norm")))
+    want = sorted(resolve.best_candidates(every).collect())
+    assert sorted(resolve.best_candidates(resolve.nearest(probes, people)).collect()) == want and len(want) > 300
+
+
+def test_names_that_begin_alike_meet_few(spark):
+    people = spark.range(3000).selectExpr("format_string('supplier#%09d', id * 37) AS _person")
+    asked = spark.range(100).selectExpr("format_string('supplier#%09dx', id * 37) AS _probe", "2 AS _pk")
+    assert resolve._close(asked, people).distinct().count() < 20_000  # of 300,000
