@@ -19,6 +19,8 @@ from quillroster.sources.staging import spread, staged
 #: The pool of nearest people, how many are shown, and the least distance that still suggests someone.
 POOL, SHOWN, LEAST_DISTANCE = 30, 5, 3
 LIMITS = (*sorted({k for _, k in X.NAME_DISTANCE} | {X.NAME_DISTANCE_BEYOND}),)
+#: Others of a group whose pairs with the whole group are made together.
+TILE = 1024
 #: The distance up to which strings are met without some of their letters, and how long a person's may be for that.
 CLOSE, CLOSE_LETTERS = 2, 24
 
@@ -242,9 +244,16 @@ def resolve_in_order(listed: DataFrame, aliases: DataFrame, people: DataFrame) -
 
 
 def identity_conflicts(people: DataFrame, external: str = "telegram_id") -> DataFrame:
-    """(id, other_id) of people who share an external id: all pairs, for ids that few share; see conflict_groups."""
-    a = people.where(F.col(external).isNotNull()).select("id", external)
-    return a.join(a.withColumnRenamed("id", "other_id"), external).where("id <> other_id").select("id", "other_id")
+    """(id, other_id) of people who share an external id: all pairs, as many as the square of a group; see conflict_groups for a row each.
+
+    A large group is cut into tiles of about TILE others, each of which meets the whole group in a join key of its own, so that one group's pairs are made in many tasks.
+    """
+    a = staged(people.where(F.col(external).isNotNull()).select("id", external), "sharing")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.lit(1)).cast("int")
+    a = staged(a.join(a.groupBy(external).agg(tiles.alias("_tiles")), external), "tiled")
+    one = spread(a.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).select("id", external, "_tile"), external, "_tile")
+    others = spread(a.select(F.col("id").alias("other_id"), external, F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int").alias("_tile")), external, "_tile")
+    return one.join(others, [external, "_tile"]).where("id <> other_id").select("id", "other_id")
 
 
 def conflict_groups(people: DataFrame, external: str = "telegram_id") -> DataFrame:

@@ -39,3 +39,11 @@ def test_names_that_begin_alike_meet_few(spark):
     people = spark.range(3000).selectExpr("format_string('supplier#%09d', id * 37) AS _person")
     asked = spark.range(100).selectExpr("format_string('supplier#%09dx', id * 37) AS _probe", "2 AS _pk")
     assert resolve._close(asked, people).distinct().count() < 20_000  # of 300,000
+
+
+def test_pairs_of_one_large_group_are_made_in_many_tasks(spark):
+    people = spark.range(5000).selectExpr("id", "'same' AS telegram_id").unionByName(spark.createDataFrame([(-1, "other"), (-2, "other"), (-3, None)], "id long, telegram_id string")).coalesce(1)
+    pairs = resolve.identity_conflicts(people)
+    made = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 5000 * 4999 + 2 and max(r["count"] for r in made) < 5000 * 4999
+    assert pairs.where("id < 0").count() == 2
