@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillroster.operators.mutate import insert_missing, update_keyed
-from quillroster.operators.payments import notify_set
+from quillroster.sources.staging import staged
 
 OUTBOX = "payment_id string, entry_id bigint, player_id bigint, telegram_id string, kind string, status string, created_at timestamp, sent_at timestamp"
 
@@ -17,10 +17,11 @@ def notices(entries: DataFrame, players: DataFrame, payment_ids: DataFrame, as_o
     People without a chat get a row whose status says so. An entry paid for by two of the payments
     has a row for each.
     """
-    told = notify_set(entries, payment_ids).select("id", "player_id", "payment_id", "paid_by_entry_id")
-    payers = told.join(payment_ids.select("payment_id").distinct(), "payment_id", "left_semi")
+    # They are the entries of payments.notify_set, with the payment that each is told of.
+    asked = payment_ids.select("payment_id").distinct()
+    payers = staged(entries.select("id", "player_id", "payment_id").join(asked, "payment_id", "left_semi"), "payers")
     own = payers.select("payment_id", F.col("id").alias("entry_id"), "player_id", F.lit("payer").alias("kind"))
-    partners = told.select(F.col("id").alias("entry_id"), "player_id", "paid_by_entry_id").join(payers.select(F.col("id").alias("paid_by_entry_id"), "payment_id"), "paid_by_entry_id")
+    partners = entries.where("paid_by_entry_id IS NOT NULL").select(F.col("id").alias("entry_id"), "player_id", "paid_by_entry_id").join(payers.select(F.col("id").alias("paid_by_entry_id"), "payment_id"), "paid_by_entry_id")
     rows = own.unionByName(partners.select("payment_id", "entry_id", "player_id", F.lit("partner").alias("kind")))
     once = rows.groupBy("payment_id", "entry_id", "player_id").agg(F.max("kind").alias("kind"))
     chat = players.select(F.col("id").alias("player_id"), "telegram_id")

@@ -304,6 +304,7 @@ def _imported(spark: SparkSession, folder: str, spelled: bool = False, by_name:
     if spelled:
         called = F.concat(F.lit("alias "), F.col("id"))
         empty["player_aliases"] = schemas.conform(p.where("id % 10 = 1").select("id", called.alias("alias_name"), called.alias("normalized_alias"), F.col("id").alias("player_id")), "player_aliases")
+    events = staged(events, "events")
     failed = events.where("position % 11 = 0") if spelled else None
     return reconcile.reconcile({"tournaments": state, "players": p, "entries": staged(schemas.conform(prior, "entries"), "entries")} | empty, events, 1, _now(), by_name, failed)
 
@@ -348,7 +349,8 @@ def s12_outbox(spark: SparkSession, folder: str) -> DataFrame:
     place = F.col("id") - F.col("tournament_id") * 10
     e = _entries(spark, folder).withColumn("payment_id", F.col("player_id").cast("string")).withColumn("paid_by_entry_id", F.when(place > 1, F.col("tournament_id") * 10 + 1))
     paid = readers.table(spark, folder, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("payment_id")).distinct()
-    found = outbox.notices(e, _people(spark, folder), paid, _now())
+    e = staged(e.select("id", "player_id", "payment_id", "paid_by_entry_id"), "entries")
+    found = staged(outbox.notices(e, _people(spark, folder), paid, _now()), "notices")
     once = outbox.enqueue(spark.createDataFrame([], outbox.OUTBOX), found)
     return outbox.enqueue(once, found).select("payment_id", "entry_id", "kind", "status")
 
@@ -363,8 +365,8 @@ _DECIDED = f"""
     kept AS (SELECT t, root, max(p) AS p FROM own JOIN s ON s.k = own.p GROUP BY 1, 2)"""
 
 
-def _decisions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Each supplier's name is decided to be the next one's, up to the next ten or the last; some decisions are wrong or come late."""
+def _asked(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Tables and decisions: each supplier's name is decided to be the next one's, up to the next ten or the last; some decisions are wrong or come late."""
     own = _entries(spark, folder).groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"), F.bool_or("active").alias("active"))
     people = _people(spark, folder)
     waits = people.select("id", F.col("id").alias("tournament_id"), F.col("full_name").alias("raw_player_name"), "normalized_name", F.lit("pending").alias("status"))
@@ -374,7 +376,7 @@ def _decisions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     asked = said("id % 10 <> 0", k, k, "resolved", k + 1)
     for more in (said("id % 10 = 0 AND id > 0", late + k, k, "approved", k - 5), said("id % 10 = 0 AND id > 0", k, k, "resolved", F.lit(None)), said("id % 10 = 3", late + k, k, "rejected", F.lit(None)), said("id % 7 = 0", k, k, "maybe", k), said("id % 10 = 4", k, -k, "snoozed", F.lit(None)), said("id % 10 = 0 AND id > 0", k, k, "approved", -k)):
         asked = asked.unionByName(more)
-    return decisions.decide(tables, asked, _now())
+    return tables, asked
 
 
 @query(_DECIDED + """
@@ -383,7 +385,7 @@ def _decisions(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     UNION ALL SELECT k, root, true, NULL FROM s WHERE k % 10 <> 0 AND k < (SELECT max(k) FROM s) AND NOT EXISTS (SELECT 1 FROM kept WHERE kept.t = s.k AND kept.root = s.root)""")
 def c5_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Entries after chains of merges: of those that meet in an event, the one of the person merged last stays."""
-    entries = _decisions(spark, folder)["entries"]
+    entries = decisions.decide(*_asked(spark, folder), _now())["entries"]
     return entries.select("tournament_id", "player_id", "active", F.when(F.col("first_seen_in_source").isNull(), F.col("id")).alias("id"))
 
 
@@ -394,7 +396,7 @@ def c5_decisions(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT -k, 'snoozed', NULL, 'not_waiting' FROM s WHERE k % 10 = 4 UNION ALL SELECT k, 'approved', -k, 'unknown_person' FROM s WHERE k % 10 = 0 AND k > 0
     UNION ALL SELECT k, 'resolved', k + 1, 'unknown_person' FROM s WHERE k % 10 <> 0 AND k = (SELECT max(k) FROM s)""")
 def c5_refused_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    return _decisions(spark, folder)["refused"].select("id", "decision", "player_id", "reason")
+    return decisions.decide(*_asked(spark, folder), _now())["refused"].select("id", "decision", "player_id", "reason")
 
 
 @query(_DUE + """, n AS (

@@ -47,3 +47,14 @@ def test_pairs_of_one_large_group_are_made_in_many_tasks(spark):
     made = pairs.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in made) == 5000 * 4999 + 2 and max(r["count"] for r in made) < 5000 * 4999
     assert pairs.where("id < 0").count() == 2
+
+
+def test_notices_stage_their_payers(spark, tmp_path):
+    from quillroster.operators import outbox
+
+    spark.sql("SELECT 1L AS id, 7L AS player_id, 'a' AS payment_id, CAST(NULL AS BIGINT) AS paid_by_entry_id UNION ALL SELECT 2, 8, NULL, 1 UNION ALL SELECT 3, 9, 'b', NULL").write.parquet(f"{tmp_path}/e")
+    people = spark.createDataFrame([(7, "x"), (8, None)], "id long, telegram_id string")
+    found = outbox.notices(spark.read.parquet(f"{tmp_path}/e"), people, spark.createDataFrame([("a",), ("a",)], "payment_id string"), F.current_timestamp())
+    assert sorted((r.payment_id, r.entry_id, r.kind, r.status) for r in found.collect()) == [("a", 1, "payer", "waiting"), ("a", 2, "partner", "no_chat")]
+    # The payers are staged, so that the plan reads the entries themselves once more, for the partners.
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().toString().count("paid_by_entry_id") == 1
