@@ -370,7 +370,7 @@ def _asked(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Data
     own = _entries(spark, folder).groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"), F.bool_or("active").alias("active"))
     people = _people(spark, folder)
     waits = people.select("id", F.col("id").alias("tournament_id"), F.col("full_name").alias("raw_player_name"), "normalized_name", F.lit("pending").alias("status"))
-    tables = {"players": people, "entries": schemas.conform(own, "entries"), "pending_entries": schemas.conform(waits, "pending_entries"), "player_aliases": spark.createDataFrame([], schemas.schema("player_aliases"))}
+    tables = {"players": people, "entries": staged(schemas.conform(own, "entries"), "entries"), "pending_entries": schemas.conform(waits, "pending_entries"), "player_aliases": spark.createDataFrame([], schemas.schema("player_aliases"))}
     k, late = F.col("id"), F.lit(10**6)
     said = lambda where, seq, row, kind, who: people.where(where).select(seq.alias("seq"), row.alias("id"), F.lit(kind).alias("decision"), who.cast("long").alias("player_id"), F.lit("admin").alias("by"))
     asked = said("id % 10 <> 0", k, k, "resolved", k + 1)
