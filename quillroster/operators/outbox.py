@@ -11,19 +11,27 @@ from quillroster.sources.staging import staged
 OUTBOX = "payment_id string, entry_id bigint, player_id bigint, telegram_id string, kind string, status string, created_at timestamp, sent_at timestamp"
 
 
-def notices(entries: DataFrame, players: DataFrame, payment_ids: DataFrame, as_of: Column) -> DataFrame:
+def notices(entries: DataFrame, players: DataFrame, payment_ids: DataFrame, as_of: Column, known: DataFrame | None = None) -> DataFrame:
     """Outbox rows for payments (payment_id): the entries that have one of them (payer), and those that these paid for (partner).
 
     People without a chat get a row whose status says so. An entry paid for by two of the payments
-    has a row for each.
+    has a row for each. Those of known (payment_id, entry_id) are left out.
     """
     # They are the entries of payments.notify_set, with the payment that each is told of.
     asked = payment_ids.select("payment_id").distinct()
-    payers = staged(entries.select("id", "player_id", "payment_id").join(asked, "payment_id", "left_semi"), "payers")
-    own = payers.select("payment_id", F.col("id").alias("entry_id"), "player_id", F.lit("payer").alias("kind"))
-    partners = entries.where("paid_by_entry_id IS NOT NULL").select(F.col("id").alias("entry_id"), "player_id", "paid_by_entry_id").join(payers.select(F.col("id").alias("paid_by_entry_id"), "payment_id"), "paid_by_entry_id")
-    rows = own.unionByName(partners.select("payment_id", "entry_id", "player_id", F.lit("partner").alias("kind")))
-    once = rows.groupBy("payment_id", "entry_id", "player_id").agg(F.max("kind").alias("kind"))
+    payers = entries.select("id", "player_id", "payment_id").join(asked, "payment_id", "left_semi")
+    links = entries.where("paid_by_entry_id IS NOT NULL").select(F.col("id").alias("entry_id"), "player_id", "paid_by_entry_id")
+    partnered = not links.isEmpty()
+    payers = staged(payers, "payers") if partnered else payers
+    rows = payers.select("payment_id", F.col("id").alias("entry_id"), "player_id", F.lit("payer").alias("kind"))
+    if partnered:
+        partners = links.join(payers.select(F.col("id").alias("paid_by_entry_id"), "payment_id"), "paid_by_entry_id")
+        rows = rows.unionByName(partners.select("payment_id", "entry_id", "player_id", F.lit("partner").alias("kind")))
+    if known is not None:
+        # Before the rows are grouped and have their chats: the join's shuffle is the grouping's, too.
+        # Entries come first, as numbers that differ sort faster than texts that don't.
+        rows = rows.join(known.select("payment_id", "entry_id"), ["entry_id", "payment_id"], "left_anti")
+    once = rows.groupBy("payment_id", "entry_id", "player_id").agg(F.when(F.bool_or(F.col("kind") == "payer"), "payer").otherwise("partner").alias("kind"))
     chat = players.select(F.col("id").alias("player_id"), "telegram_id")
     status = F.when(F.coalesce(F.col("telegram_id"), F.lit("")) == "", "no_chat").otherwise("waiting")
     return once.join(chat, "player_id", "left").select("payment_id", "entry_id", "player_id", "telegram_id", "kind", status.alias("status"), as_of.alias("created_at"), F.lit(None).cast("timestamp").alias("sent_at"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillroster.functions import money as M
 from quillroster.operators.mutate import update_keyed
+from quillroster.sources.staging import staged
 
 
 def payment_changes(entries: DataFrame, events: DataFrame) -> DataFrame:
@@ -19,11 +20,14 @@ def payment_changes(entries: DataFrame, events: DataFrame) -> DataFrame:
     """
     amount = M.lenient_amount(F.col("amount_text"))
     counted = F.min_by(amount, F.struct("arrived_at", F.negative(amount))) if "arrived_at" in events.columns else F.max(amount)
-    paid = events.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).groupBy("payment_id").agg(counted.alias("_amount"))
-    own = entries.select("payment_id", F.struct("id", "payment_scope", "paid_for_entry_id", "payment_status").alias("_e"))
-    payer = paid.join(own, "payment_id").groupBy("payment_id").agg(F.min("_e").alias("_e"), F.first("_amount").alias("_amount"))
-    first = payer.where(F.col("_e.payment_status") != "paid").select(F.col("_e.id").alias("id"), F.lit("payer").alias("role"), F.lit(None).cast("long").alias("paid_by_entry_id"), F.col("_amount").alias("amount"))
-    pairs = payer.where((F.col("_e.payment_scope") == "pair") & F.col("_e.paid_for_entry_id").isNotNull()).select(F.col("_e.paid_for_entry_id").alias("id"), F.col("_e.id").alias("paid_by_entry_id"), F.col("_amount").alias("amount"))
+    # Staged: what is left of the events is known to be small, and isn't made again.
+    paid = staged(events.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).groupBy("payment_id").agg(counted.alias("_amount")), "paid")
+    payer_ids = staged(entries.select("payment_id", "id").join(paid, "payment_id").groupBy("payment_id").agg(F.min("id").alias("id")), "payer_ids")
+    payer = staged(payer_ids.join(paid, "payment_id").join(entries.select("id", "payment_scope", "paid_for_entry_id", "payment_status"), "id"), "payers")
+    first = payer.where("payment_status <> 'paid'").select("id", F.lit("payer").alias("role"), F.lit(None).cast("long").alias("paid_by_entry_id"), F.col("_amount").alias("amount"))
+    pairs = payer.where("payment_scope = 'pair' AND paid_for_entry_id IS NOT NULL").select(F.col("paid_for_entry_id").alias("id"), F.col("id").alias("paid_by_entry_id"), F.col("_amount").alias("amount"))
+    if pairs.isEmpty():
+        return first
     open_ = entries.where(F.col("payment_status") != "paid").select("id")
     second = pairs.join(open_, "id", "left_semi").select("id", F.lit("partner").alias("role"), "paid_by_entry_id", "amount")
     both = first.unionByName(second)
@@ -33,10 +37,11 @@ def payment_changes(entries: DataFrame, events: DataFrame) -> DataFrame:
 
 def paid_entries(entries: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     """entries, or a part of them, after the changes that payment_changes has found."""
-    new = changes.join(entries.select("id", F.col("paid_by_entry_id").alias("_by"), F.col("paid_amount_rub").alias("_amount")), "id").select(
-        "id", F.lit("paid").alias("payment_status"), as_of.alias("paid_at"), F.coalesce(F.when(F.col("role") == "partner", F.col("paid_by_entry_id")), F.col("_by")).alias("paid_by_entry_id"), F.coalesce("amount", "_amount").alias("paid_amount_rub"),
-    )
-    return update_keyed(entries, new, ["id"], ["payment_status", "paid_at", "paid_by_entry_id", "paid_amount_rub"], guard=F.col("payment_status") != "paid")
+    new = changes.select(F.col("id").alias("_id"), "role", F.col("paid_by_entry_id").alias("_by"), "amount")
+    open_ = F.col("role").isNotNull() & F.coalesce(F.col("payment_status") != "paid", F.lit(False))
+    after = {"payment_status": F.lit("paid"), "paid_at": as_of, "paid_by_entry_id": F.coalesce(F.when(F.col("role") == "partner", F.col("_by")), F.col("paid_by_entry_id")), "paid_amount_rub": F.coalesce("amount", "paid_amount_rub")}
+    value = lambda c: F.when(open_, after[c]).otherwise(F.col(c)).cast(entries.schema[c].dataType).alias(c) if c in after else F.col(c)
+    return entries.join(new, F.col("id") == F.col("_id"), "left").select(*map(value, entries.columns))
 
 
 def apply_payments(entries: DataFrame, events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:

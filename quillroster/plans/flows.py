@@ -126,9 +126,14 @@ _ENTRIES = """
           FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
+def _least_status() -> Column:
+    """The least of paid and pending, without the sorting that a least string takes."""
+    return F.when(F.bool_or(F.col("payment_status") == "paid"), "paid").otherwise("pending").alias("payment_status")
+
+
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
     """Entries, those that repeat a key folded into one, with all the table's columns."""
-    e = domain.entries(spark, folder).groupBy("id", "tournament_id", "place").agg(F.min("player_id").alias("player_id"), F.min("payment_status").alias("payment_status"), F.bool_and("active").alias("active"), F.min("created_at").cast("timestamp").alias("created_at"))
+    e = domain.entries(spark, folder).groupBy("id", "tournament_id", "place").agg(F.min("player_id").alias("player_id"), _least_status(), F.bool_and("active").alias("active"), F.min("created_at").cast("timestamp").alias("created_at"))
     return schemas.conform(e, "entries")
 
 
@@ -293,7 +298,7 @@ def _imported(spark: SparkSession, folder: str, spelled: bool = False, by_name:
     e = staged(_entries(spark, folder).select("id", "tournament_id", "player_id", "payment_status", "active"), "line_items")
     place = F.col("id") - F.col("tournament_id") * 10
     state = schemas.conform(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("location"), F.col("at").alias("starts_at")), "tournaments")
-    prior = e.where(place <= 3).groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"), F.min("payment_status").alias("payment_status"))
+    prior = e.where(place <= 3).groupBy("tournament_id", "player_id").agg(F.min("id").alias("id"), _least_status())
     names = e.where((place >= 2) & F.col("active")).join(p.select(F.col("id").alias("player_id"), "full_name"), "player_id")
     if spelled:
         k = F.col("player_id")

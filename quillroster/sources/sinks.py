@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillroster.sources.staging import staged
-
 #: Buckets of a table; its writer chooses as many as leave a bucket some hundred MB, and it keeps them.
 BUCKETS = 64
 
@@ -21,9 +19,9 @@ def put_buckets(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> N
 
     Tasks write beside the table and the driver swaps the buckets at the end, so that a lost executor
     costs its tasks. Large buckets are split over tasks. A bucket that df has no row of isn't emptied. df may be made of
-    the table itself: it is staged first.
+    the table itself: what it reads stays until all tasks have written.
     """
-    rows = staged(df.drop("bucket").withColumn("bucket", bucket_of(key, buckets)), "buckets")
+    rows = df.drop("bucket").withColumn("bucket", bucket_of(key, buckets))
     rows.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 

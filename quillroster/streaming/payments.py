@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillroster.operators.outbox import OUTBOX, enqueue, notices
+from quillroster.operators.outbox import OUTBOX, notices
 from quillroster.operators.payments import paid_entries, payment_changes
 from quillroster.sources import schemas
 from quillroster.sources.sinks import BUCKETS, bucket_of, buckets_at, exists, put_buckets
@@ -53,20 +53,28 @@ class Ledger:
         a bucket without one isn't written. A batch that dies halfway is therefore applied again as it is.
         """
         batch = staged(batch, "payments")
-        changes = staged(payment_changes(self.entries(), batch), "changes")
+        counted = batch.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull())
+        if counted.isEmpty():  # as the batches are by which a stream's watermark goes on
+            return [], []
+        changes = staged(payment_changes(self.entries(), counted), "changes")
         paid = self._touched(changes, "id")
         if paid:
             # The fold of the events over the changed entries alone; what an entry pays for is in the changes already.
             put_buckets(paid_entries(self.entries(paid), changes, as_of), self._at("entries"), "id", self.buckets)
         players, told = self.players(), []
         if players is not None:
-            asked = batch.where((F.col("event") == "payment.succeeded") & F.col("payment_id").isNotNull()).select("payment_id").distinct()
-            found = staged(notices(self.entries().select("id", "player_id", "payment_id", "paid_by_entry_id"), players, asked, as_of), "notices")
-            known = self.outbox(self._touched(found, "payment_id")).select("payment_id", "entry_id")
-            new = staged(found.join(known, ["payment_id", "entry_id"], "left_anti"), "new_notices")
-            told = self._touched(new, "payment_id")
-            if told:
-                put_buckets(enqueue(self.outbox(told).drop("bucket"), new), self._at("outbox"), "payment_id", self.buckets)
+            asked = staged(counted.select("payment_id").distinct(), "asked")
+            known = self.outbox(self._touched(asked, "payment_id")) if exists(self.spark, self._at("outbox")) else None
+            found = notices(self.entries().select("id", "player_id", "payment_id", "paid_by_entry_id"), players, asked, as_of, known)
+            if known is None:
+                put_buckets(found, self._at("outbox"), "payment_id", self.buckets)
+                told = [r[0] for r in self.outbox().select("bucket").distinct().collect()]
+            else:
+                new = staged(found, "new_notices")
+                told = self._touched(new, "payment_id")
+                if told:
+                    # None of them is in the outbox.
+                    put_buckets(self.outbox(told).drop("bucket").unionByName(new), self._at("outbox"), "payment_id", self.buckets)
         return sorted(paid), sorted(told)
 
 

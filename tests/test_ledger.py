@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillroster.operators import queue
 from quillroster.sources import readers, schemas, sinks
+from quillroster.sources.staging import shared_folder
 from quillroster.streaming.payments import Ledger, apply_stream, once
 
 
@@ -133,3 +134,20 @@ def test_runs_of_logs_read_in_blocks(spark, tmp_path):
     assert readers.runs_from_log(readers.log_lines(spark, str(tmp_path / "log")).limit(0)).count() == 0
     ages = spark.createDataFrame([(datetime(2026, 1, 1), datetime(2026, 1, 2, 5)), (datetime(2026, 1, 3), datetime(2026, 1, 2)), (None, datetime(2026, 1, 2))], "e timestamp, s timestamp")
     assert [tuple(r.a) for r in ages.select(readers.error_age(F.col("e"), F.col("s")).alias("a")).collect()] == [("old", 1, 29), ("current", None, None), ("none", None, None)]
+
+
+def test_what_is_told_or_empty_is_not_staged_again(spark, ledger):
+    top = f"{shared_folder(spark).removeprefix('file:')}/quillroster"
+
+    def staged_by(batch):
+        before = set(os.listdir(top)) if os.path.isdir(top) else set()
+        changed = ledger.apply(batch, now())
+        return changed, {d.rsplit("-", 1)[0]: spark.read.parquet(f"file:{top}/{d}").count() for d in set(os.listdir(top)) - before}
+
+    changed, rows = staged_by(event(spark, "p", "q", "other10"))
+    # The buckets are written without a copy beside them, and so is the first outbox.
+    assert all(changed) and not {"buckets", "notices", "new_notices"} & set(rows) and ledger.outbox().count() == 4
+    changed, rows = staged_by(event(spark, "p", "q", "other11"))
+    assert rows["new_notices"] == 1 and "notices" not in rows and len(changed[1]) == 1 and ledger.outbox().count() == 5
+    # The batches by which a stream's watermark goes on have no events: nothing is looked up for them.
+    assert staged_by(event(spark, "p").limit(0)) == (([], []), {"payments": 0})
