@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,20 @@ from quillroster.sources.staging import staged
 
 @dataclass
 class Reconciled:
-    """Next tables, the change set of entries, and one row of counters."""
+    """Next tables, the change set of entries, and one row of counters.
 
-    tables: dict[str, DataFrame]
+    due: the next tables that nothing else in the import builds on; they are made and staged when tables is first asked for.
+    """
+
+    ready: dict[str, DataFrame]
+    due: dict[str, DataFrame]
     changes: DataFrame
     counters: DataFrame
 
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        return self.ready | {name: staged(df, name) for name, df in self.due.items()}
+
 
 def entry_actions(prior: DataFrame, incoming: DataFrame, scope: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     """(tournament_id, player_id, action) by one full outer join.
@@ -142,14 +151,14 @@ def reconcile(tables: dict[str, DataFrame], events: DataFrame, run_id: int, as_o
     here = placed.where("player_id IS NOT NULL")
     listed = placed.where("_named_id IS NOT NULL").select("tournament_id", F.col("_named_id").alias("player_id")) if leavers_by_name else None
     changes = staged(entry_actions(tables["entries"], here, seen, listed), "changes")
-    entries = staged(next_entries(tables["entries"], changes, as_of), "entries")
+    entries = next_entries(tables["entries"], changes, as_of)
     doubtful = placed.where("outcome = 'ambiguous'").select("tournament_id", F.col("name").alias("raw_player_name"), F.col("norm").alias("normalized_name"), "candidates", F.lit(run_id).cast("long").alias("sync_run_id"))
-    pending = staged(expire(quarantine(tables["pending_entries"], doubtful, as_of), F.lit(run_id)), "pending")
+    pending = expire(quarantine(tables["pending_entries"], doubtful, as_of), F.lit(run_id))
     gone = staged(to_archive(tournaments, as_of, cutoff, seen.select(F.col("tournament_id").alias("id"))), "gone")
-    after = staged(archive(tournaments, gone, as_of), "archived")
+    after = archive(tournaments, gone, as_of)
     # One row each; the tournaments of a snapshot are never deleted.
     counted = counters(changes).crossJoin(here.agg(F.count_distinct("tournament_id", "player_id").cast("int").alias("players_upsert"))).crossJoin(event_counters(events, cutoff)).crossJoin(gone.agg(F.count("*").cast("int").alias("tournaments_archived"), F.lit(0).alias("tournaments_deleted")))
-    return Reconciled(tables | {"tournaments": after, "players": players, "entries": entries, "pending_entries": pending}, changes, staged(counted, "counted"))
+    return Reconciled(tables | {"players": players}, {"tournaments": after, "entries": entries, "pending_entries": pending}, changes, staged(counted, "counted"))
 
 
 def import_snapshot(tables: dict[str, DataFrame], docs: DataFrame, run_id: int, as_of: Column, leavers_by_name: bool = False) -> Reconciled:

@@ -58,3 +58,16 @@ def test_notices_stage_their_payers(spark, tmp_path):
     assert sorted((r.payment_id, r.entry_id, r.kind, r.status) for r in found.collect()) == [("a", 1, "payer", "waiting"), ("a", 2, "partner", "no_chat")]
     # The payers are staged, so that the plan reads the entries themselves once more, for the partners.
     assert found._jdf.queryExecution().optimizedPlan().collectLeaves().toString().count("paid_by_entry_id") == 1
+
+
+def test_an_import_makes_its_tables_when_they_are_asked_for(spark, monkeypatch):
+    from quillroster.operators import reconcile
+    from quillroster.plans import flows
+
+    labels, real = [], reconcile.staged
+    monkeypatch.setattr(reconcile, "staged", lambda df, label: labels.append(label) or real(df, label))
+    done = flows._imported(spark, "/root/testdata/sf0.001")
+    new = done.counters.first()["entries_new"]
+    assert new > 0 and "changes" in labels and not {"entries", "pending", "pending_entries", "archived"} & set(labels)
+    assert done.tables["entries"].where("first_seen_in_source IS NOT NULL").count() == new and set(done.tables) >= {"tournaments", "players", "pending_entries"}
+    assert labels.count("entries") == 1  # once, however often they are read
