@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -10,10 +11,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import pyarrow as pa
+
+from quillroster.llm import coder
 from quillroster.llm.bpe import bpe_encode, loaded
-from quillroster.llm.coder import BLOCK_IDS, pack, unpack
+from quillroster.llm.coder import BLOCK_IDS, Container, pack, pack_all, unpack, unpack_all
 from quillroster.llm.queries import vocabulary
-from quillroster.llm.token_files import read_token_files, token_files, write_token_files
+from quillroster.llm.token_files import Chunks, read_token_files, token_files, write_token_files
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 ODD = ["", None, " ", "  a  b", "it's we'll I'd", "x\n\n\ty \n", "<|endoftext|>", "a<|endoftext|> b<|endoft", "naïve 東京 🦆👩‍👧 ̀é", "1234567 3.14", "  x\x85y", "ſ'ſ ΑΣ", "aaaaaaaaaaaaaaaaaaaaaaaaaaa", "\x00\x7f�", "<|startoftext|> Hi"]
@@ -101,3 +105,60 @@ def test_files_of_many_containers_and_odd_ids(spark, make, prose, tmp_path):
 
 def test_empty_table(make):
     assert token_files(make([(1, "a")]).where("doc_id < 0"), WORDS).count() == 0
+
+
+@pytest.fixture(scope="module")
+def words():
+    library = Tokenizer.from_file(WORDS)
+    library.no_padding()
+    library.no_truncation()
+    return library, Chunks(WORDS)
+
+
+MARKED = st.text("aBéÄßµªİſ1² \n\t.,;!&$#*'sTrelLvmD<|>-_\u0301\u00a0\x85\u6771", max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), MARKED, st.text(max_size=30)), min_size=1, max_size=5))
+def test_ids_of_parts_are_the_librarys(words, texts):
+    library, chunks = words
+    ids, n = chunks.encode(pa.array([t or "" for t in texts], pa.string()), 2)
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_the_library_is_asked_once_for_a_word_whatever_marks_and_case_it_has(words):
+    chunks, asked = Chunks(WORDS), []
+    ask = chunks._asked
+    chunks._asked = lambda parts: asked.extend(parts) or ask(parts)
+    chunks.encode(pa.array(["Thineren thineren&&& THINEREN.*** thineren!?", "éleven ÉLEVEN### Thineren&&&"]), 2)
+    assert sorted(asked) == sorted(["thineren", "&&&", ".***", "!?", "éleven", "###"])
+
+
+def test_ids_for_a_cased_vocabulary_are_the_librarys(make, tmp_path):
+    steps = json.loads(Tokenizer.from_file(WORDS).to_str())
+    steps["normalizer"]["normalizers"] = steps["normalizer"]["normalizers"][:2]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(steps))
+    library = Tokenizer.from_file(str(path))
+    texts = ["Hello World, ABC", "hello&&& Été!"]
+    got = sorted(map(tuple, token_files(make([*enumerate(texts)]), str(path)).select("doc_id", "n_tokens", "ids_crc32").collect()))
+    want = [np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    assert got == [(i, len(w), zlib.crc32(w.tobytes())) for i, w in enumerate(want)]
+
+
+def test_no_small_rest_of_blocks_is_coded_by_itself(monkeypatch):
+    monkeypatch.setattr(coder, "LANES", 8)
+    lanes, steps = [], coder._encode_lanes
+    monkeypatch.setattr(coder, "_encode_lanes", lambda ids, *rest: lanes.append(len(ids)) or steps(ids, *rest))
+    ids = np.random.default_rng(2).integers(0, 900, 17 * BLOCK_IDS + 5).astype(np.uint32)
+    assert (unpack(pack([1], np.array([len(ids)]), ids)).ids == ids).all()
+    assert lanes == [9, 9]
+
+
+def test_containers_coded_together_are_those_coded_alone():
+    rng = np.random.default_rng(3)
+    every = [Container([k], np.array([n]), rng.integers(0, 900, n).astype(np.uint32)) for k, n in enumerate([5000, 0, 1, 4096, 700, 700, 9001])]
+    together = pack_all(every)
+    assert together == [pack(c.doc_ids, c.lengths, c.ids) for c in every]
+    assert [c.ids.tolist() for c in unpack_all(together)] == [c.ids.tolist() for c in every]
